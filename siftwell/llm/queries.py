@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import audio, bpe
+from siftwell.llm import audio, bpe, quality
+from siftwell.llm._labels import held_out
 from siftwell.llm._store import written
 
 QUERIES: dict = {}
@@ -60,3 +61,10 @@ def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, machine, keep=["doc_id"]).select("doc_id", held_out(0, 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
