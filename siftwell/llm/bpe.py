@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from siftwell.llm._arrow import with_columns
 
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 600_000
 CACHE_LENGTH = 64
 
 
@@ -100,7 +100,7 @@ class _Made(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(key) <= CACHE_LENGTH:
+        if len(key) <= CACHE_LENGTH and "\n" not in key:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[key] = value

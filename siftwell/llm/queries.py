@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import audio, bpe, quality
+from siftwell.llm import audio, bpe, line_dedup, quality
 from siftwell.llm._labels import held_out
 from siftwell.llm._store import written
 
@@ -68,3 +68,26 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, machine, keep=["doc_id"]).select("doc_id", held_out(0, 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query(
+    "op9_line_windows",
+    r"""
+    WITH lines AS (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+    ), runs AS (
+      SELECT doc_id, pos, line, lead(line, 1) OVER o AS l2, lead(line, 2) OVER o AS l3 FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+    ), ranked AS (
+      SELECT doc_id, pos, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, pos) AS rn
+      FROM runs WHERE l3 IS NOT NULL AND trim(line || l2 || l3, ' ') <> ''
+    ), gone AS (
+      SELECT DISTINCT doc_id, pos + d AS pos FROM ranked, (VALUES (0), (1), (2)) t(d) WHERE rn > 1
+    )
+    SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
+    FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
+    """,
+)
+def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, counts=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
