@@ -162,7 +162,7 @@ def word_hashes(s: Slice, w: Words, data: np.ndarray | None = None) -> np.ndarra
 def shingles(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of size words of one text, and the text of each.
 
-    A text of fewer words, but one at least, has a single shingle of all its words.
+    A text of fewer words, but one at least, has a single shingle of all its words. They are in the order of texts.
     """
     n = np.diff(first)
     short = np.flatnonzero((n > 0) & (n < size))
@@ -175,6 +175,8 @@ def shingles(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, n
     if len(short):
         extra = np.array([_short(h[first[i] : first[i + 1]]) for i in short], U64)
         out, doc = np.concatenate([out, extra]), np.concatenate([doc, short])
+        order = np.argsort(doc, kind="stable")
+        out, doc = out[order], doc[order]
     return mix(out), doc
 
 

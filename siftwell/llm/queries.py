@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import audio, bpe, line_dedup, quality
+from siftwell.llm import audio, bpe, decontaminate, line_dedup, quality
 from siftwell.llm._labels import held_out
 from siftwell.llm._store import written
 
@@ -91,3 +91,24 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs, counts=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_GRAMS = r"""
+    SELECT {id} AS id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+    FROM (SELECT {id}, regexp_extract_all(lower(text), '[0-9a-z_\x{{80}}-\x{{10FFFF}}]+') AS w FROM {table})
+"""
+
+
+@query(
+    "op10_contained_items",
+    f"""
+    WITH d AS (SELECT DISTINCT id, g FROM ({_GRAMS.format(id="doc_id", table="documents")})),
+         i AS (SELECT DISTINCT id, g FROM ({_GRAMS.format(id="item_id", table="benchmark")})),
+         n AS (SELECT id, count(*) AS n FROM i GROUP BY id),
+         c AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM d JOIN i ON d.g = i.g GROUP BY d.id, i.id)
+    SELECT doc_id, item_id, shared, n AS n_shingles, shared / n AS containment FROM c JOIN n ON c.item_id = n.id WHERE shared >= ceil(0.8 * n - 1e-9)
+    """,
+)
+def op10_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
