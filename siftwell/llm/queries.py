@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import audio, bpe, decontaminate, line_dedup, quality, toxicity
+from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, toxicity
 from siftwell.llm._labels import held_out
 from siftwell.llm._store import written
 
@@ -119,3 +119,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held_out(2, 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op1_dart_minhash")
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
