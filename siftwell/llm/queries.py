@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, toxicity
+from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, substring_dedup, toxicity
 from siftwell.llm._labels import held_out
 from siftwell.llm._store import written
 
@@ -124,3 +124,22 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_dart_minhash")
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op5_recompression",
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+    h AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS t FROM s),
+    r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY t) AS n FROM h),
+    gone AS (SELECT DISTINCT doc_id, i + d AS pos FROM r, (SELECT unnest(range(35)) AS d) WHERE n > 1),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w),
+    kept AS (SELECT words.doc_id, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY words.pos) FILTER (WHERE gone.pos IS NULL) AS t
+             FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos GROUP BY words.doc_id)
+    SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+    """,
+)
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
