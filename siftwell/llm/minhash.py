@@ -7,7 +7,7 @@ which about k ln k + 2k of them are expected, and each of the k coordinates keep
 so time goes with elements plus darts, not elements times k. The chance that two documents agree at a
 coordinate is their (weighted) Jaccard similarity.
 
-Documents with the same set are one node. Nodes that agree in a band of four coordinates share a bucket. Each
+Documents with the same set are one node. Nodes that agree in all coordinates of a band share a bucket. Each
 round every bucket compares hubs with its other members; pairs pass if their signatures allow the similarity
 and their shingle sets have it exactly, and joined nodes become one class. Members that were hubs leave
 their bucket, and a bucket is done when one class is left in it, so no pair of different classes in a bucket goes
@@ -33,13 +33,14 @@ from siftwell.llm._store import doc_key, written
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 4
+#: A pair of similarity 0.8 shares none of the bands with a chance of 6 in 100,000.
+BANDS, ROWS = 32, 6
 DOCS = 2048
-#: Signatures of BANDS * ROWS coordinates that agree in less than the similarity less this aren't verified;
-#: at a similarity of 0.8 that is more than five standard deviations.
-SLACK = 0.25
+#: Pairs that agree in less of the coordinates than the similarity less this aren't verified; at a similarity
+#: of 0.8 that is four standard deviations.
+SLACK = 0.12
 #: Hubs of a bucket in each round but the first.
-HUBS = 32
+HUBS = 64
 
 _FINE = 6
 
@@ -150,7 +151,7 @@ def distinct_shingles(texts, size: int = WORDS) -> Iterator[tuple[int, np.ndarra
 
 
 def signatures(df: DataFrame, text: str = "text", size: int = WORDS, weighted: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """df with node (of the shingle set; null without words), signature (packed 32-bit) and bands (64-bit each).
+    """df with node (of the shingle set; null without words), signature (the low 16 bits of each coordinate) and bands (64-bit each).
 
     The text is taken as it is; lower it before. With weighted, shingles weigh what they occur.
     """
@@ -168,7 +169,7 @@ def signatures(df: DataFrame, text: str = "text", size: int = WORDS, weighted: b
                 b = K.mix(b * K.U64(31) + d[:, j::ROWS])
             b = K.mix(b + np.arange(1, BANDS + 1, dtype=K.U64))
             node.append(pa.array(K.mix(sums).view(np.int64), mask=~full))
-            sig += [x.tobytes() for x in (d >> K.U64(1)).astype("<u4")]
+            sig += [x.tobytes() for x in (d >> K.U64(1)).astype("<u2")]
             bands += b.view(np.int64).tolist()
         return [pa.concat_arrays([*node, pa.array([], pa.int64())]), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
 
@@ -184,7 +185,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u4").reshape(t.num_rows, -1) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u2").reshape(t.num_rows, -1) for c in ("sa", "sb"))
             yield t.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least) if t.num_rows else pa.array([], pa.bool_()))
 
     return both.mapInArrow(run, pairs.select("a", "b").schema)
@@ -237,23 +238,18 @@ def classes(
     every = rows.select("_k1", "_k2", "doc_id", "node")
     same = F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("_k1").alias("_k1"), *same), "nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
+    members = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "node")
     shared = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("bucket", "hub")
     shared = written(shared, "buckets")
-    members = written(members.join(shared.hint("merge"), "bucket"), "members")
-    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    members = members.where("node <> hub").select("bucket", "node")
+    members = written(members.join(shared.hint("merge"), "bucket").join(nodes.select("node", "bands").hint("merge"), "node"), "members")
+    hubs = members.where("node = hub").select(F.col("bucket").alias("at"), F.col("node").alias("a"), F.col("bands").alias("hub_bands"))
+    pairs = members.where("node <> hub").join(hubs.hint("merge"), (F.col("bucket") == F.col("at")) & F.expr(_FIRST)).select("a", F.col("node").alias("b"))
+    members = members.where("node <> hub").select("bucket", "band", "node", "bands")
     labels: DataFrame | None = None
-    seen: list[DataFrame] = []
+    # The shingle sets of every node that shares a bucket are made once, with one shuffle of texts.
+    sets = written(_sets(lowered, nodes, members.select("node").unionByName(shared.select(F.col("hub").alias("node"))).distinct(), size), "sets")
     while True:
         pairs = written(_alike(pairs, nodes, similarity), "pairs")
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        for s in seen:
-            needed = needed.join(s.select("node"), "node", "left_anti")
-        seen.append(written(_sets(lowered, nodes, needed, size), "sets"))
-        sets = seen[0]
-        for s in seen[1:]:
-            sets = sets.unionByName(s)
         edges = written(_verified(pairs, sets, similarity), "links")
         if not edges.isEmpty():
             labels = _merge(labels, edges)
@@ -297,6 +293,10 @@ def _merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return written(old.unionByName(moved), "classes")
 
 
+#: A pair is compared in the bucket of the first band that it shares, and there only.
+_FIRST = "array_position(zip_with(bands, hub_bands, (p, q) -> p = q), true) = band + 1"
+
+
 def _next(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """Members of buckets with several classes, without the next hubs, and the pairs of these with them."""
     named = _label(labels, members, "node", "label")
@@ -304,13 +304,13 @@ def _next(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Data
     major = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "major")
     named = written(named.join(written(major, "majors").hint("merge"), "bucket"), "open")
     slot = F.pmod(F.xxhash64("node"), F.lit(HUBS))
-    hubs = named.where("label <> major").groupBy("bucket", slot.alias("slot")).agg(F.min_by(F.struct("node", "label"), "node").alias("hub")).select("bucket", "hub.node", "hub.label")
+    hubs = named.where("label <> major").groupBy("bucket", slot.alias("slot")).agg(F.min_by(F.struct("node", "label", "bands"), "node").alias("hub")).select("bucket", "hub.*")
     hubs = written(hubs, "hubs")
     if hubs.isEmpty():
         return members, None
-    a, b = hubs.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), named.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = b.join(a.hint("merge"), "bucket").where("la <> lb").select("a", "b").distinct()
-    rest = named.select("bucket", "node").join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti")
+    a = hubs.select(F.col("bucket").alias("at"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("bands").alias("hub_bands"))
+    pairs = named.join(a.hint("merge"), (F.col("bucket") == F.col("at")) & F.expr(f"label <> la AND {_FIRST}")).select("a", F.col("node").alias("b"))
+    rest = named.select("bucket", "band", "node", "bands").join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "band", "node", "bands")
     return written(rest, "members"), pairs
 
 
