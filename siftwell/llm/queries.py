@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, substring_dedup, toxicity
+from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, substring_dedup, toxicity, warc
 from siftwell.llm._labels import held_out
 from siftwell.llm._store import written
 
@@ -143,3 +143,9 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op6_warc")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read_all(segments, warc.build_index(segments)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
