@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, substring_dedup, toxicity, warc
+from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, substring_dedup, token_counts, toxicity, warc
 from siftwell.llm._labels import held_out
 from siftwell.llm._store import written
 
@@ -47,6 +47,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document before and after edits that mask personal data, counted by its segment tree."""
+    codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    counted = token_counts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), codec).withColumnRenamed("n_tokens", "n_before")
+    return token_counts.recount(counted, codec, token_counts.masks).select("doc_id", F.col("n_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "n_encoded")
+
+
 @query("op8_telephony")
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
