@@ -7,9 +7,10 @@ which about k ln k + 2k of them are expected, and each of the k coordinates keep
 so time goes with elements plus darts, not elements times k. The chance that two documents agree at a
 coordinate is their (weighted) Jaccard similarity.
 
-Documents with the same set are one node. Nodes that agree in all coordinates of a band share a bucket. Each
-round every bucket compares hubs with its other members; pairs pass if their signatures allow the similarity
-and their shingle sets have it exactly, and joined nodes become one class. Members that were hubs leave
+Documents with the same set are one node. Nodes that agree in all coordinates of a band share a bucket. First
+every node meets the least hub of its buckets; then each round every bucket compares hubs with its members of other
+classes; pairs pass if their signatures allow the similarity and their shingle sets have it exactly, and joined
+nodes become one class. Members that were hubs leave
 their bucket, and a bucket is done when one class is left in it, so no pair of different classes in a bucket goes
 uncompared, while a group of copies costs a row per copy and not a row per pair.
 
@@ -39,8 +40,10 @@ DOCS = 2048
 #: Pairs that agree in less of the coordinates than the similarity less this aren't verified; at a similarity
 #: of 0.8 that is four standard deviations.
 SLACK = 0.12
-#: Hubs of a bucket in each round but the first.
-HUBS = 64
+#: Hubs of a large bucket in the first round of hubs; buckets of SMALL members have as many.
+HUBS, SMALL = 4, 64
+#: Rows of up to three numbers that may be broadcast (5 MB).
+FEW = 200_000
 
 _FINE = 6
 
@@ -177,35 +180,66 @@ def signatures(df: DataFrame, text: str = "text", size: int = WORDS, weighted: b
     return with_columns(df, text, fields, run, keep)
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    out = written(df, name)
+    return out, out.count()
+
+
+def _by_size(df: DataFrame, n: int) -> DataFrame:
+    """df (of a few numbers a row) for a join: broadcast if its n rows are few, else sorted and merged."""
+    return F.broadcast(df) if n <= FEW else df.hint("merge")
+
+
+def _of_pairs(table: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Rows of table whose node is in pairs; if these are many, all, as the join that follows picks them."""
+    if n > FEW:
+        return table
+    return table.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+
+
+def _both(pairs: DataFrame, n: int, table: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with the value of each, va and vb."""
+    own = _of_pairs(table.select("node", value), pairs, n)
+    with_b = own.select(F.col("node").alias("b"), F.col(value).alias("vb")).join(_by_size(pairs, n), "b")
+    return with_b.join(own.select(F.col("node").alias("a"), F.col(value).alias("va")).hint("merge"), "a").select("a", "b", "va", "vb")
+
+
+def _alike(pairs: DataFrame, n: int, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough."""
-    sig = lambda c: nodes.select(F.col("node").alias(c), F.col("signature").alias(f"s{c}"))
-    both = pairs.join(sig("a").hint("merge"), "a").join(sig("b").hint("merge"), "b")
     least = (similarity - SLACK) * BANDS * ROWS
 
     def run(batches):
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u2").reshape(t.num_rows, -1) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u2").reshape(t.num_rows, -1) for c in ("va", "vb"))
             yield t.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least) if t.num_rows else pa.array([], pa.bool_()))
 
-    return both.mapInArrow(run, pairs.select("a", "b").schema)
+    return _both(pairs, n, nodes, "signature").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _shingle_sets(column, size: int) -> list[np.ndarray]:
+    out = []
+    for n, h, doc, _ in distinct_shingles(column, size):
+        cut = np.searchsorted(doc, np.arange(n + 1))
+        out += [np.sort(h[a:b]) for a, b in zip(cut, cut[1:])]
+    return out
+
+
+def _verified(pairs: DataFrame, n: int, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Pairs (a, b) whose shingle sets have the similarity."""
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
-    both = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
 
     def run(batches):
         for t in batches:
+            if not t.num_rows:
+                continue
+            _, first, place = np.unique(t.column("a").to_numpy(), return_index=True, return_inverse=True)
+            hubs = _shingle_sets(t.column("va").take(pa.array(first)), size)
             good = []
-            for x, y in zip(t.column("sa"), t.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            for i, y in zip(place, _shingle_sets(t.column("vb"), size)):
+                common = len(np.intersect1d(hubs[i], y, assume_unique=True))
+                good.append(common >= similarity * (len(hubs[i]) + len(y) - common) - 1e-9)
             yield t.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, pairs.select("a", "b").schema)
+    return _both(pairs, n, texts, "text").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,12 +249,12 @@ def components(edges: DataFrame) -> DataFrame:
     goes with the logarithm of the longest path.
     """
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    labels, n = _stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("via"))
-        jump = step.join(labels.select(F.col("node").alias("via"), F.col("label").alias("next")).hint("merge"), "via").select("node", "old", F.least("via", "next").alias("label"))
-        after = written(jump, "labels")
+        of = lambda node, label: _by_size(labels.select(F.col("node").alias(node), F.col("label").alias(label)), n)
+        near = both.join(of("b", "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        step = near.join(of("node", "old"), "node").select("node", "old", F.least("old", "m").alias("via"))
+        after = written(step.join(of("via", "next"), "via").select("node", "old", F.least("via", "next").alias("label")), "labels")
         labels = after.select("node", "label")
         if after.where("old <> label").isEmpty():
             return labels
@@ -238,80 +272,65 @@ def classes(
     every = rows.select("_k1", "_k2", "doc_id", "node")
     same = F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("_k1").alias("_k1"), *same), "nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "node")
-    shared = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("bucket", "hub")
-    shared = written(shared, "buckets")
-    members = written(members.join(shared.hint("merge"), "bucket").join(nodes.select("node", "bands").hint("merge"), "node"), "members")
-    hubs = members.where("node = hub").select(F.col("bucket").alias("at"), F.col("node").alias("a"), F.col("bands").alias("hub_bands"))
-    pairs = members.where("node <> hub").join(hubs.hint("merge"), (F.col("bucket") == F.col("at")) & F.expr(_FIRST)).select("a", F.col("node").alias("b"))
-    members = members.where("node <> hub").select("bucket", "band", "node", "bands")
-    labels: DataFrame | None = None
-    # The shingle sets of every node that shares a bucket are made once, with one shuffle of texts.
-    sets = written(_sets(lowered, nodes, members.select("node").unionByName(shared.select(F.col("hub").alias("node"))).distinct(), size), "sets")
-    while True:
-        pairs = written(_alike(pairs, nodes, similarity), "pairs")
-        edges = written(_verified(pairs, sets, similarity), "links")
-        if not edges.isEmpty():
-            labels = _merge(labels, edges)
-        members, pairs = _next(members, labels)
-        if pairs is None:
-            break
+    members = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
+    shared, n_shared = _stored(members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("bucket", "hub"), "buckets")
+    members = written(members.join(_by_size(shared, n_shared), "bucket"), "members")
+    needed, n_needed = _stored(nodes.select("node", "_k1").join(members.select("node").distinct(), "node"), "needed")
+    # The texts of nodes that share a bucket, one of each.
+    texts = written(lowered.select("_k1", "text").join(_by_size(needed, n_needed), "_k1").dropDuplicates(["node"]).select("node", "text"), "texts")
+    # First every node meets one hub only, which joins most copies; what follows compares different classes.
+    pairs, n = _stored(members.groupBy("node").agg(F.min("hub").alias("a")).where("a < node").select("a", F.col("node").alias("b")), "pairs")
+    members, labels, n_labels, turn = members.select("bucket", "node"), None, 0, 0
+    while n:
+        near, n = _stored(_alike(pairs, n, nodes, similarity), "near")
+        edges, n = _stored(_verified(near, n, texts, size, similarity), "links")
+        if n:
+            labels, n_labels = _merge(labels, n_labels, edges)
+        members, pairs, n = _next(members, labels, n_labels, turn)
+        turn += 1
     if labels is None:
         return every.withColumn("class", F.coalesce("node", F.xxhash64("_k1", "_k2"))).drop("node")
-    named = every.join(labels.hint("merge"), "node", "left")
+    named = every.join(_by_size(labels, n_labels), "node", "left")
     return named.select("_k1", "_k2", "doc_id", F.coalesce("label", "node", F.xxhash64("_k1", "_k2")).alias("class"))
 
 
-def _sets(lowered: DataFrame, nodes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): the sorted distinct shingles of needed nodes, from the text of one document of each."""
-    one = written(nodes.select("node", "_k1").join(needed, "node"), "needed")
-    texts = lowered.select("_k1", "text").join(one, "_k1").dropDuplicates(["node"])
-
-    def run(column):
-        out = []
-        for n, h, doc, _ in distinct_shingles(column, size):
-            cut = np.searchsorted(doc, np.arange(n + 1))
-            out += [np.sort(h[a:b]).tobytes() for a, b in zip(cut, cut[1:])]
-        return [pa.array(out, pa.binary())]
-
-    return with_columns(texts, "text", [StructField("shingles", BinaryType())], run, ["node"])
-
-
-def _label(labels: DataFrame | None, df: DataFrame, node: str, name: str) -> DataFrame:
+def _label(labels: DataFrame | None, n: int, df: DataFrame, node: str, name: str) -> DataFrame:
     if labels is None:
         return df.withColumn(name, F.col(node))
-    return df.join(labels.select(F.col("node").alias(node), F.col("label").alias("__l")).hint("merge"), node, "left").withColumn(name, F.coalesce("__l", node)).drop("__l")
+    own = _by_size(labels.select(F.col("node").alias(node), F.col("label").alias("__l")), n)
+    return df.join(own, node, "left").withColumn(name, F.coalesce("__l", node)).drop("__l")
 
 
-def _merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def _merge(labels: DataFrame | None, n: int, edges: DataFrame) -> tuple[DataFrame, int]:
     """labels (only of nodes whose label is another node) after edges between their classes."""
     if labels is None:
-        return written(components(edges).where("node <> label"), "classes")
-    e = _label(labels, _label(labels, edges, "a", "la"), "b", "lb").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    moved = components(e).where("node <> label")
-    old = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return written(old.unionByName(moved), "classes")
+        return _stored(components(edges).where("node <> label"), "classes")
+    e = _label(labels, n, _label(labels, n, edges, "a", "la"), "b", "lb").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    moved, m = _stored(components(e).where("node <> label"), "moved")
+    old = labels.join(_by_size(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), m), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return _stored(old.unionByName(moved), "classes")
 
 
-#: A pair is compared in the bucket of the first band that it shares, and there only.
-_FIRST = "array_position(zip_with(bands, hub_bands, (p, q) -> p = q), true) = band + 1"
+def _next(members: DataFrame, labels: DataFrame | None, n_labels: int, turn: int) -> tuple[DataFrame, DataFrame, int]:
+    """Members of buckets with several classes, without the next hubs, the pairs of these with them, and their number.
 
-
-def _next(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Members of buckets with several classes, without the next hubs, and the pairs of these with them."""
-    named = _label(labels, members, "node", "label")
+    Hubs are of other classes than the bucket's most frequent one. A small bucket takes all of these, a large
+    one a few, and twice as many each turn, so hubs times members stays near the members.
+    """
+    named = _label(labels, n_labels, members, "node", "label")
     per = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    major = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "major")
-    named = written(named.join(written(major, "majors").hint("merge"), "bucket"), "open")
-    slot = F.pmod(F.xxhash64("node"), F.lit(HUBS))
-    hubs = named.where("label <> major").groupBy("bucket", slot.alias("slot")).agg(F.min_by(F.struct("node", "label", "bands"), "node").alias("hub")).select("bucket", "hub.*")
-    hubs = written(hubs, "hubs")
-    if hubs.isEmpty():
-        return members, None
-    a = hubs.select(F.col("bucket").alias("at"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("bands").alias("hub_bands"))
-    pairs = named.join(a.hint("merge"), (F.col("bucket") == F.col("at")) & F.expr(f"label <> la AND {_FIRST}")).select("a", F.col("node").alias("b"))
-    rest = named.select("bucket", "band", "node", "bands").join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "band", "node", "bands")
-    return written(rest, "members"), pairs
+    major = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"), F.sum("n").alias("size"))
+    major, n = _stored(major.where("labels > 1").select("bucket", "major", "size"), "majors")
+    if not n:
+        return members, members, 0
+    named = written(named.join(_by_size(major, n), "bucket"), "open")
+    slots = F.greatest(F.lit(HUBS), F.ceil(F.lit(SMALL * SMALL) / F.col("size"))) * F.lit(1 << turn)
+    slot = F.pmod(F.xxhash64("node"), slots)
+    hubs, n = _stored(named.where("label <> major").groupBy("bucket", slot.alias("slot")).agg(F.min_by(F.struct("node", "label"), "node").alias("hub")).select("bucket", "hub.*"), "hubs")
+    a = _by_size(hubs.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), n)
+    pairs, n_pairs = _stored(named.join(a, "bucket").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
+    rest = named.select("bucket", "node").join(_by_size(hubs.select("bucket", "node"), n), ["bucket", "node"], "left_anti")
+    return written(rest, "members"), pairs, n_pairs
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
