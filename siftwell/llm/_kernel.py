@@ -1,6 +1,6 @@
 """Array kernels over a run of documents held as one byte buffer.
 
-Every operator here that works on words does so on slices of a few megabytes: the texts of an Arrow
+Every operator here that works on words does so on slices of some megabytes: the texts of an Arrow
 batch are one byte array with offsets, words are found by table lookup, and word hashes come from prefix
 sums, so no Python object is made per word.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _BASE = 0xD6E8FEB86659FD93

@@ -8,8 +8,8 @@ so time goes with elements plus darts, not elements times k. The chance that two
 coordinate is their (weighted) Jaccard similarity.
 
 Documents with the same set are one node. Nodes that agree in all coordinates of a band share a bucket. First
-every node meets the least hub of its buckets; then each round every bucket compares hubs with its members of other
-classes; pairs pass if their signatures allow the similarity and their shingle sets have it exactly, and joined
+every node meets the least hub of its buckets, and then representatives of the frequent classes of its buckets
+while that joins many; then each round every bucket compares hubs with its members of other classes; pairs pass if their signatures allow the similarity and their shingle sets have it exactly, and joined
 nodes become one class. Members that were hubs leave
 their bucket, and a bucket is done when one class is left in it, so no pair of different classes in a bucket goes
 uncompared, while a group of copies costs a row per copy and not a row per pair.
@@ -280,14 +280,23 @@ def classes(
     texts = written(lowered.select("_k1", "text").join(_by_size(needed, n_needed), "_k1").dropDuplicates(["node"]).select("node", "text"), "texts")
     # First every node meets one hub only, which joins most copies; what follows compares different classes.
     pairs, n = _stored(members.groupBy("node").agg(F.min("hub").alias("a")).where("a < node").select("a", F.col("node").alias("b")), "pairs")
-    members, labels, n_labels, turn = members.select("bucket", "node"), None, 0, 0
+    members, labels, n_labels, turn, hubs = members.select("bucket", "node"), None, 0, 0, 0
     while n:
+        tried = n
         near, n = _stored(_alike(pairs, n, nodes, similarity), "near")
         edges, n = _stored(_verified(near, n, texts, size, similarity), "links")
         if n:
             labels, n_labels = _merge(labels, n_labels, edges)
-        members, pairs, n = _next(members, labels, n_labels, turn)
+        members, n_open = _open(members, labels, n_labels)
+        if not n_open:
+            break
         turn += 1
+        # While single comparisons join a good part of what is left, go on with them; then compare all.
+        if not hubs and (turn == 1 or 4 * n >= tried):
+            pairs, n = _nearest(members, turn)
+        else:
+            members, pairs, n = _next(members, hubs)
+            hubs += 1
     if labels is None:
         return every.withColumn("class", F.coalesce("node", F.xxhash64("_k1", "_k2"))).drop("node")
     named = every.join(_by_size(labels, n_labels), "node", "left")
@@ -311,19 +320,29 @@ def _merge(labels: DataFrame | None, n: int, edges: DataFrame) -> tuple[DataFram
     return _stored(old.unionByName(moved), "classes")
 
 
-def _next(members: DataFrame, labels: DataFrame | None, n_labels: int, turn: int) -> tuple[DataFrame, DataFrame, int]:
-    """Members of buckets with several classes, without the next hubs, the pairs of these with them, and their number.
+def _open(members: DataFrame, labels: DataFrame | None, n_labels: int) -> tuple[DataFrame, int]:
+    """Members of buckets with several classes, with label, the bucket's most frequent label (major), and its size; and how many such buckets."""
+    named = _label(labels, n_labels, members.select("bucket", "node"), "node", "label")
+    per = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    major = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"), F.sum("n").alias("size"))
+    major, n = _stored(major.where("labels > 1").select("bucket", "major", "size"), "majors")
+    return (written(named.join(_by_size(major, n), "bucket"), "open") if n else members), n
+
+
+def _nearest(named: DataFrame, turn: int) -> tuple[DataFrame, int]:
+    """A pair for each node outside its bucket's major class: with that representative of the class that most of its buckets name."""
+    one = named.where("label = major").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"))
+    votes = named.where("label <> major").join(one.hint("merge"), "bucket").groupBy("node", "a").agg(F.count("*").alias("n"))
+    best = votes.groupBy("node").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    return _stored(best.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
+
+
+def _next(named: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, int]:
+    """Members without the next hubs, the pairs of these with members of other classes, and their number.
 
     Hubs are of other classes than the bucket's most frequent one. A small bucket takes all of these, a large
     one a few, and twice as many each turn, so hubs times members stays near the members.
     """
-    named = _label(labels, n_labels, members, "node", "label")
-    per = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    major = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"), F.sum("n").alias("size"))
-    major, n = _stored(major.where("labels > 1").select("bucket", "major", "size"), "majors")
-    if not n:
-        return members, members, 0
-    named = written(named.join(_by_size(major, n), "bucket"), "open")
     slots = F.greatest(F.lit(HUBS), F.ceil(F.lit(SMALL * SMALL) / F.col("size"))) * F.lit(1 << turn)
     slot = F.pmod(F.xxhash64("node"), slots)
     hubs, n = _stored(named.where("label <> major").groupBy("bucket", slot.alias("slot")).agg(F.min_by(F.struct("node", "label"), "node").alias("hub")).select("bucket", "hub.*"), "hubs")
