@@ -154,18 +154,20 @@ def distinct_shingles(texts, size: int = WORDS) -> Iterator[tuple[int, np.ndarra
 
 
 def signatures(df: DataFrame, text: str = "text", size: int = WORDS, weighted: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """df with node (of the shingle set; null without words), signature (the low 16 bits of each coordinate) and bands (64-bit each).
+    """df with node (of the shingle set; null without words), signature (the low 16 bits of each coordinate) bands (64-bit each) and n_shingles.
 
     The text is taken as it is; lower it before. With weighted, shingles weigh what they occur.
     """
     k = BANDS * ROWS
 
     def run(texts):
-        node, sig, bands = [], [], []
+        node, sig, bands, sizes = [], [], [], []
         for n, h, doc, count in distinct_shingles(texts, size):
             sums = np.zeros(n, K.U64)
             np.add.at(sums, doc, K.mix(h + count.astype(K.U64)) if weighted else K.mix(h))
-            full = np.bincount(doc, minlength=n) > 0
+            in_doc = np.bincount(doc, minlength=n)
+            full = in_doc > 0
+            sizes.append(pa.array(in_doc, pa.int64()))
             d = dart_minhash(h, doc, n, k, count.astype(float) if weighted else None)
             b = np.zeros((n, BANDS), K.U64)
             for j in range(ROWS):
@@ -174,9 +176,9 @@ def signatures(df: DataFrame, text: str = "text", size: int = WORDS, weighted: b
             node.append(pa.array(K.mix(sums).view(np.int64), mask=~full))
             sig += [x.tobytes() for x in (d >> K.U64(1)).astype("<u2")]
             bands += b.view(np.int64).tolist()
-        return [pa.concat_arrays([*node, pa.array([], pa.int64())]), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        return [pa.concat_arrays([*node, pa.array([], pa.int64())]), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.concat_arrays([*sizes, pa.array([], pa.int64())])]
 
-    fields = [StructField("node", LongType()), StructField("signature", BinaryType()), StructField("bands", ArrayType(LongType()))]
+    fields = [StructField("node", LongType()), StructField("signature", BinaryType()), StructField("bands", ArrayType(LongType())), StructField("n_shingles", LongType())]
     return with_columns(df, text, fields, run, keep)
 
 
@@ -270,9 +272,9 @@ def classes(
     lowered = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select(*doc_key(), "doc_id", F.lower("text").alias("text"))
     rows = written(signatures(lowered, size=size, weighted=weighted, keep=["_k1", "_k2", "doc_id"]), "signatures")
     every = rows.select("_k1", "_k2", "doc_id", "node")
-    same = F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")
+    same = F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n_shingles")
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("_k1").alias("_k1"), *same), "nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
+    members = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node", "n_shingles")
     shared, n_shared = _stored(members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("bucket", "hub"), "buckets")
     members = written(members.join(_by_size(shared, n_shared), "bucket"), "members")
     needed, n_needed = _stored(nodes.select("node", "_k1").join(members.select("node").distinct(), "node"), "needed")
@@ -280,8 +282,8 @@ def classes(
     texts = written(lowered.select("_k1", "text").join(_by_size(needed, n_needed), "_k1").dropDuplicates(["node"]).select("node", "text"), "texts")
     # First every node meets one hub only, which joins most copies; what follows compares different classes.
     pairs, n = _stored(members.groupBy("node").agg(F.min("hub").alias("a")).where("a < node").select("a", F.col("node").alias("b")), "pairs")
-    members, labels, n_labels, turn, hubs = members.select("bucket", "node"), None, 0, 0, 0
-    while n:
+    members, labels, n_labels, turn, hubs = members.select("bucket", "node", "n_shingles"), None, 0, 0, 0
+    while n or hubs:
         tried = n
         near, n = _stored(_alike(pairs, n, nodes, similarity), "near")
         edges, n = _stored(_verified(near, n, texts, size, similarity), "links")
@@ -295,7 +297,7 @@ def classes(
         if not hubs and (turn == 1 or 4 * n >= tried):
             pairs, n = _nearest(members, turn)
         else:
-            members, pairs, n = _next(members, hubs)
+            members, pairs, n = _next(members, hubs, similarity)
             hubs += 1
     if labels is None:
         return every.withColumn("class", F.coalesce("node", F.xxhash64("_k1", "_k2"))).drop("node")
@@ -322,7 +324,7 @@ def _merge(labels: DataFrame | None, n: int, edges: DataFrame) -> tuple[DataFram
 
 def _open(members: DataFrame, labels: DataFrame | None, n_labels: int) -> tuple[DataFrame, int]:
     """Members of buckets with several classes, with label, the bucket's most frequent label (major), and its size; and how many such buckets."""
-    named = _label(labels, n_labels, members.select("bucket", "node"), "node", "label")
+    named = _label(labels, n_labels, members.select("bucket", "node", "n_shingles"), "node", "label")
     per = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     major = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"), F.sum("n").alias("size"))
     major, n = _stored(major.where("labels > 1").select("bucket", "major", "size"), "majors")
@@ -337,18 +339,21 @@ def _nearest(named: DataFrame, turn: int) -> tuple[DataFrame, int]:
     return _stored(best.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
 
 
-def _next(named: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, int]:
+def _next(named: DataFrame, turn: int, similarity: float) -> tuple[DataFrame, DataFrame, int]:
     """Members without the next hubs, the pairs of these with members of other classes, and their number.
 
-    Hubs are of other classes than the bucket's most frequent one. A small bucket takes all of these, a large
-    one a few, and twice as many each turn, so hubs times members stays near the members.
+    Hubs are of other classes than the most frequent one of a bucket. A small bucket takes all of these, a large
+    one a few, and twice as many each turn. A hub meets the others of all its buckets whose number of shingles
+    allows the similarity, and then leaves all, so no pair is compared in two turns.
     """
     slots = F.greatest(F.lit(HUBS), F.ceil(F.lit(SMALL * SMALL) / F.col("size"))) * F.lit(1 << turn)
     slot = F.pmod(F.xxhash64("node"), slots)
-    hubs, n = _stored(named.where("label <> major").groupBy("bucket", slot.alias("slot")).agg(F.min_by(F.struct("node", "label"), "node").alias("hub")).select("bucket", "hub.*"), "hubs")
-    a = _by_size(hubs.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), n)
-    pairs, n_pairs = _stored(named.join(a, "bucket").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-    rest = named.select("bucket", "node").join(_by_size(hubs.select("bucket", "node"), n), ["bucket", "node"], "left_anti")
+    chosen, n = _stored(named.where("label <> major").groupBy("bucket", slot.alias("slot")).agg(F.min("node").alias("node")).select("node").distinct(), "chosen")
+    hubs, n_hubs = _stored(named.join(_by_size(chosen, n), "node").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na")), "hubs")
+    near = (F.col("label") != F.col("la")) & (F.least("na", "n_shingles") >= similarity * F.greatest("na", "n_shingles") - 1e-9)
+    pairs = named.join(_by_size(hubs, n_hubs), "bucket").where(near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    pairs, n_pairs = _stored(pairs.distinct(), "pairs")
+    rest = named.select("bucket", "node", "n_shingles").join(_by_size(chosen, n), "node", "left_anti")
     return written(rest, "members"), pairs, n_pairs
 
 
