@@ -41,7 +41,8 @@ DISGUISES = {
 SEPARATORS = " .-_*"
 #: Costs (negative logs) of the channel: a sign for a letter, a sign for itself, a repeated or separating character.
 AS_LETTER, AS_ITSELF, AS_NOTHING = 0.7, 7.0, 0.4
-MAX_SPAN = 64
+#: Characters of spans that a decoder keeps the words of.
+KNOWN = 4_000_000
 
 # The alphabet of the character model: 0 for what stands between words, 1 to 26, and 27 beyond ASCII.
 _CODE = np.zeros(256, np.int64)
@@ -88,49 +89,57 @@ def costs(counts: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi decoding of one span under the character model."""
+    """Viterbi decoding of one span, of any length, under the character model."""
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.tolist()
         self.known: dict[str, str] = {}
+        self.held = 0
 
     def __call__(self, span: str) -> str:
-        span = span[:MAX_SPAN]
         word = self.known.get(span)
         if word is None:
-            if len(self.known) > 100_000:
+            if self.held > KNOWN:
                 self.known.clear()
+                self.held = 0
             word = self.known[span] = self._decode(span)
+            self.held += len(span) + 40
         return word
 
     def _decode(self, span: str) -> str:
-        best = {(0, 0): (0.0, "")}
+        """Paths are links back to their last letter, so time and memory grow with the span's length only."""
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
         for c in span:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-            def reach(state, price, word):
-                if state not in after or (price, word) < after[state]:
-                    after[state] = (price, word)
+            def reach(state, price, path):
+                if state not in after or price < after[state][0]:
+                    after[state] = (price, path)
 
-            for (a, b), (price, word) in best.items():
+            for (a, b), (price, path) in best.items():
                 row = self.cost[a][b]
                 if c.isascii() and c.isalpha():
                     k = ord(c) - 96
-                    reach((b, k), price + row[k], word + c)
+                    reach((b, k), price + row[k], (path, c))
                 for letter in DISGUISES.get(c, ""):
                     k = ord(letter) - 96
-                    reach((b, k), price + AS_LETTER + row[k], word + letter)
-                    if word.endswith(letter):
-                        reach((a, b), price + AS_LETTER + AS_NOTHING, word)
+                    reach((b, k), price + AS_LETTER + row[k], (path, letter))
+                    if b == k:
+                        reach((a, b), price + AS_LETTER + AS_NOTHING, path)
                 if not c.isascii():
-                    reach((b, 27), price + row[27], word + c)
+                    reach((b, 27), price + row[27], (path, c))
                 elif not c.isalpha():
-                    reach((b, 0), price + AS_ITSELF + row[0], word + c)
+                    reach((b, 0), price + AS_ITSELF + row[0], (path, c))
                 if c == before or c in SEPARATORS and c not in DISGUISES:
-                    reach((a, b), price + AS_NOTHING, word)
+                    reach((a, b), price + AS_NOTHING, path)
             best, before = after, c
-        return min((price + self.cost[a][b][0], word) for (a, b), (price, word) in best.items())[1]
+        path = min((price + self.cost[a][b][0], i, path) for i, ((a, b), (price, path)) in enumerate(best.items()))[2]
+        word = []
+        while path is not None:
+            path, c = path
+            word.append(c)
+        return "".join(reversed(word))
 
 
 def suspects(s: K.Slice, data: np.ndarray) -> list[tuple[int, str, bool]]:

@@ -80,3 +80,15 @@ def test_odd_tables(spark, fitted):
     assert out.columns == ["doc_id", "text", "score"] and [r.score for r in out.collect()] == [0.5] * 5
     assert T.score(docs.limit(0), fitted[2]).count() == 0
     assert T.count_trigrams(docs.limit(0)).sum() == 0
+
+
+def test_spans_are_decoded_beyond_any_length(spark, fitted):
+    filler = "m n r t l s " * 12
+    texts = [(f"the and {filler}i d i o t the",), (f"the and {filler}the",), ("the and " + "h o u s e " * 40 + "the",)]
+    m = fitted[2]
+    told = [r.score for r in T.score(spark.createDataFrame(texts, "text string"), m).collect()]
+    assert told[0] >= 0.3 > told[1]
+    restored = [r.restored for r in T.restore(spark.createDataFrame(texts, "text string"), m).collect()]
+    assert restored[0].endswith("idiot the") and len(restored[2]) > 190
+    span = "".join(f"{c} " for c in "house" * 20_000)
+    assert T.Decoder(m.cost)(span.strip()) == "house" * 20_000
