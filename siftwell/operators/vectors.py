@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm._store import written
+from siftwell.llm.minhash import components
 from siftwell.operators.lexical import top
 
 BLOCK = 4096
@@ -64,6 +66,45 @@ def search(vectors: DataFrame, queries: DataFrame, k: int | None, metric: str =
     return found if k is None else top(found, k, "vec_id")
 
 
+def _stars(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(least id, other ids) of each set of rows and columns that true cells connect."""
+    free = linked.any(axis=1)
+    for r in np.flatnonzero(free):
+        if not free[r]:
+            continue
+        own, found, front = np.zeros(len(rows), bool), np.zeros(len(columns), bool), np.array([r])
+        while len(front):
+            own[front], free[front] = True, False
+            new = linked[front].any(axis=0) & ~found
+            found |= new
+            front = np.flatnonzero(linked[:, new].any(axis=1) & ~own)
+        ids = np.unique(np.concatenate([rows[own], columns[found]]))
+        yield ids[:1], ids[1:]
+
+
+def alike_classes(vectors: DataFrame, least: float, metric: str = "cosine", vec_id: str = "vec_id", embedding: str = "embedding", rows: int = 1024, columns: int = BLOCK) -> DataFrame:
+    """(vec_id, class_id): vectors that any chain of scores of least or more connects have the same class, the least id in it.
+
+    All pairs are compared, in blocks. A pair of blocks passes on, of each set of vectors that it connects, a row a vector and not
+    a row a link, so a large group of copies stays small. Vectors without a link are left out.
+    """
+    measure = METRICS[metric]
+    pairs = _blocks(vectors, vec_id, embedding, columns, "v").join(_blocks(vectors, vec_id, embedding, rows, "q"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for vi, vv, qi, qv in zip(*b.columns):
+                ids, qids = np.frombuffer(vi.as_py(), "<i8"), np.frombuffer(qi.as_py(), "<i8")
+                if qids.min() >= ids.max():
+                    continue
+                s = measure(np.frombuffer(qv.as_py(), "<f8").reshape(len(qids), -1), np.frombuffer(vv.as_py(), "<f8").reshape(len(ids), -1))
+                for first, others in _stars((np.round(s, 6) >= least) & (qids[:, None] < ids[None, :]), qids, ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(first, len(others))), pa.array(others)], ["a", "b"])
+
+    edges = written(pairs.select("vi", "vv", "qi", "qv").mapInArrow(run, "a long, b long").distinct(), "alike")
+    return components(edges).select(F.col("node").alias("vec_id"), F.col("label").alias("class_id"))
+
+
 def hashed_embedding(tokens: list[str], dim: int = 64) -> np.ndarray:
     """A deterministic embedding of a bag of words: signed counts by hash, of unit length."""
     import xxhash
