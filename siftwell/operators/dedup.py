@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.llm._store import written
+from siftwell.llm.minhash import components
+
+#: Buckets of the counts that rule pairs out.
+CHARS, GRAMS = 64, 512
 
 
 def fingerprint(text: Column | str = "text") -> Column:
@@ -26,22 +33,96 @@ def exact(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return docs.join(groups(docs, doc_id).select(F.col("first_id").alias(doc_id)), doc_id, "left_semi")
 
 
-def alike_pairs(docs: DataFrame, ratio: float = 0.95, doc_id: str = "doc_id", shared: int = 8) -> DataFrame:
-    """(a, b, ratio): pairs of short texts whose matching characters reach the ratio, a before b.
+def _profile(t: str) -> np.ndarray:
+    """Counts of the characters, then of the runs of three, in buckets."""
+    c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    grams = (c[:-2] * 1_000_003 + c[1:-1] * 8191 + c[2:]) * 0x9E3779B1 >> 16
+    return np.concatenate([np.bincount(c % CHARS, minlength=CHARS), np.bincount(grams % GRAMS, minlength=GRAMS)]).astype(np.int32)
+
+
+def _ratio(text: str, earlier: str, ratio: float) -> float:
+    m = SequenceMatcher(None, text, earlier)
+    return m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0
+
+
+def _may(p: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, ratio: float) -> np.ndarray:
+    """Places of others that could reach the ratio. Every pair that reaches it passes.
+
+    Matching characters are a common subsequence, so at most far characters are deleted or inserted; each changes one
+    character count by one and the counts of runs of three by five at most.
+    """
+    far = (1 - ratio) * (size + sizes) + 1e-6
+    at = np.flatnonzero(np.abs(sizes - size) <= far)
+    at = at[np.abs(others[at, :CHARS] - p[:CHARS]).sum(axis=1) <= far[at]]
+    return at[np.abs(others[at, CHARS:] - p[CHARS:]).sum(axis=1) <= 5 * far[at]]
+
+
+def _links(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
+    """Links between the texts of two blocks (or in one) that connect the same texts as all their links do."""
+    rows = rows.sort_values("id")
+    ids, texts = rows["id"].tolist(), rows["t"].tolist()
+    left, one = rows["left"].to_numpy(), rows["left"].all()
+    sizes, profiles = np.array([len(t) for t in texts]), np.stack([_profile(t) for t in texts])
+    places = np.arange(len(ids)) if one else np.flatnonzero(~left)
+    others, own = profiles[places], sizes[places]
+    root, out = list(range(len(ids))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in np.flatnonzero(left).tolist():
+        for j in places[_may(profiles[i], sizes[i], others, own, ratio)].tolist():
+            if one and j <= i:
+                continue
+            x, y = min(i, j), max(i, j)
+            if find(x) != find(y) and round(_ratio(texts[y], texts[x], ratio), 6) >= ratio:
+                root[find(y)] = find(x)
+                out.append((ids[x], ids[y]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _dropped(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
+    """(a, b, ratio) of each text b that is alike to a kept one, the first of which is a; in the order of ids."""
+    kept, out = [], []
+    for i, t in rows.sort_values("id")[["id", "t"]].itertuples(index=False):
+        p = _profile(t)
+        may = _may(p, len(t), np.stack([k[2] for k in kept]), np.array([len(k[1]) for k in kept]), ratio).tolist() if kept else []
+        for k in may:
+            r = round(_ratio(t, kept[k][1], ratio), 6)
+            if r >= ratio:
+                out.append((kept[k][0], i, r))
+                break
+        else:
+            kept.append((i, t, p))
+    return pd.DataFrame(out, columns=["a", "b", "ratio"])
+
+
+def alike_pairs(docs: DataFrame, ratio: float = 0.95, doc_id: str = "doc_id", block: int = 2048) -> DataFrame:
+    """(a, b, ratio): each text b whose matching characters reach the ratio with a kept text, and the first such text a.
 
-    Every text is compared with the first text (least id) of each run of `shared` words that it has, where the lengths
-    allow the ratio; the ratio itself is exact. So a group of copies gives a row per copy.
+    Texts are kept or dropped in the order of their ids, and each is compared with every kept one, as if by one after the other.
+    Blocks of texts of similar lengths meet all that lengths allow, character and gram counts rule pairs out without loss, and links give
+    connected classes; in a class the order decides.
     """
     own = docs.select(F.col(doc_id).alias("id"), F.array_join(T.split_words("text"), " ").alias("t")).where("t <> ''").groupBy("t").agg(F.min("id").alias("id"))
-    runs = own.select("id", F.explode(F.array_distinct(F.transform(T.ngrams(F.split("t", " "), shared), lambda r: F.xxhash64(r)))).alias("run"))
-    heads = runs.groupBy("run").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = runs.join(heads, "run").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    la, lb = F.char_length("ta"), F.char_length("tb")
-
-    @F.pandas_udf("double")
-    def matched(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p, q).ratio() if SequenceMatcher(None, p, q).quick_ratio() >= ratio else 0.0 for p, q in zip(x, y)])
-
-    near = both.where(2 * F.least(la, lb) >= ratio * (la + lb))
-    return near.select("a", "b", F.round(matched("ta", "tb"), 6).alias("ratio")).where(F.col("ratio") >= ratio)
+    # Lengths of a pair are of one band or of two neighbours.
+    step = math.log((2 - ratio) / ratio) + 1e-9
+    own = written(own.select("id", "t", F.floor(F.log(F.char_length("t").cast("double")) / step).cast("int").alias("band")), "texts")
+    blocks = {r.band: -(-r.n // block) for r in own.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row per band of lengths
+    if not blocks:
+        return own.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("ratio"))
+    meets = []
+    for one in ((b, s) for b in blocks for s in range(blocks[b])):
+        for other in ((c, u) for c in (one[0], one[0] + 1) for u in range(blocks.get(c, 0))):
+            if other >= one:
+                name = f"{one}{other}"
+                meets += [(*one, name, True)] + [(*other, name, False)] * (other != one)
+    n = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("band"))
+    dealt = own.withColumn("salt", F.pmod(F.xxhash64("t"), n).cast("int")).join(own.sparkSession.createDataFrame(meets, "band int, salt int, meet string, left boolean"), ["band", "salt"])
+    schema = own.schema["id"].dataType.simpleString()
+    links = dealt.select("meet", "id", "t", "left").groupBy("meet").applyInPandas(lambda rows: _links(rows, ratio), f"a {schema}, b {schema}")
+    named = components(written(links, "links")).select(F.col("node").alias("id"), "label")
+    return own.join(named, "id").select("label", "id", "t").groupBy("label").applyInPandas(lambda rows: _dropped(rows, ratio), f"a {schema}, b {schema}, ratio double")
