@@ -19,9 +19,10 @@ def statistics(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(T.words("text") if tokens is None else tokens)).alias("avgdl"))
 
 
-def terms(queries: DataFrame, query_id: str, first: int, text: str = "text") -> DataFrame:
-    """(query_id, token, qtf) of the first words of each query; repeated words count repeatedly."""
-    own = queries.select(F.col(query_id).alias("query_id"), F.explode(F.slice(T.words(text), 1, first)).alias("token"))
+def terms(queries: DataFrame, query_id: str, first: int | None = None, text: str = "text") -> DataFrame:
+    """(query_id, token, qtf) of all words of each query, or its first ones; repeated words count repeatedly."""
+    words = T.words(text) if first is None else F.slice(T.words(text), 1, first)
+    own = queries.select(F.col(query_id).alias("query_id"), F.explode(words).alias("token"))
     return own.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 

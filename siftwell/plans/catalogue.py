@@ -31,7 +31,7 @@ def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["hybrid_context"](spark, sf_dir)
+    return QUERIES["hybrid_context_whole"](spark, sf_dir)
 
 
 from siftwell.plans import retrieval_queries, text_queries  # noqa: E402, F401  (they register themselves)

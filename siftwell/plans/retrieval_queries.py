@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.functions import vectors as V
 from siftwell.operators import context, evaluation, fusion, lexical, monitoring, ratelimit, records, rerank, vectors
-from siftwell.plans.catalogue import query, table
+from siftwell.plans.catalogue import QUERIES, query, table
 from siftwell.plans.text_queries import WORDS
 
+#: Whether queries are cut to their first words, as the SQL does.
+_CUT = ContextVar("cut", default=True)
+
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -28,7 +33,7 @@ def _top_sql(scores: str, k: int, cols: str = "query_id, doc_id, score", item: s
 
 
 def _terms(spark: SparkSession, sf_dir: str, first: int = 8) -> DataFrame:
-    return lexical.terms(table(spark, sf_dir, "benchmark"), "item_id", first)
+    return lexical.terms(table(spark, sf_dir, "benchmark"), "item_id", first if _CUT.get() else None)
 
 
 def _okapi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,6 +299,25 @@ def hybrid_context(spark, sf_dir):
     return context.budget(_with_text(spark, sf_dir), 2000).where("rank <= 8").select("query_id", "doc_id", "rank", "score", "tokens", "running")
 
 
+def _whole(name: str) -> None:
+    @query(f"{name}_whole")
+    def run(spark, sf_dir):
+        was = _CUT.set(False)
+        try:
+            return QUERIES[name](spark, sf_dir)
+        finally:
+            _CUT.reset(was)
+
+
+#: The same by all words of each benchmark text; the SQL of the queries above looks up its first words.
+for _n in [
+    "bm25_topk", "bm25_plus_topk", "bm25_positive_postfilter", "bm25_prefilter", "expanded_terms", "minmax_scores", "zscore_scores", "softmax_scores",
+    "fuse_rrf", "fuse_weighted_max", "fuse_linear_minmax", "fuse_nlist", "two_stage_rerank", "overlap_rerank", "noop_rerank", "jaccard_context_dedup",
+    "context_token_budget", "lost_in_middle_order", "context_format", "hybrid_context",
+]:
+    _whole(_n)
+
+
 @query("citations", "SELECT doc_id, '[' || doc_id || ']' AS numbered, '([Source: ' || source || ', page ?])' AS inlined FROM documents")
 def citations(spark, sf_dir):
     none = F.lit(None).cast("int")

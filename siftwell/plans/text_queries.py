@@ -45,6 +45,13 @@ def tokenize_ngrams(spark, sf_dir):
     return w.select(F.explode(F.concat("w", T.ngrams(F.col("w"), 2))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 50")
 
 
+@query("tokenize_all_ngrams")
+def tokenize_all_ngrams(spark, sf_dir):
+    """tokenize_ngrams, whose SQL drops grams under 50 occurrences, with the counts of all grams."""
+    w = docs(spark, sf_dir).select(T.words("text").alias("w"))
+    return w.select(F.explode(F.concat("w", T.ngrams(F.col("w"), 2))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
 _STEM = "CASE " + " ".join(f"WHEN ends_with(t, '{s}') AND len(t) > {len(s) + 2} THEN t[:len(t) - {len(s)}]" for s in T.SUFFIXES) + " ELSE t END"
 
 
