@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-A character trigram model is counted over all documents. Spans that look disguised (digits or signs before
-letters, letters three times in a row, single letters with separators between them) are decoded: every
+A character trigram model is counted over all documents. Spans that look disguised (digits or signs next
+to letters, letters three times in a row, single letters with one or more separators between them) are decoded: every
 character may stand for itself, for the letters it is used for, for nothing when it repeats or separates,
 and the cheapest path under the character model is the restored word (Viterbi over pairs of letters).
 
@@ -131,7 +131,7 @@ class Decoder:
                     reach((b, 27), price + row[27], (path, c))
                 elif not c.isalpha():
                     reach((b, 0), price + AS_ITSELF + row[0], (path, c))
-                if c == before or c in SEPARATORS and c not in DISGUISES:
+                if c == before or c in SEPARATORS:
                     reach((a, b), price + AS_NOTHING, path)
             best, before = after, c
         path = min((price + self.cost[a][b][0], i, path) for i, ((a, b), (price, path)) in enumerate(best.items()))[2]
@@ -145,35 +145,40 @@ class Decoder:
 def suspects(s: K.Slice, data: np.ndarray) -> list[tuple[int, str, bool]]:
     """(text, span, spaced) of each span of lower-cased data that looks disguised."""
     n, out = len(data), []
-    if n < 3:
+    if n < 2:
         return out
-    letter, sign = _LETTER[data], _SIGN[data]
+    sign = _SIGN[data]
+    other = _SPAN[data] & ~sign
     hit = np.zeros(n, bool)
     last = np.zeros(n, bool)
     last[s.offsets[1:][np.diff(s.offsets) > 0] - 1] = True
     inner = ~last[:-2] & ~last[1:-1]
-    hit[:-1] = sign[:-1] & letter[1:] & ~last[:-1]
-    hit[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[:-2] == data[2:]) & inner
+    hit[:-1] = (sign[:-1] & other[1:] | other[:-1] & sign[1:]) & ~last[:-1]
+    hit[:-2] |= _LETTER[data[:-2]] & (data[:-2] == data[1:-1]) & (data[:-2] == data[2:]) & inner
     at = np.flatnonzero(hit)
     raw = data.tobytes()
     if len(at):
         w = K.find_words(s, _SPAN, data)
         for i in np.unique(np.searchsorted(w.start, at, "right") - 1).tolist():
             out.append((int(w.doc[i]), raw[w.start[i] : w.end[i]].decode("utf-8", "ignore"), False))
-    wide, alone = _SPAN[data], letter | sign
-    alone[1:] &= ~wide[:-1] | last[:-1]
-    alone[:-1] &= ~wide[1:] | last[:-1]
-    link = np.zeros(n + 2, bool)
-    link[: n - 2] = alone[:-2] & _GAP[data[1:-1]] & alone[2:] & inner
-    first = np.flatnonzero(link[: n - 2])
-    first = first[link[first + 2] & ~np.where(first >= 2, link[np.maximum(first - 2, 0)], False)]
-    if len(first):
-        doc = np.searchsorted(s.offsets, first, "right") - 1
-        for d, i in zip(doc.tolist(), first.tolist()):
-            j = i
-            while link[j] and j + 2 < s.offsets[d + 1]:
-                j += 2
-            out.append((d, raw[i : j + 1].decode("utf-8", "ignore"), True))
+    # By characters: single ones with nothing but separators, one or more, between them.
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    end = np.append(start[1:], n)
+    doc = np.searchsorted(s.offsets, start, "right") - 1
+    wide, same = _SPAN[data[start]], doc[1:] == doc[:-1]
+    alone = wide.copy()
+    alone[1:] &= ~(wide[:-1] & same)
+    alone[:-1] &= ~(wide[1:] & same)
+    solid = np.cumsum(~_GAP[data[start]])
+    one = np.flatnonzero(alone)
+    if len(one) < 3:
+        return out
+    link = np.zeros(len(one) + 1, bool)
+    link[1:-1] = (doc[one[1:]] == doc[one[:-1]]) & (solid[one[1:] - 1] == solid[one[:-1]])
+    first, final = one[~link[:-1] & link[1:]], one[link[:-1] & ~link[1:]]
+    long = np.searchsorted(one, final) - np.searchsorted(one, first) >= 2
+    for i, j in zip(first[long].tolist(), final[long].tolist()):
+        out.append((int(doc[i]), raw[start[i] : end[j]].decode("utf-8", "ignore"), True))
     return out
 
 
@@ -181,6 +186,8 @@ def _variants(span: str, spaced: bool, decode: Decoder) -> set[str]:
     """The restored word, and the same with its repeats, or its long ones, collapsed; of spaced letters also parts, as words may run together."""
     word = decode(span)
     words = {word, re.sub(r"(.)\1+", r"\1", word), decode(re.sub(r"(.)\1\1+", r"\1", span))}
+    if "*" in span:
+        words.add(decode(span.replace("*", "")))
     if spaced:
         words |= {word[i : i + k] for k in range(4, 13) for i in range(len(word) - k + 1)}
     return words

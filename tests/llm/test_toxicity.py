@@ -92,3 +92,19 @@ def test_spans_are_decoded_beyond_any_length(spark, fitted):
     assert restored[0].endswith("idiot the") and len(restored[2]) > 190
     span = "".join(f"{c} " for c in "house" * 20_000)
     assert T.Decoder(m.cost)(span.strip()) == "house" * 20_000
+
+
+def test_disguises_at_the_end_wide_gaps_and_stars(spark, fitted):
+    texts = pa.array(["a$$ a55 hat3", "dum8", "i - d - i - o - t", "x  y  z", "a5", "a b", "c", "é i ö", "t*r*a*s*h"])
+    found = {(s.lo + d, span, spaced) for s in K.slices(texts) for d, span, spaced in T.suspects(s, K.lower_bytes(s.data))}
+    assert found == {
+        (0, "a$$", False), (0, "a55", False), (0, "hat3", False), (1, "dum8", False), (2, "i - d - i - o - t", True), (3, "x  y  z", True),
+        (4, "a5", False), (7, "é i ö", True), (8, "t*r*a*s*h", False),
+    }
+    m = fitted[2]
+    decode = T.Decoder(T.costs(T.count_trigrams(spark.createDataFrame([("the ass hate dumb trash the " * 20,)], "text string"))))
+    assert [decode(w) for w in ("a$$", "a55", "hat3", "dum8")] == ["ass", "ass", "hate", "dumb"]
+    assert "trash" in T._variants("t*r*a*s*h", False, decode)
+    forms = ["i - d - i - o - t", "i  d  i  o  t", "i*d*i*o*t", "i * d * i * o * t", "1 -- d _ 1 . 0 - t"]
+    told = T.score(spark.createDataFrame([(f"the and {f} the",) for f in forms], "text string"), m).collect()
+    assert [r.text for r in told if r.score < 0.3] == []
