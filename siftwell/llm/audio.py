@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField
 
 from siftwell.llm._arrow import with_columns
@@ -184,3 +185,13 @@ def read(df: DataFrame, media: str = "media", rate: int = 16000, pcm: bool = Fal
 
     fields = [StructField("payload", BinaryType()), StructField("feature", StringType())]
     return with_columns(df, media, fields + [StructField("pcm", BinaryType())] * pcm, run, keep, 1 << 20)
+
+
+def describe_stored(df: DataFrame, pcm: str = "pcm", rate: int = 16000) -> DataFrame:
+    """df without pcm, feature computed anew from the stored samples (the codec is that of the feature that df has)."""
+
+    def run(column):
+        return [pa.array([None if x is None else describe(np.frombuffer(x, "<i2"), "", rate) for x in column.to_pylist()], pa.string())]
+
+    out = with_columns(df, pcm, [StructField("__said", StringType())], run, [c for c in df.columns if c != pcm], 1 << 20)
+    return out.withColumn("feature", F.concat(F.substring_index("feature", ";", 1), "__said")).drop("__said")

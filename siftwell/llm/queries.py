@@ -59,7 +59,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
     stored = written(audio.store(docs, keep=["doc_id", "n_bytes"]), "media")
-    return audio.read(stored).select(
+    decoded = audio.read(stored, pcm=True).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -68,7 +68,9 @@ def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "pcm",
     )
+    return audio.describe_stored(written(decoded, "pcm"))
 
 
 @query("op7_quality")

@@ -51,3 +51,22 @@ def test_empty_table_and_null_media(spark):
     assert audio.store(spark.createDataFrame([], "doc_id long, text string, Media int")).count() == 0
     out = audio.read(spark.createDataFrame([(1, None)], "a int, media binary")).first()
     assert out.payload is None and out.feature is None
+
+
+def test_query_stores_samples_and_describes_what_it_reads_back(spark, monkeypatch):
+    from siftwell.llm import queries
+
+    tables = {}
+
+    def keep(df, name):
+        tables[name] = real(df, name)
+        return tables[name]
+
+    real = queries.written
+    monkeypatch.setattr(queries, "written", keep)
+    out = {r.doc_id: r for r in queries.op8_telephony(spark, "/root/testdata/sf0.001").collect()}
+    assert set(tables) == {"media", "pcm"} and "pcm" not in next(iter(out.values())).asDict()
+    want = {r.doc_id: r.feature for r in audio.read(tables["media"]).collect()}
+    assert {i: r.feature for i, r in out.items()} == want
+    for r in tables["pcm"].limit(20).collect():
+        assert out[r.doc_id].feature == audio.describe(np.frombuffer(r.pcm, "<i2"), r.feature.split(";")[0], 16000)
