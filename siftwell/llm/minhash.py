@@ -7,14 +7,22 @@ which about k ln k + 2k of them are expected, and each of the k coordinates keep
 so time goes with elements plus darts, not elements times k. The chance that two documents agree at a
 coordinate is their (weighted) Jaccard similarity.
 
-Documents with the same set are one node. Nodes that agree in all coordinates of a band share a bucket. First
-every node meets the least hub of its buckets, and then representatives of the frequent classes of its buckets
-while that joins many; then each round every bucket compares hubs with its members of other classes; pairs pass if their signatures allow the similarity and their shingle sets have it exactly, and joined
-nodes become one class. Members that were hubs leave
-their bucket, and a bucket is done when one class is left in it, so no pair of different classes in a bucket goes
-uncompared, while a group of copies costs a row per copy and not a row per pair.
-
-Nodes are named by 64 bits of their set. Documents without words, and nulls, are in a class of their own.
+Documents with the same set are one node. Nodes that agree in all coordinates of a band share a bucket; of
+buckets with the same members one is kept. Pairs in a bucket are compared exactly, in two steps:
+
+1. Every node meets one hub: of its buckets' most connected nodes (those whose buckets have most members) the
+   most connected. A copy meets what it was copied from, so a group of near copies, however large, becomes one
+   class with a comparison a node.
+2. Buckets that still hold several classes are dealt to tasks as blocks: those outside the bucket's largest class
+   meet each other and that class. A block compares all pairs by products of its members' shingle
+   vectors and passes on only which classes it connects, at most a row a member.
+
+Each text is sent once a block, never once a pair, and no table of pairs is made. What is left of the square of a bucket
+is arithmetic in step 2: members outside its largest class times members. Two documents of the similarity that share no
+bucket are missed, with a chance of 6 in 100,000 at a similarity of 0.8; nothing else is.
+
+Rows with equal id and text are one document. Documents without words, and nulls, are in a class of their own.
+With weighted, a shingle weighs what it occurs, in signatures and in the comparison.
 """
 
 from __future__ import annotations
@@ -36,12 +44,13 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares none of the bands with a chance of 6 in 100,000.
 BANDS, ROWS = 32, 6
-DOCS = 2048
-#: Pairs that agree in less of the coordinates than the similarity less this aren't verified; at a similarity
-#: of 0.8 that is four standard deviations.
-SLACK = 0.12
-#: Hubs of a large bucket in the first round of hubs; buckets of SMALL members have as many.
-HUBS, SMALL = 4, 64
+DOCS = 512
+#: Members and shingles of a slot; a block is two slots at most.
+SLOT, SLOT_SHINGLES = 1024, 1_000_000
+#: Texts that one copy of a hub's text is sent for.
+PER_HUB = 512
+#: Cells of the shingle vectors multiplied at once.
+CELLS = 2_000_000
 #: Rows of up to three numbers that may be broadcast (5 MB).
 FEW = 200_000
 
@@ -145,7 +154,7 @@ def distinct_shingles(texts, size: int = WORDS) -> Iterator[tuple[int, np.ndarra
             part = K.Slice(0, hi - lo, s.data[at[0] : at[-1]], at - at[0])
             w = K.find_words(part, K.ALNUM)
             h, doc = K.shingles(K.word_hashes(part, w), w.first, size)
-            order = np.argsort(doc.astype(K.U64) << K.U64(52) | h >> K.U64(12), kind="stable")
+            order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -153,32 +162,42 @@ def distinct_shingles(texts, size: int = WORDS) -> Iterator[tuple[int, np.ndarra
             yield part.n, h[first], doc[first], np.diff(np.append(first, len(h)))
 
 
+def shingle_sets(texts, size: int = WORDS, weighted: bool = False) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text in lower case; with weighted, an element for each occurrence."""
+    for n, h, doc, count in distinct_shingles(texts, size):
+        if weighted:
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            h, doc = K.mix(np.repeat(h, count) + nth.astype(K.U64) * K.U64(K._GOLD)), np.repeat(doc, count)
+        yield from np.split(h, np.searchsorted(doc, np.arange(1, n)))
+
+
 def signatures(df: DataFrame, text: str = "text", size: int = WORDS, weighted: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """df with node (of the shingle set; null without words), signature (the low 16 bits of each coordinate) bands (64-bit each) and n_shingles.
+    """df with node and node2 (128 bits of the shingle set; null without words), bands (64 bits each) and n_shingles.
 
     The text is taken as it is; lower it before. With weighted, shingles weigh what they occur.
     """
     k = BANDS * ROWS
 
     def run(texts):
-        node, sig, bands, sizes = [], [], [], []
+        node, bands, sizes = [[], []], [], []
         for n, h, doc, count in distinct_shingles(texts, size):
-            sums = np.zeros(n, K.U64)
-            np.add.at(sums, doc, K.mix(h + count.astype(K.U64)) if weighted else K.mix(h))
-            in_doc = np.bincount(doc, minlength=n)
-            full = in_doc > 0
-            sizes.append(pa.array(in_doc, pa.int64()))
+            own = K.mix(h + count.astype(K.U64)) if weighted else K.mix(h)
+            full = np.bincount(doc, minlength=n) > 0
+            for half, x in zip(node, (own, K.mix(own ^ K.U64(0x5851F42D4C957F2D)))):
+                sums = np.zeros(n, K.U64)
+                np.add.at(sums, doc, x)
+                half.append(pa.array(K.mix(sums).view(np.int64), mask=~full))
+            sizes.append(pa.array(np.bincount(doc, count if weighted else None, n).astype(np.int64)))
             d = dart_minhash(h, doc, n, k, count.astype(float) if weighted else None)
             b = np.zeros((n, BANDS), K.U64)
             for j in range(ROWS):
                 b = K.mix(b * K.U64(31) + d[:, j::ROWS])
-            b = K.mix(b + np.arange(1, BANDS + 1, dtype=K.U64))
-            node.append(pa.array(K.mix(sums).view(np.int64), mask=~full))
-            sig += [x.tobytes() for x in (d >> K.U64(1)).astype("<u2")]
-            bands += b.view(np.int64).tolist()
-        return [pa.concat_arrays([*node, pa.array([], pa.int64())]), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.concat_arrays([*sizes, pa.array([], pa.int64())])]
+            flat = pa.array(K.mix(b + np.arange(1, BANDS + 1, dtype=K.U64)).view(np.int64).ravel())
+            bands.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), flat))
+        none = pa.array([], pa.int64())
+        return [*[pa.concat_arrays([*x, none]) for x in node], pa.concat_arrays([*bands, pa.array([], pa.list_(pa.int64()))]), pa.concat_arrays([*sizes, none])]
 
-    fields = [StructField("node", LongType()), StructField("signature", BinaryType()), StructField("bands", ArrayType(LongType())), StructField("n_shingles", LongType())]
+    fields = [StructField("node", LongType()), StructField("node2", LongType()), StructField("bands", ArrayType(LongType())), StructField("n_shingles", LongType())]
     return with_columns(df, text, fields, run, keep)
 
 
@@ -192,56 +211,160 @@ def _by_size(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= FEW else df.hint("merge")
 
 
-def _of_pairs(table: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """Rows of table whose node is in pairs; if these are many, all, as the join that follows picks them."""
-    if n > FEW:
-        return table
-    return table.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+def shared_buckets(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, id, n_shingles, size) of the members of buckets with several nodes, and how many rows; of buckets with the same members one."""
+    members = nodes.select("id", "n_shingles", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id", "n_shingles")
+    of = members.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    shared, n = _stored(of.where("size > 1").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
+    return _stored(members.join(_by_size(shared, n), "bucket"), "members")
 
 
-def _both(pairs: DataFrame, n: int, table: DataFrame, value: str) -> DataFrame:
-    """Pairs (a, b) with the value of each, va and vb."""
-    own = _of_pairs(table.select("node", value), pairs, n)
-    with_b = own.select(F.col("node").alias("b"), F.col(value).alias("vb")).join(_by_size(pairs, n), "b")
-    return with_b.join(own.select(F.col("node").alias("a"), F.col(value).alias("va")).hint("merge"), "a").select("a", "b", "va", "vb")
+def hub_pairs(members: DataFrame) -> tuple[DataFrame, int]:
+    """(hub, id) of each node that isn't the most connected one of all its buckets, and how many rows."""
+    score = members.groupBy("id").agg(F.sum("size").alias("score"))
+    ranked = members.select("bucket", "id").join(score.hint("merge"), "id").select("bucket", F.struct("score", "id").alias("r"))
+    hubs = ranked.groupBy("bucket").agg(F.max("r").alias("hub"))
+    met = members.select("bucket", "id").join(hubs.hint("merge"), "bucket").where("hub.id <> id")
+    return _stored(met.groupBy("id").agg(F.max("hub").alias("hub")).select("hub.id", F.col("id").alias("other")).toDF("hub", "id"), "pairs")
 
 
-def _alike(pairs: DataFrame, n: int, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose signatures agree often enough."""
-    least = (similarity - SLACK) * BANDS * ROWS
+def _alike(common: np.ndarray, total: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether common of a pair's shingles, which sum to total, are the similarity; a little is allowed for rounding."""
+    return common >= similarity * (total - common) - 1e-9
 
-    def run(batches):
-        for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u2").reshape(t.num_rows, -1) for c in ("va", "vb"))
-            yield t.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least) if t.num_rows else pa.array([], pa.bool_()))
 
-    return _both(pairs, n, nodes, "signature").mapInArrow(run, "a long, b long")
+def hub_links(pairs: DataFrame, n: int, texts: DataFrame, size: int, similarity: float, weighted: bool) -> DataFrame:
+    """(a, b) of the pairs (hub, id) whose sets have the similarity.
 
+    A hub's text is sent once for each PER_HUB of its pairs; tasks hold one hub and a batch of texts.
+    """
+    many, n_many = _stored(pairs.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > PER_HUB), "large_hubs")
+    salt = F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("n") / PER_HUB), F.lit(1)))
+    salted, n = _stored(pairs.join(_by_size(many, n_many), "hub", "left").select("hub", "id", salt.alias("salt")), "salted_pairs")
+    own = texts.join(_by_size(salted, n), "id").select("hub", "salt", F.lit(1).alias("turn"), "id", "text")
+    hubs, n_hubs = _stored(salted.select(F.col("hub").alias("id"), "salt").distinct(), "hubs")
+    rows = own.unionByName(texts.join(_by_size(hubs, n_hubs), "id").select(F.col("id").alias("hub"), "salt", F.lit(0).alias("turn"), "id", "text"))
 
-def _shingle_sets(column, size: int) -> list[np.ndarray]:
-    out = []
-    for n, h, doc, _ in distinct_shingles(column, size):
-        cut = np.searchsorted(doc, np.arange(n + 1))
-        out += [np.sort(h[a:b]) for a, b in zip(cut, cut[1:])]
+    def run(batches):
+        hub, has = None, np.zeros(0, K.U64)
+        for t in batches:
+            a, turn, b = (t.column(i).to_pylist() for i in (0, 2, 3))
+            good = np.zeros(t.num_rows, bool)
+            for i, x in enumerate(shingle_sets(t.column(4), size, weighted)):
+                if turn[i] == 0:
+                    hub, has = a[i], x
+                else:
+                    assert a[i] == hub
+                    good[i] = _alike(_common(has, x), len(has) + len(x), similarity)
+            at = pa.array(good)
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(at), t.column(3).filter(at)], ["a", "b"])
+
+    return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "turn").mapInArrow(run, "a long, b long")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each pair of sets shares, by products of 0-1 vectors over the elements that several have."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    who = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate([*sets, np.zeros(0, K.U64)]), return_inverse=True, return_counts=True)
+    several = count > 1
+    place = np.cumsum(several) - 1
+    keep = several[at]
+    who, column = who[keep], place[at[keep]]
+    wide = max(1, CELLS // max(n, 1))
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    for lo in range(0, int(several.sum()), wide):
+        a, b = np.searchsorted(column, (lo, lo + wide))
+        cells = np.zeros((n, min(wide, int(column[b - 1]) - lo + 1)), np.float32)
+        cells[who[a:b], column[a:b] - lo] = 1
+        out += cells @ cells.T
     return out
 
 
-def _verified(pairs: DataFrame, n: int, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose shingle sets have the similarity."""
+def connected(linked: np.ndarray) -> np.ndarray:
+    """The least place that each place is connected with by a symmetric matrix."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label)), label)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _block_links(label: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of labels that connect the same labels as all links between sets of different labels do."""
+    size = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        good = min(size) >= similarity * max(size) - 1e-9 and _alike(_common(*sets), size.sum(), similarity)
+        return (label[:1], label[1:]) if good else (label[:0], label[:0])
+    linked = _alike(common_counts(sets), size[:, None] + size[None, :], similarity)
+    names, at = np.unique(label, return_inverse=True)
+    between = np.zeros((len(names), len(names)), bool)
+    x, y = np.nonzero(linked)
+    between[at[x], at[y]] = True
+    to = connected(between)
+    moved = to != np.arange(len(names))
+    return names[to[moved]], names[moved]
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(bucket, i, j, id, label): the members of each block of the buckets with several labels.
+
+    Slots hold members outside the bucket's largest class first, then that class; block (i, j) is slots i and j, where i is
+    one of the first kind. A bucket that fits into one slot is block (0, 0).
+    """
+    per = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t"))
+    top = F.max_by(F.struct("label", "n", "t"), F.struct("n", "label"))
+    of = per.groupBy("bucket").agg(top.alias("m"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("t").alias("t")).where("labels > 1")
+    slots = lambda n, t: F.greatest(F.ceil(n / SLOT), F.ceil(t / SLOT_SHINGLES), F.lit(1)).cast("int")
+    one = (F.col("n") <= SLOT) & (F.col("t") <= SLOT_SHINGLES)
+    outer = F.when(one, 1).otherwise(slots(F.col("n") - F.col("m.n"), F.col("t") - F.col("m.t")))
+    inner = F.when(one, 0).otherwise(slots(F.col("m.n"), F.col("m.t")))
+    open_, n_open = _stored(of.select("bucket", F.col("m.label").alias("major"), outer.alias("outer"), inner.alias("inner")), "open_buckets")
+    named = members.join(_by_size(open_, n_open), "bucket")
+    h, first, all_ = F.xxhash64("id"), (F.col("inner") == 0) | (F.col("label") != F.col("major")), F.col("outer") + F.col("inner")
+    slot = F.when(first, F.pmod(h, F.col("outer"))).otherwise(F.col("outer") + F.pmod(h, F.col("inner"))).cast("int")
+    named = named.select("bucket", "id", "label", "outer", all_.alias("all"), slot.alias("slot"))
+    others = F.when(F.col("slot") < F.col("outer"), F.sequence(F.lit(0), F.col("all") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") - 1))
+    dealt = named.select("bucket", "id", "label", "slot", F.explode(others).alias("o"))
+    return dealt.select("bucket", F.least("slot", "o").alias("i"), F.greatest("slot", "o").alias("j"), "id", "label")
+
+
+def block_links(members: DataFrame, texts: DataFrame, size: int, similarity: float, weighted: bool) -> DataFrame:
+    """(a, b): labels that the blocks of members (bucket, id, n_shingles, label) connect."""
+    blocks, n = _stored(_blocks(members), "blocks")
+    rows = texts.join(_by_size(blocks, n), "id").select("bucket", "i", "j", "label", "text")
 
     def run(batches):
+        now, label, sets = None, [], []
+        out: list[list] = [[], []]
+
+        def judge():
+            if len(set(label)) > 1:
+                for x, y in zip(out, _block_links(np.array(label), sets, similarity)):
+                    x += y.tolist()
+
         for t in batches:
-            if not t.num_rows:
-                continue
-            _, first, place = np.unique(t.column("a").to_numpy(), return_index=True, return_inverse=True)
-            hubs = _shingle_sets(t.column("va").take(pa.array(first)), size)
-            good = []
-            for i, y in zip(place, _shingle_sets(t.column("vb"), size)):
-                common = len(np.intersect1d(hubs[i], y, assume_unique=True))
-                good.append(common >= similarity * (len(hubs[i]) + len(y) - common) - 1e-9)
-            yield t.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            keys, own = list(zip(*[t.column(i).to_pylist() for i in range(3)])), t.column(3).to_pylist()
+            for k, l, x in zip(keys, own, shingle_sets(t.column(4), size, weighted)):
+                if k != now:
+                    judge()
+                    now, label, sets = k, [], []
+                label.append(l)
+                sets.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+            out = [[], []]
+        judge()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
-    return _both(pairs, n, texts, "text").mapInArrow(run, "a long, b long")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,94 +390,47 @@ def classes(
 ) -> DataFrame:
     """(_k1, _k2, doc_id, class): a row for each document; rows with equal id and text are one document.
 
-    class is a 64-bit name: documents have the same if links of at least similarity connect them.
+    class (two numbers) is the same for documents that links of at least similarity connect.
     """
     lowered = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select(*doc_key(), "doc_id", F.lower("text").alias("text"))
     rows = written(signatures(lowered, size=size, weighted=weighted, keep=["_k1", "_k2", "doc_id"]), "signatures")
-    every = rows.select("_k1", "_k2", "doc_id", "node")
-    same = F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n_shingles")
-    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("_k1").alias("_k1"), *same), "nodes")
-    members = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node", "n_shingles")
-    shared, n_shared = _stored(members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("bucket", "hub"), "buckets")
-    members = written(members.join(_by_size(shared, n_shared), "bucket"), "members")
-    needed, n_needed = _stored(nodes.select("node", "_k1").join(members.select("node").distinct(), "node"), "needed")
-    # The texts of nodes that share a bucket, one of each.
-    texts = written(lowered.select("_k1", "text").join(_by_size(needed, n_needed), "_k1").dropDuplicates(["node"]).select("node", "text"), "texts")
-    # First every node meets one hub only, which joins most copies; what follows compares different classes.
-    pairs, n = _stored(members.groupBy("node").agg(F.min("hub").alias("a")).where("a < node").select("a", F.col("node").alias("b")), "pairs")
-    members, labels, n_labels, turn, hubs = members.select("bucket", "node", "n_shingles"), None, 0, 0, 0
-    while n or hubs:
-        tried = n
-        near, n = _stored(_alike(pairs, n, nodes, similarity), "near")
-        edges, n = _stored(_verified(near, n, texts, size, similarity), "links")
-        if n:
-            labels, n_labels = _merge(labels, n_labels, edges)
-        members, n_open = _open(members, labels, n_labels)
-        if not n_open:
-            break
-        turn += 1
-        # While single comparisons join a good part of what is left, go on with them; then compare all.
-        if not hubs and (turn == 1 or 4 * n >= tried):
-            pairs, n = _nearest(members, turn)
-        else:
-            members, pairs, n = _next(members, hubs, similarity)
-            hubs += 1
-    if labels is None:
-        return every.withColumn("class", F.coalesce("node", F.xxhash64("_k1", "_k2"))).drop("node")
-    named = every.join(_by_size(labels, n_labels), "node", "left")
-    return named.select("_k1", "_k2", "doc_id", F.coalesce("label", "node", F.xxhash64("_k1", "_k2")).alias("class"))
-
-
-def _label(labels: DataFrame | None, n: int, df: DataFrame, node: str, name: str) -> DataFrame:
-    if labels is None:
-        return df.withColumn(name, F.col(node))
-    own = _by_size(labels.select(F.col("node").alias(node), F.col("label").alias("__l")), n)
-    return df.join(own, node, "left").withColumn(name, F.coalesce("__l", node)).drop("__l")
+    same = F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n_shingles")
+    nodes = rows.where("node IS NOT NULL").groupBy("node", "node2").agg(F.min(F.struct("_k1", "_k2")).alias("k"), *same)
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "node2", "k._k1", "k._k2", "bands", "n_shingles"), "nodes")
+    members, n = shared_buckets(nodes)
+    labels, n_labels = None, 0
+    if n:
+        needed, n_needed = _stored(nodes.select("id", "_k1", "_k2").join(members.select("id").distinct().hint("merge"), "id"), "needed")
+        # The texts of nodes that share a bucket, one of each.
+        texts = written(lowered.select("_k1", "_k2", "text").join(_by_size(needed, n_needed), ["_k1", "_k2"]).dropDuplicates(["id"]).select("id", "text"), "texts")
+        pairs, n = hub_pairs(members)
+        labels, n_labels = _merge(None, 0, written(hub_links(pairs, n, texts, size, similarity, weighted), "links"))
+        labels, n_labels = _merge(labels, n_labels, written(block_links(_label(labels, n_labels, members), texts, size, similarity, weighted), "links"))
+    every = rows.select("_k1", "_k2", "doc_id", "node", "node2")
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b") if b else F.lit(0).cast("long").alias("b"))
+    if not n_labels:
+        joined, n = _stored(nodes.limit(0).select("node", "node2", F.col("id").alias("label")), "named")
+    else:
+        # Nodes that are alone in their class have its name from their set.
+        joined, n = _stored(nodes.select("id", "node", "node2").join(_by_size(labels, n_labels), "id").select("node", "node2", "label"), "named")
+    named = every.join(F.broadcast(joined) if 2 * n <= FEW else joined.hint("merge"), ["node", "node2"], "left")
+    names = F.when(F.col("label").isNotNull(), pair("label", None)).when(F.col("node").isNotNull(), pair("node", "node2")).otherwise(pair("_k1", "_k2"))
+    return named.select("_k1", "_k2", "doc_id", names.alias("class"))
+
+
+def _label(labels: DataFrame, n: int, df: DataFrame) -> DataFrame:
+    """df with label, that of id, or id where it has none."""
+    return df.join(_by_size(labels, n), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
 def _merge(labels: DataFrame | None, n: int, edges: DataFrame) -> tuple[DataFrame, int]:
-    """labels (only of nodes whose label is another node) after edges between their classes."""
+    """(id, label) of the nodes of classes of several after edges between classes, a class's least node with itself; and how many rows."""
+    moved = components(edges).withColumnRenamed("node", "id")
     if labels is None:
-        return _stored(components(edges).where("node <> label"), "classes")
-    e = _label(labels, n, _label(labels, n, edges, "a", "la"), "b", "lb").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    moved, m = _stored(components(e).where("node <> label"), "moved")
-    old = labels.join(_by_size(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), m), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return _stored(old.unionByName(moved), "classes")
-
-
-def _open(members: DataFrame, labels: DataFrame | None, n_labels: int) -> tuple[DataFrame, int]:
-    """Members of buckets with several classes, with label, the bucket's most frequent label (major), and its size; and how many such buckets."""
-    named = _label(labels, n_labels, members.select("bucket", "node", "n_shingles"), "node", "label")
-    per = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    major = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"), F.sum("n").alias("size"))
-    major, n = _stored(major.where("labels > 1").select("bucket", "major", "size"), "majors")
-    return (written(named.join(_by_size(major, n), "bucket"), "open") if n else members), n
-
-
-def _nearest(named: DataFrame, turn: int) -> tuple[DataFrame, int]:
-    """A pair for each node outside its bucket's major class: with that representative of the class that most of its buckets name."""
-    one = named.where("label = major").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"))
-    votes = named.where("label <> major").join(one.hint("merge"), "bucket").groupBy("node", "a").agg(F.count("*").alias("n"))
-    best = votes.groupBy("node").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    return _stored(best.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-
-
-def _next(named: DataFrame, turn: int, similarity: float) -> tuple[DataFrame, DataFrame, int]:
-    """Members without the next hubs, the pairs of these with members of other classes, and their number.
-
-    Hubs are of other classes than the most frequent one of a bucket. A small bucket takes all of these, a large
-    one a few, and twice as many each turn. A hub meets the others of all its buckets whose number of shingles
-    allows the similarity, and then leaves all, so no pair is compared in two turns.
-    """
-    slots = F.greatest(F.lit(HUBS), F.ceil(F.lit(SMALL * SMALL) / F.col("size"))) * F.lit(1 << turn)
-    slot = F.pmod(F.xxhash64("node"), slots)
-    chosen, n = _stored(named.where("label <> major").groupBy("bucket", slot.alias("slot")).agg(F.min("node").alias("node")).select("node").distinct(), "chosen")
-    hubs, n_hubs = _stored(named.join(_by_size(chosen, n), "node").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na")), "hubs")
-    near = (F.col("label") != F.col("la")) & (F.least("na", "n_shingles") >= similarity * F.greatest("na", "n_shingles") - 1e-9)
-    pairs = named.join(_by_size(hubs, n_hubs), "bucket").where(near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    pairs, n_pairs = _stored(pairs.distinct(), "pairs")
-    rest = named.select("bucket", "node", "n_shingles").join(_by_size(chosen, n), "node", "left_anti")
-    return written(rest, "members"), pairs, n_pairs
+        return _stored(moved, "classes")
+    moved, m = _stored(moved, "moved")
+    to = labels.join(_by_size(moved.toDF("label", "to"), m), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return _stored(to.unionByName(moved.join(_by_size(labels.select("id"), n), "id", "left_anti")), "classes")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -365,7 +441,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of df with one document of each class: that of the least id (nulls last), of the least key if ids are equal."""
+    """The rows of df with one document of each class: that of the least id (nulls last), of the least key if ids are equal.
+
+    Of rows with equal id and text one stays, chosen by a hash of its other columns.
+    """
     rows = written(classes(df, doc_id, text, size, similarity), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2")
     keep = written(rows.groupBy("class").agg(F.min(order).alias("o")).select("o._k1", "o._k2"), "kept")
@@ -373,5 +452,6 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(doc_id), F.col(text)).select("row", *doc_key(doc_id, text))
     out = own.join(keep.hint("merge"), ["_k1", "_k2"])
     if not again.isEmpty():
-        out = out.dropDuplicates(["_k1", "_k2"])
+        plain = [F.col(f"row.`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        out = out.groupBy("_k1", "_k2").agg(F.min_by("row", F.struct(F.xxhash64(*plain), F.xxhash64(F.lit(1), *plain))).alias("row"))
     return out.select("row.*")
