@@ -11,11 +11,12 @@ def held_out(fold: int, parts: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == fold, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, parts: int, size: int, text: str = "text") -> DataFrame:
-    """(doc_id, label, text) of at most size labelled documents that are not held out.
+def sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, parts: int, size: int, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, label, text, and extra columns) of at most size labelled documents that are not held out.
 
     The labels come in the order of a hash of their id, so the sample is the same on every run. Rows of
-    labels with a null id or label are left out; an id with several labels counts with the largest.
+    labels with a null id or label are left out; an id with several labels counts with the largest, and one with several
+    documents once, with the least text.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(fold, parts))
@@ -25,4 +26,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, parts: int
         .limit(size)
     )
     # At most size rows of 16 bytes.
-    return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    own = docs.select("doc_id", F.col(text).alias("text"), *extra).join(F.broadcast(chosen), "doc_id")
+    return own.groupBy("doc_id", "label").agg(F.min(F.struct("text", *extra)).alias("one")).select("doc_id", "label", "one.*")

@@ -1,12 +1,13 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-A character trigram model is counted over all documents. Spans that look disguised (digits or signs next
+A character trigram model is counted over all documents, by their real characters (lower case, what isn't a letter as a gap), in
+tables of a fixed number of cells that grams share by hash. Spans that look disguised (digits or signs next
 to letters, letters three times in a row, single letters with one or more separators between them) are decoded: every
 character may stand for itself, for the letters it is used for, for nothing when it repeats or separates,
 and the cheapest path under the character model is the restored word (Viterbi over pairs of letters).
 
-Features are hashed words and beginnings of words of the text and its restored spans. Those that clearly mark
-toxic documents of the labelled sample have a weight; a logistic model of the largest weight, the number of
+Features are hashed words and beginnings of words of the text and its restored spans. All that clearly mark
+toxic documents of the labelled sample have a weight (so the sample bounds their number); a logistic model of the largest weight, the number of
 such words and their share gives the score. An empty or null text has none of them.
 """
 
@@ -17,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -27,8 +28,6 @@ from siftwell.llm._labels import sample
 
 #: Labelled documents to fit on, at most.
 SAMPLE = 8000
-#: Weighted features, at most (the strongest).
-LEXICON = 20_000
 #: A feature's log odds, less two standard errors, to have a weight.
 CLEAR = 1.5
 BEGINNINGS = (4, 5, 6)
@@ -44,12 +43,15 @@ AS_LETTER, AS_ITSELF, AS_NOTHING = 0.7, 7.0, 0.4
 #: Characters of spans that a decoder keeps the words of.
 KNOWN = 4_000_000
 
-# The alphabet of the character model: 0 for what stands between words, 1 to 26, and 27 beyond ASCII.
+#: Bits of the cells for grams of one, two and three characters (10 MB in all, whatever is counted).
+CELLS = (16, 18, 20)
+#: Costs that a model keeps beside its tables.
+KEPT = 500_000
+
+# Symbols of the character model: 0 for what stands between words, 1 to 26, and characters beyond ASCII by their code point.
 _CODE = np.zeros(256, np.int64)
 _CODE[0x61:0x7B] = np.arange(1, 27)
 _CODE[0x41:0x5B] = np.arange(1, 27)
-_CODE[0x80:] = 27
-SYMBOLS = 28
 _LETTER = K.byte_class((0x61, 0x7A))
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in DISGUISES]] = True
@@ -58,41 +60,108 @@ _GAP = np.zeros(256, bool)
 _GAP[[ord(c) for c in SEPARATORS]] = True
 
 
+def symbol(c: str) -> int:
+    return ord(c) if ord(c) > 127 else int(_CODE[ord(c)])
+
+
+def symbols(s: K.Slice) -> np.ndarray:
+    """The symbols of a slice's texts, two gaps before and after each."""
+    data = K.lower_bytes(s.data)
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    out = _CODE[data[lead]]
+    for bits, mask, least in ((2, 0x1F, 0xC0), (3, 0x0F, 0xE0), (4, 0x07, 0xF0)):
+        at = np.flatnonzero((data[lead] >= least) & (data[lead] < (256 - (1 << 7 - bits))))
+        code = data[lead[at]].astype(np.int64) & mask
+        for i in range(1, bits):
+            code = code << 6 | data[np.minimum(lead[at] + i, len(data) - 1)] & 0x3F
+        out[at] = code
+    first = np.searchsorted(lead, s.offsets)
+    padded = np.zeros(len(lead) + 2 * s.n + 2, np.int64)
+    padded[np.arange(len(lead)) + 2 * np.repeat(np.arange(s.n), np.diff(first)) + 2] = out
+    return padded
+
+
+def _cells(grams: np.ndarray, order: int) -> np.ndarray:
+    """Cells of packed grams of order characters, behind those of smaller orders."""
+    before = sum(1 << b for b in CELLS[: order - 1])
+    return (K.mix(grams.astype(K.U64) * K.U64(K._GOLD) + K.U64(order)) >> K.U64(64 - CELLS[order - 1])).astype(np.int64) + before
+
+
 def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts of the character trigrams of all texts; the driver receives at most 28**3 sums."""
-    fields = StructType([StructField("gram", LongType()), StructField("n", LongType())])
+    """Counts by cell of the grams of one to three characters of all texts; the driver receives a sum a cell."""
+    fields = StructType([StructField("cell", LongType()), StructField("n", LongType())])
+    cells = sum(1 << b for b in CELLS)
 
     def run(batches):
-        total = np.zeros(SYMBOLS**3, np.int64)
+        total = np.zeros(cells, np.int64)
         for b in batches:
             for s in K.slices(b.column(0)):
-                edge = np.zeros(len(s.data) + 2 * s.n + 2, np.int64)  # two gaps before and after each text
-                edge[np.arange(len(s.data)) + 2 * np.repeat(np.arange(s.n), np.diff(s.offsets)) + 2] = _CODE[s.data]
-                total += np.bincount(edge[:-2] * SYMBOLS**2 + edge[1:-1] * SYMBOLS + edge[2:], minlength=SYMBOLS**3)
+                x = symbols(s)
+                for order, grams in ((1, x[2:]), (2, x[1:-1] << 21 | x[2:]), (3, x[:-2] << 42 | x[1:-1] << 21 | x[2:])):
+                    total += np.bincount(_cells(grams, order), minlength=cells)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    sums = docs.select(F.col(text).alias("text")).mapInArrow(run, fields).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SYMBOLS**3, np.int64)
-    out[sums["gram"].to_numpy()] = sums["n"].to_numpy()
+    sums = docs.select(F.col(text).alias("text")).mapInArrow(run, fields).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells, np.int64)
+    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
     return out
 
 
-def costs(counts: np.ndarray) -> np.ndarray:
-    """-log p(c | a, b), smoothed by the shorter context."""
-    three = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
-    two = three.sum(axis=0)
-    one = (two.sum(axis=0) + 1) / (two.sum() + SYMBOLS)
-    p2 = (two + 20 * one) / (two.sum(axis=1, keepdims=True) + 20)
-    p3 = (three + 20 * p2) / (three.sum(axis=2, keepdims=True) + 20)
-    return -np.log(p3)
+class _Kept(dict):
+    """Values by key, made when they are first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
+class Costs:
+    """costs[a][b][c] is -log p(c | a, b), smoothed by the shorter contexts."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts.astype(np.float32)
+        one = self.counts[: 1 << CELLS[0]]
+        self.total, self.distinct = float(one.sum()), int(np.count_nonzero(one))
+        self._clear()
+
+    def __getstate__(self):
+        return {"counts": self.counts, "total": self.total, "distinct": self.distinct}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._clear()
+
+    def _clear(self):
+        self.made, self.rows = 0, _Kept(lambda a: _Kept(lambda b: _Kept(lambda c: self._cost(a, b, c))))
+
+    def __getitem__(self, a: int):
+        if self.made > KEPT:
+            self._clear()
+        return self.rows[a]
+
+    def n(self, *gram: int) -> float:
+        packed = 0
+        for c in gram:
+            packed = packed << 21 | c
+        return float(self.counts[_cells(np.array([packed]), len(gram))[0]])
+
+    def _cost(self, a: int, b: int, c: int) -> float:
+        self.made += 1
+        one = (self.n(c) + 1) / (self.total + self.distinct + 1)
+        two = (self.n(b, c) + 20 * one) / (self.n(b) + 20)
+        return -float(np.log((self.n(a, b, c) + 20 * two) / (self.n(a, b) + 20)))
 
 
 class Decoder:
     """Viterbi decoding of one span, of any length, under the character model."""
 
-    def __init__(self, cost: np.ndarray):
-        self.cost = cost.tolist()
+    def __init__(self, cost: Costs):
+        self.cost = cost
         self.known: dict[str, str] = {}
         self.held = 0
 
@@ -128,7 +197,7 @@ class Decoder:
                     if b == k:
                         reach((a, b), price + AS_LETTER + AS_NOTHING, path)
                 if not c.isascii():
-                    reach((b, 27), price + row[27], (path, c))
+                    reach((b, ord(c)), price + row[ord(c)], (path, c))
                 elif not c.isalpha():
                     reach((b, 0), price + AS_ITSELF + row[0], (path, c))
                 if c == before or c in SEPARATORS:
@@ -227,9 +296,9 @@ def features(texts, decode: Decoder):
 
 @dataclass
 class Model:
-    """Weighted features by hash, the logistic model's coefficients and the character model. Under 1 MB."""
+    """Weighted features by hash, the logistic model's coefficients and the character model (6 MB)."""
 
-    cost: np.ndarray
+    cost: Costs
     hashes: np.ndarray
     weights: np.ndarray
     coefficients: np.ndarray
@@ -278,23 +347,20 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 0.05
     return c
 
 
-def _weights(h: np.ndarray, pos: np.ndarray, n: np.ndarray, all_pos: int, all_n: int) -> tuple[np.ndarray, np.ndarray]:
-    neg, all_neg = n - pos, all_n - all_pos
-    odds = np.log((pos + 0.5) / (all_pos + 1)) - np.log((neg + 1) / (all_neg + 1))
-    clear = odds - 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 1))
-    own = np.flatnonzero(clear >= CLEAR)
-    own = own[np.argsort(-clear[own], kind="stable")][:LEXICON]
-    order = np.argsort(h[own])
-    return h[own][order], clear[own][order]
+def clearness(all_pos: int, all_n: int) -> Column:
+    """Of a feature in pos of n documents: its log odds, less two standard errors."""
+    neg = F.col("n") - F.col("pos")
+    odds = F.log((F.col("pos") + 0.5) / (all_pos + 1)) - F.log((neg + 1) / (all_n - all_pos + 1))
+    return odds - 2 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (neg + 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 2, parts: int = 4, size: int = SAMPLE, text: str = "text") -> Model:
     """The character model of all texts, and weights from at most size labelled documents not held out.
 
     Of documents of the sample that share their smallest shingle hash (copies mostly) one counts. The driver
-    receives sums per feature that occurs in enough toxic documents, and three numbers per document.
+    receives the weights of the features that are clear, and three numbers per document.
     """
-    cost = costs(count_trigrams(docs, text))
+    cost = Costs(count_trigrams(docs, text))
     own = sample(docs, labels, label, fold, parts, size, text)
     plain = Decoder(cost)
 
@@ -324,10 +390,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 2,
 
     totals = rows.agg(F.sum("label").cast("long").alias("pos"), F.count("*").alias("n")).first()
     sums = rows.select("label", "bag").mapInArrow(count, counted).groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    # Fewer toxic documents than this are never clear, and the log odds are at least those of a share of one half.
-    t = sums.where("pos >= 4 AND 2 * pos > n").orderBy(F.desc("pos"), "n", "h").limit(4 * LEXICON).toArrow()
+    t = sums.select("h", clearness(totals.pos or 0, totals.n).alias("weight")).where(F.col("weight") >= CLEAR).toArrow()
     h = t["h"].to_numpy().view(np.uint64)
-    model = Model(cost, *_weights(h, t["pos"].to_numpy(), t["n"].to_numpy(), totals.pos or 0, totals.n), np.zeros(4))
+    order = np.argsort(h)
+    model = Model(cost, h[order], t["weight"].to_numpy()[order], np.zeros(4))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def summaries(texts):

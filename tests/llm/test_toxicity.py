@@ -1,5 +1,6 @@
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +8,7 @@ import pytest
 
 from siftwell.llm import _kernel as K
 from siftwell.llm import toxicity as T
-from siftwell.llm._labels import held_out
+from siftwell.llm._labels import held_out, sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -18,19 +19,25 @@ def fitted(spark):
     return docs, labels, T.fit(docs, labels)
 
 
-def test_trigrams_against_brute_force(spark):
-    texts = ["Ab a", None, "", "é-b", "ab"]
-    want = np.zeros(T.SYMBOLS**3, int)
+def test_grams_against_brute_force(spark):
+    texts = ["Ab a", None, "", "é-b", "ab", "É我\U0001f600z", "x" * 3]
+    counts = T.count_trigrams(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = Counter()
     for t in texts:
-        c = [0, 0, *(T._CODE[b] for b in (t or "").encode()), 0, 0]
-        for x, y, z in zip(c, c[1:], c[2:]):
-            want[x * T.SYMBOLS**2 + y * T.SYMBOLS + z] += 1
-    assert np.array_equal(T.count_trigrams(spark.createDataFrame([(t,) for t in texts], "text string")), want)
+        c = [0, 0, *(T.symbol(x) for x in (t or "").lower()), 0, 0]
+        for i in range(2, len(c)):
+            want.update([tuple(c[i - k : i + 1]) for k in range(3)])
+    model = T.Costs(counts)
+    assert counts.sum() == sum(want.values()) and all(model.n(*g) == n for g, n in want.items())
+    one = lambda c: (want[(c,)] + 1) / (model.total + model.distinct + 1)
+    two = lambda b, c: (want[(b, c)] + 20 * one(c)) / (want[(b,)] + 20)
+    for a, b, c in ((1, 2, 0), (0, ord("é"), ord("我")), (5, 6, 7)):
+        assert abs(model[a][b][c] + np.log((want[(a, b, c)] + 20 * two(b, c)) / (want[(a, b)] + 20))) < 1e-9
 
 
 def test_viterbi_finds_the_cheapest_path():
     rng = np.random.default_rng(1)
-    cost = rng.uniform(0.2, 5, (T.SYMBOLS,) * 3)
+    cost = rng.uniform(0.2, 5, (27,) * 3)
     decode = T.Decoder(cost)
 
     def price(choice):
@@ -102,9 +109,26 @@ def test_disguises_at_the_end_wide_gaps_and_stars(spark, fitted):
         (4, "a5", False), (7, "é i ö", True), (8, "t*r*a*s*h", False),
     }
     m = fitted[2]
-    decode = T.Decoder(T.costs(T.count_trigrams(spark.createDataFrame([("the ass hate dumb trash the " * 20,)], "text string"))))
+    decode = T.Decoder(T.Costs(T.count_trigrams(spark.createDataFrame([("the ass hate dumb trash the " * 20,)], "text string"))))
     assert [decode(w) for w in ("a$$", "a55", "hat3", "dum8")] == ["ass", "ass", "hate", "dumb"]
     assert "trash" in T._variants("t*r*a*s*h", False, decode)
     forms = ["i - d - i - o - t", "i  d  i  o  t", "i*d*i*o*t", "i * d * i * o * t", "1 -- d _ 1 . 0 - t"]
     told = T.score(spark.createDataFrame([(f"the and {f} the",) for f in forms], "text string"), m).collect()
     assert [r.text for r in told if r.score < 0.3] == []
+
+
+def test_all_clear_features_have_a_weight(spark):
+    """Rare ones and those of fewer toxic than other documents as well."""
+    rows = [(i, f"the and word{i} " + ("rareslur " if i < 3 else "") + ("mixedslur " if i < 10 or 200 <= i < 215 else ""), int(i < 200)) for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = T.fit(docs.drop("toxic"), docs.drop("text"), fold=9, parts=4)
+    for word, pos, neg in (("rareslur", 3, 0), ("mixedslur", 10, 15)):
+        h = K.span_hash(K.prefix_hash(np.frombuffer(word.encode(), np.uint8)), np.array([0]), np.array([len(word)]))[0]
+        odds = np.log((pos + 0.5) / 201) - np.log((neg + 1) / 7801) - 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 1))
+        assert odds >= T.CLEAR and abs(m.weights[np.flatnonzero(m.hashes == h)[0]] - odds) < 1e-9
+
+
+def test_an_id_of_many_rows_counts_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sorted(map(tuple, sample(docs, labels, "toxic", 9, 4, 100).collect())) == [(1, 1.0, "text 0"), (2, 0.0, "other")]
