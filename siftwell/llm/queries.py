@@ -157,5 +157,7 @@ def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_warc")
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = warc.write(table(spark, sf_dir, "pages"))
-    return warc.read_all(segments, warc.build_index(segments)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    segments = warc.write(pages)
+    places = warc.search(warc.build_index(segments), pages)
+    return warc.read_places(segments, places, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

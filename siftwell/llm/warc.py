@@ -5,9 +5,10 @@ a larger id has the same payload, a revisit that names that page. Members are ga
 about a megabyte; a segment is a row of a table (its bytes are a valid .warc.gz file), so archives are
 written and committed by Spark on any file system, and a member is read by its offset and length.
 
-The index is sorted by key (reversed host, path, query), cut into compressed blocks, and has a directory with
-the first and last key of each block. A search finds blocks in the directory by binary search, reads these,
-and gives the place of each capture.
+The index is sorted by key (reversed host, path, query) and cut into compressed blocks. A sparse directory has the first
+and last key of each block; it is cut into sheets, and only the first and last key of each sheet go to every task. A search
+finds the sheets of a key by binary search, in these its blocks and in these its lines, each time by binary search, and the
+lines' places are then read as ranges of their archives.
 
 Null html is an empty payload, a null URL an empty one. Of equal payloads all rows of the largest page id are
 responses; a null id is less than any, and if no page has an id all are responses.
@@ -22,9 +23,9 @@ import json
 import re
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from urllib.parse import urlsplit
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,7 +35,9 @@ from siftwell.llm._store import written
 
 SEGMENT = 1 << 20
 BLOCK_LINES = 2000
-#: Bytes of repeated payloads' digests, or of a directory, that may be broadcast.
+#: Blocks of a sheet of the directory; a task gets a row for each 2 million captures at most.
+SHEET = 1000
+#: Bytes of repeated payloads' digests, or of places to read, that may be broadcast.
 BROADCAST_BYTES = 16 << 20
 DATE = "1970-01-01T00:00:00Z"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -148,8 +151,7 @@ def build_index(segments: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
         part, i, held = TaskContext.get().partitionId(), 0, []
 
         def block(rows):
-            data = zlib.compress("\n".join(json.dumps(r) for r in rows).encode(), 6)
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{i:08d}"]), pa.array([rows[0][0]]), pa.array([rows[-1][0]]), pa.array([len(rows)]), pa.array([data], pa.binary())], names=["block", "first", "last", "n", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (f"{part:06d}-{i:08d}", rows[0][0], rows[-1][0], len(rows), _packed(rows))], names=["block", "first", "last", "n", "data"])
 
         for b in batches:
             held += zip(*[b.column(c).to_pylist() for c in range(5)])
@@ -171,36 +173,99 @@ def captures(blocks: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for data in b.column(0).to_pylist():
-                rows = [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["key", "page_id", "archive", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*_unpacked(data)), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["key", "page_id", "archive", "offset", "length"])
 
     return blocks.select("data").mapInArrow(run, _CAPTURES)
 
 
-def search(index: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:
-    """Captures of the URLs of a table: blocks found in the directory by binary search, then read and filtered.
+def build_directory(index: DataFrame, blocks: int = SHEET) -> DataFrame:
+    """Sheets (name, first, last, data) of the first and last keys of the index's blocks, in their order, written in the shared folder."""
+    parts = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["first", "last", "block"]
+    ordered = index.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
-    A directory beyond the bound isn't sent to the tasks; then all blocks are read and joined by key.
+    def run(batches):
+        part, i, held = TaskContext.get().partitionId(), 0, []
+
+        def sheet(rows):
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (f"{part:06d}-{i:08d}", rows[0][0], rows[-1][1], _packed(rows))], names=["name", "first", "last", "data"])
+
+        for b in batches:
+            held += zip(*[b.column(c).to_pylist() for c in range(3)])
+            while len(held) >= blocks:
+                yield sheet(held[:blocks])
+                i, held = i + 1, held[blocks:]
+        if held:
+            yield sheet(held)
+
+    return written(ordered.mapInArrow(run, "name string, first string, last string, data binary"), "directory")
+
+
+def _packed(rows: list[tuple]) -> bytes:
+    return zlib.compress("\n".join(json.dumps(r) for r in rows).encode(), 6)
+
+
+def _unpacked(data: bytes) -> list[list]:
+    return [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
+
+
+def _spanning(first: list[str], last: list[str], key: str) -> range:
+    """Which of sorted ranges may hold key; neighbours meet at most in equal keys, so these are in a row."""
+    return range(bisect_left(last, key), bisect_right(first, key))
+
+
+def _met(level: DataFrame, wanted: DataFrame, look, schema: str) -> DataFrame:
+    """Rows of look(lines, keys), for batches of the wanted keys (name, key), where lines are those of the level's row (name, data).
+
+    Each row of the level is sent once and read once, then its keys run past it.
     """
-    wanted = _keys(urls, url)
-    directory = index.select("block", "first", "last")
-    if index.count() * 256 > BROADCAST_BYTES:
-        return captures(index).join(wanted, "key", "left_semi")
-    d = sorted(directory.collect(), key=lambda r: (r.first, r.last, r.block))
-    first, last, names = np.array([r.first for r in d], object), np.array([r.last for r in d], object), [r.block for r in d]
-    shared = index.sparkSession.sparkContext.broadcast((first, last, names))
+    rows = level.select("name", F.lit(0).alias("turn"), F.lit(None).cast("string").alias("key"), "data")
+    rows = rows.join(wanted.select("name").distinct(), "name", "left_semi").unionByName(wanted.select("name", F.lit(1).alias("turn"), "key", F.lit(None).cast("binary").alias("data")))
+
+    def run(batches):
+        lines, looked = [], None
+        for b in batches:
+            out, keys = [], []
+            for turn, key, data in zip(*[b.column(c).to_pylist() for c in ("turn", "key", "data")]):
+                if turn == 0:
+                    out += looked(keys) if keys else []
+                    lines, keys = _unpacked(data), []
+                    looked = look(lines)
+                else:
+                    keys.append(key)
+            out += looked(keys) if keys else []
+            columns = list(zip(*out)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in schema.split(", ")])
+
+    kinds = [{"string": pa.string(), "long": pa.int64()}[x.split()[1]] for x in schema.split(", ")]
+    return rows.repartition("name").sortWithinPartitions("name", "turn").mapInArrow(run, schema)
+
+
+def _blocks_of(lines: list[list]):
+    first, last = [x[0] for x in lines], [x[1] for x in lines]
+    return lambda keys: [(lines[i][2], key) for key in keys for i in _spanning(first, last, key)]
+
+
+def _captures_of(lines: list[list]):
+    own = [x[0] for x in lines]
+    return lambda keys: [tuple(lines[i]) for key in keys for i in range(bisect_left(own, key), bisect_right(own, key))]
+
+
+def search(index: DataFrame, urls: DataFrame, url: str = "url", directory: DataFrame | None = None) -> DataFrame:
+    """(key, page_id, archive, offset, length) of all captures of the URLs of a table."""
+    sheets = build_directory(index) if directory is None else directory
+    top = sorted(((r.first, r.last, r.name) for r in sheets.select("first", "last", "name").collect()))  # a row for each SHEET blocks
+    shared = index.sparkSession.sparkContext.broadcast(tuple(map(list, zip(*top))) or ([], [], []))
 
     def run(batches):
         first, last, names = shared.value
         for b in batches:
-            hit = set()
-            for key in b.column(0).to_pylist():
-                # Ranges of blocks meet at most in equal keys: those that may hold key are in a row.
-                hit.update(names[i] for i in range(int(np.searchsorted(last, key, "left")), int(np.searchsorted(first, key, "right"))))
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(hit), pa.string())], names=["block"])
+            found = [(names[i], key) for key in b.column(0).to_pylist() for i in _spanning(first, last, key)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*found)) or [(), ()]], names=["name", "key"])
 
-    blocks = wanted.mapInArrow(run, "block string").distinct()
-    return captures(index.join(blocks, "block")).join(wanted, "key", "left_semi")
+    in_sheets = written(_keys(urls, url).mapInArrow(run, "name string, key string"), "sheets")
+    in_blocks = written(_met(sheets, in_sheets, _blocks_of, "name string, key string"), "blocks")
+    return _met(index.withColumnRenamed("block", "name"), in_blocks, _captures_of, _CAPTURES)
 
 
 def _keys(urls: DataFrame, url: str) -> DataFrame:
@@ -231,29 +296,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=[x.split()[0] for x in _READ.split(", ")])
 
 
-def read_places(segments: DataFrame, places: DataFrame) -> DataFrame:
-    """The records at places (archive, offset, length), by range reads from their segments; payloads of responses in html."""
-    wanted = places.groupBy("archive").agg(F.sort_array(F.collect_set(F.struct("offset", "length"))).alias("places"))
+def read_places(segments: DataFrame, places: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records at places (archive, offset, length), by range reads from their segments; with payloads, those of responses in html.
+
+    An archive's places are some thousands at most, as its size is bounded.
+    """
+    wanted = written(places.groupBy("archive").agg(F.sort_array(F.collect_set(F.struct("offset", "length"))).alias("places")), "places")
+    size = wanted.agg(F.sum(F.size("places") * 16 + 64)).first()[0] or 0
+    wanted = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted.hint("merge")
 
     def run(batches):
         for b in batches:
             for archive, body, at in zip(*[b.column(c).to_pylist() for c in ("archive", "body", "places")]):
-                yield _batch([_read(archive, p["offset"], body[p["offset"] : p["offset"] + p["length"]], True) for p in at])
+                yield _batch([_read(archive, p["offset"], body[p["offset"] : p["offset"] + p["length"]], payloads) for p in at])
 
     return segments.select("archive", "body").join(wanted, "archive").mapInArrow(run, _READ)
 
 
-def read_all(segments: DataFrame, index: DataFrame) -> DataFrame:
-    """All records that the index knows, without their payloads.
-
-    Segments are read where they are, member by member at its offset, and their small rows meet the index by place.
-    """
-
-    def run(batches):
-        for b in batches:
-            for archive, body, own in zip(*[b.column(c).to_pylist() for c in ("archive", "body", "places")]):
-                yield _batch([_read(archive, p["offset"], body[p["offset"] : p["offset"] + p["length"]], False) for p in own])
-
-    places = F.transform("captures", lambda c: F.struct(c["offset"].alias("offset"), c["length"].alias("length")))
-    rows = segments.select("archive", "body", places.alias("places")).mapInArrow(run, _READ).drop("html")
-    return rows.join(captures(index).select("archive", "offset", "key", "length"), ["archive", "offset"])
+def read_all(segments: DataFrame) -> DataFrame:
+    """All records of segments, without their payloads, read member by member without the index; to compare with."""
+    places = segments.select("archive", F.explode("captures").alias("c")).select("archive", "c.offset", "c.length")
+    return read_places(segments, places, payloads=False).drop("html")
