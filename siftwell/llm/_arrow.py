@@ -19,15 +19,17 @@ def with_columns(
     fn: Callable[[pa.ChunkedArray | pa.Array], list[pa.Array]],
     keep: list[str] | None = None,
     limit: int = K.SLICE_BYTES,
+    beside: tuple[str, ...] = (),
 ) -> DataFrame:
     """df (its columns keep, or all) with fields computed by fn from runs of the text column.
 
     fn gets at most about limit bytes of text at a time. A column that has the name of a new one, in any
-    case of letters, is replaced.
+    case of letters, is replaced. The columns beside are passed on to fn after the text.
     """
     new = {f.name.lower() for f in fields}
     stay = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{text}`").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in stay], *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(beside)], F.col(f"`{text}`").alias("__text"))
+    n = len(stay)
     names = [*stay, *[f.name for f in fields]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,9 +37,9 @@ def with_columns(
             texts = b.column(b.num_columns - 1)
             for lo, hi in _runs(texts, limit):
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *fn(part.column(part.num_columns - 1))], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *fn(part.column(part.num_columns - 1), *part.columns[n:-1])], names)
 
-    schema = StructType([f for f in source.schema.fields[:-1]] + fields)
+    schema = StructType(source.schema.fields[:n] + fields)
     return source.mapInArrow(run, schema)
 
 

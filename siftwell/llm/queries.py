@@ -76,7 +76,7 @@ def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    machine = quality.fit(docs, table(spark, sf_dir, "labels"))
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
     return quality.score(docs, machine, keep=["doc_id"]).select("doc_id", held_out(0, 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
