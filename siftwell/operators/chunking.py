@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,68 +21,106 @@ def windows(n: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int") * step), F.lit(step)))
 
 
+def _exploded(rows: DataFrame, pieces: Column, *keep: str) -> DataFrame:
+    """A row for each struct of pieces. Structs are cut from a document's words before, so no row carries all of these."""
+    return rows.select(*keep, F.explode(pieces).alias("_p")).select(*keep, "_p.*")
+
+
 def fixed(docs: DataFrame, size: int = 512, overlap: int = 50, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, chunk_index, start_token, end_token, content) over words between white space."""
     own = docs.select(F.col(doc_id).alias("doc_id"), T.split_words("text").alias("w"))
-    rows = own.select("doc_id", "w", F.posexplode(windows(F.size("w"), size, overlap)).alias("chunk_index", "start_token"))
-    piece = F.slice("w", F.col("start_token") + 1, F.lit(size))
-    return rows.select("doc_id", "chunk_index", "start_token", (F.col("start_token") + F.size(piece)).alias("end_token"), F.array_join(piece, " ").alias("content"))
+
+    def piece(at: Column, i: Column) -> Column:
+        words = F.slice("w", at + 1, F.lit(size))
+        return F.struct(i.alias("chunk_index"), at.alias("start_token"), F.least(at + size, F.size("w")).alias("end_token"), F.array_join(words, " ").alias("content"))
+
+    return _exploded(own, F.transform(windows(F.size("w"), size, overlap), piece), "doc_id")
 
 
 def sliding(docs: DataFrame, w: int = 1, stride: int = 1, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, chunk_index, content): sentences w before to w after each centre; the window that reaches the end is the last."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), T.sentences("text").alias("s"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), T.sentences("text").alias("s")).where(F.size("s") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("s") - 1 - w) / stride).cast("int"))
-    rows = own.where(F.size("s") > 0).select("doc_id", "s", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    centre = F.col("chunk_index") * stride
-    lo = F.greatest(centre - w, F.lit(0))
-    piece = F.slice("s", lo + 1, centre + w + 1 - lo)
-    return rows.where(centre < F.size("s")).select("doc_id", "chunk_index", F.array_join(piece, " ").alias("content"))
+
+    def piece(i: Column) -> Column:
+        lo = F.greatest(i * stride - w, F.lit(0))
+        return F.struct(i.alias("chunk_index"), F.array_join(F.slice("s", lo + 1, i * stride + w + 1 - lo), " ").alias("content"))
+
+    centres = F.filter(F.sequence(F.lit(0), last), lambda i: i * stride < F.size("s"))
+    return _exploded(own, F.transform(centres, piece), "doc_id")
 
 
 def parent_child(docs: DataFrame, parent: tuple[int, int] = (2000, 100), child: tuple[int, int] = (400, 100), doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, parent_index, child_index, parent_id, content, parent_content): windows of windows."""
     own = docs.select(F.col(doc_id).alias("doc_id"), T.split_words("text").alias("w"))
-    parents = own.select("doc_id", "w", F.posexplode(windows(F.size("w"), *parent)).alias("parent_index", "p")).select("doc_id", "parent_index", F.slice("w", F.col("p") + 1, F.lit(parent[0])).alias("pw"))
-    parents = parents.withColumn("parent_content", F.array_join("pw", " "))
+    cut = F.transform(windows(F.size("w"), *parent), lambda at, i: F.struct(i.alias("parent_index"), F.slice("w", at + 1, F.lit(parent[0])).alias("pw")))
+    parents = _exploded(own, cut, "doc_id").withColumn("parent_content", F.array_join("pw", " "))
     name = F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("parent"), F.col("parent_index").cast("string"), F.substring(F.md5(F.substring("parent_content", 1, 100)), 1, 8))
-    rows = parents.select("doc_id", "parent_index", "pw", "parent_content", name.alias("parent_id"), F.posexplode(windows(F.size("pw"), *child)).alias("child_index", "c"))
-    return rows.select("doc_id", "parent_index", "child_index", "parent_id", F.array_join(F.slice("pw", F.col("c") + 1, F.lit(child[0])), " ").alias("content"), "parent_content")
+    pieces = F.transform(windows(F.size("pw"), *child), lambda at, i: F.struct(i.alias("child_index"), F.array_join(F.slice("pw", at + 1, F.lit(child[0])), " ").alias("content")))
+    rows = parents.select("doc_id", "parent_index", name.alias("parent_id"), "parent_content", pieces.alias("pieces"))
+    return _exploded(rows, F.col("pieces"), "doc_id", "parent_index", "parent_id", "parent_content").select("doc_id", "parent_index", "child_index", "parent_id", "content", "parent_content")
+
+
+class WordSpans:
+    """Places of a text's words; any span's number of words by two searches."""
+
+    def __init__(self, text: str):
+        places = [m.span() for m in re.finditer(r"\S+", text)]
+        self.starts, self.ends = np.array(places, np.int64).reshape(-1, 2).T.copy()
+
+    def count(self, a, b):
+        """How many words a span touches; parts of words count."""
+        return np.searchsorted(self.starts, b, "left") - np.searchsorted(self.ends, a, "right")
 
 
 def split_recursive(text: str, size: int, overlap: int, separators: list[str] = SEPARATORS, keep: bool = True) -> list[str]:
-    """Pieces of at most size words where a separator allows it, packed in order."""
-    count = lambda s: len(s.split())
-    if count(text) <= size or not separators:
-        return [text] if text.strip() else []
-    sep, rest = separators[0], separators[1:]
-    out: list[str] = []
-    now: list[str] = []
-    length = 0
-
-    def flush() -> None:
-        if now:
-            out.append("".join(now) if keep or not sep else sep.join(now))
-
-    for i, piece in enumerate(text.split(sep) if sep else text):
-        if sep and not piece.strip():
+    """Pieces of at most size words where a separator allows it, packed in order.
+
+    A span with more words than size is cut where the first separator starts; parts that are still too long are cut by the
+    next one, and neighbours between them are packed. With keep, a part starts with its separator. Blank parts are
+    dropped. A packed piece starts with the last overlap words of the one before it, if that has more.
+    """
+    words, out = WordSpans(text), []
+
+    def parts(a: int, b: int, sep: str) -> np.ndarray:
+        """(start, end) of the parts of a span that aren't blank, the separator left out if it isn't kept."""
+        if not sep:
+            edges = np.arange(a, b + 1)
+            return np.stack([edges[:-1], edges[1:]], axis=1)
+        edges = np.array([a, *(m.start() for m in re.compile(re.escape(sep)).finditer(text, a, b)), b])
+        inner = edges[:-1] + np.where(np.arange(len(edges) - 1) > 0, len(sep), 0)
+        own = np.stack([edges[:-1] if keep else inner, edges[1:]], axis=1)
+        return own[words.count(inner, edges[1:]) > 0]
+
+    def pack(spans: np.ndarray, sep: str) -> None:
+        upto = np.concatenate([[0], np.cumsum(words.count(spans[:, 0], spans[:, 1]))])
+        glue, at, carry = "" if keep else sep, 0, ""
+        while at < len(spans):
+            room = size - (overlap if carry else 0)
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + room, "right")) - 1)
+            piece = glue.join([carry] * bool(carry) + [text[x:y] for x, y in spans[at:end].tolist()])
+            out.append(piece)
+            tail = piece.split()
+            carry = " ".join(tail[-overlap:]) if 0 < overlap < len(tail) else ""
+            at = end
+
+    # What is still to be done, the next last: (start, end, level) to be cut, or spans to be packed and their separator.
+    todo: list[tuple] = [(0, len(text), 0)]
+    while todo:
+        task = todo.pop()
+        if len(task) == 2:
+            pack(*task)
             continue
-        if keep and i:
-            piece = sep + piece
-        n = count(piece)
-        if n > size and rest:
-            flush()
-            now, length = [], 0
-            out += split_recursive(piece, size, overlap, rest, keep)
+        a, b, level = task
+        if words.count(a, b) <= size or level == len(separators):
+            out += [text[a:b]] * bool(words.count(a, b))
             continue
-        if length + n > size and now:
-            flush()
-            words = out[-1].split()
-            now = [" ".join(words[-overlap:])] if 0 < overlap < len(words) else []
-            length = sum(map(count, now))
-        now.append(piece)
-        length += n
-    flush()
+        spans = parts(a, b, separators[level])
+        long = (words.count(spans[:, 0], spans[:, 1]) > size) & (level + 1 < len(separators))
+        cut = np.flatnonzero(np.diff(long) | long[1:] | long[:-1]) + 1
+        for group in reversed(np.split(np.arange(len(spans)), cut)):
+            if len(group):
+                todo.append((*spans[group[0]].tolist(), level + 1) if long[group[0]] else (spans[group], separators[level]))
     return out
 
 
@@ -103,21 +142,25 @@ def recursive(docs: DataFrame, size: int = 512, overlap: int = 50, separators: l
 
 def split_semantic(sentences: list[str], vectors: np.ndarray | None, threshold: float, least: int, most: int) -> list[str]:
     """Sentences joined until most words are reached, or the next one is unlike and least words are there."""
-    out, now, n = [], [], 0
-    for i, s in enumerate(sentences):
-        now.append(s)
-        n += len(s.split())
-        unlike = vectors is not None and i + 1 < len(sentences) and float(vectors[i] @ vectors[i + 1]) < threshold
-        if n >= most or unlike and n >= least:
-            out.append(" ".join(now))
-            now, n = [], 0
-    return out + ([" ".join(now)] if now else [])
+    n = len(sentences)
+    upto = np.concatenate([[0], np.cumsum([len(s.split()) for s in sentences], dtype=np.int64)])
+    unlike = np.zeros(0, np.int64)
+    if vectors is not None and n > 1:
+        unlike = np.flatnonzero(np.einsum("ij,ij->i", vectors[:-1], vectors[1:]) < threshold) + 1
+    out, at = [], 0
+    while at < n:
+        # Cuts stand behind sentences: where most words are reached, and at the first unlike neighbour with least words before it.
+        full = int(np.searchsorted(upto, upto[at] + most))
+        enough = max(at + 1, int(np.searchsorted(upto, upto[at] + least)))
+        next_ = int(np.searchsorted(unlike, enough))
+        end = max(at + 1, min(full, int(unlike[next_]) if next_ < len(unlike) else n, n))
+        out.append(" ".join(sentences[at:end]))
+        at = end
+    return out
 
 
 def semantic(docs: DataFrame, threshold: float = 0.3, least: int = 50, most: int = 300, doc_id: str = "doc_id") -> DataFrame:
     """Chunks cut where neighbouring sentences are unlike by a hashed bag-of-words embedding."""
-    import re
-
     from siftwell.operators.vectors import hashed_embedding
 
     def run(t: str) -> list[str]:

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
-from siftwell.llm._store import written
-from siftwell.llm.minhash import components
+from siftwell.operators.graph import components
+from siftwell.store import written
 
 #: Buckets of the counts that rule pairs out.
 CHARS, GRAMS = 64, 512

@@ -1,11 +1,25 @@
-"""BM25 over an inverted index made by grouping; scores join only the terms that queries have."""
+"""BM25. A stated query set of bounded size goes to every task, and documents are scored where they are; a larger one is joined
+with an inverted index made by grouping."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.store import written
+
+#: Cells (queries times their distinct terms) of a query set that goes to every task: 64 MB.
+QUERY_CELLS = 8_000_000
+#: Cells (documents times terms) that a task scores at once.
+CELLS = 2_000_000
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", tokens: Column | None = None) -> DataFrame:
@@ -19,13 +33,117 @@ def statistics(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(T.words("text") if tokens is None else tokens)).alias("avgdl"))
 
 
-def terms(queries: DataFrame, query_id: str, first: int | None = None, text: str = "text") -> DataFrame:
-    """(query_id, token, qtf) of all words of each query, or its first ones; repeated words count repeatedly."""
-    words = T.words(text) if first is None else F.slice(T.words(text), 1, first)
-    own = queries.select(F.col(query_id).alias("query_id"), F.explode(words).alias("token"))
+def terms(queries: DataFrame, query_id: str, text: str = "text") -> DataFrame:
+    """(query_id, token, qtf) of all words of each query; repeated words count repeatedly."""
+    own = queries.select(F.col(query_id).alias("query_id"), F.explode(T.words(text)).alias("token"))
     return own.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
+@dataclass(frozen=True)
+class Model:
+    """BM25; delta over 0 gives the lower-bounded form (BM25+) with its own idf."""
+
+    k1: float = 1.2
+    b: float = 0.75
+    delta: float = 0.0
+
+    def idf(self, n: float, df: np.ndarray) -> np.ndarray:
+        return np.log((n + 1) / df) if self.delta > 0 else np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def part(self, tf: np.ndarray, dl: np.ndarray, mean: float) -> np.ndarray:
+        return self.delta + tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / mean))
+
+
+OKAPI, PLUS = Model(), Model(1.5, 0.75, 0.5)
+_FIND = re.compile(r"\w+").findall
+
+
+def _counts(docs: DataFrame, shared) -> tuple[int, float, dict[str, int]]:
+    """Number of documents, mean length and, of each term, the number of documents that have it; the driver gets a row a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, length, df, wanted = 0, 0, Counter(), set(shared.value)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                words = _FIND((t or "").lower())
+                n, length = n + 1, length + len(words)
+                df.update(wanted.intersection(words))
+        yield pa.RecordBatch.from_arrays([pa.array(["", *df], pa.string()), pa.array([n, *df.values()], pa.int64()), pa.array([length] + [0] * len(df), pa.int64())], ["token", "n", "length"])
+
+    rows = docs.select("text").mapInArrow(run, "token string, n long, length long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect()
+    of = {r.token: r for r in rows}
+    n = of[""].n if of else 0
+    return n, (of[""].length / n if n else 0.0), {t: r.n for t, r in of.items() if t}
+
+
+def ranked(docs: DataFrame, query_terms: DataFrame, k: int, models: tuple[Model, ...] = (OKAPI,), doc_id: str = "doc_id", zeros: bool = False, among: Column | None = None) -> list[DataFrame]:
+    """For each model (query_id, doc_id, score, rank) of the k best documents of each query; ties go to the least id.
+
+    Documents are read twice, once for their counts and once for their scores, which of a batch are products of the queries'
+    weights and the documents' parts for all models at once; a batch passes on k rows a query. With zeros, documents without any term of
+    the query come last, with a score of 0. With among only documents for which it is true are ranked, by the counts of all. A query set beyond QUERY_CELLS is scored by bm25(), model by model.
+    """
+    wanted = written(query_terms, "query_terms")
+    size = wanted.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("token").alias("t")).first()
+    if size.q * size.t > QUERY_CELLS:
+        if zeros:
+            raise ValueError("zeros is for query sets of bounded size")
+        scored = [bm25(docs, wanted, m.k1, m.b, m.delta, doc_id) for m in models]
+        own = None if among is None else docs.where(among).select(F.col(doc_id).alias("doc_id")).distinct()
+        return [top(x if own is None else x.join(own, "doc_id", "left_semi"), k) for x in scored]
+    rows = wanted.collect()
+    queries, tokens = sorted({r.query_id for r in rows}), sorted({r.token for r in rows})
+    at = {t: i for i, t in enumerate(tokens)}
+    place = {q: i for i, q in enumerate(queries)}
+    context = docs.sparkSession.sparkContext
+    place_of = context.broadcast(at)
+    n, mean, df = _counts(docs, place_of)
+    weight = np.zeros((len(queries), len(tokens)))
+    for r in rows:
+        weight[place[r.query_id], at[r.token]] = r.qtf
+    found = np.array([df.get(t, 0) for t in tokens], float)
+    weights = context.broadcast([weight * np.where(found > 0, m.idf(n, np.maximum(found, 1)), 0) for m in models])
+    kind = docs.schema[doc_id].dataType.simpleString()
+    query_kind = wanted.schema["query_id"].dataType.simpleString()
+    step = max(1, CELLS // max(len(tokens), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = place_of.value
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                ids, texts = b.column(0).slice(lo, step), b.column(1).slice(lo, step).to_pylist()
+                tf, dl = np.zeros((len(texts), len(tokens))), np.zeros(len(texts))
+                for i, t in enumerate(texts):
+                    words = _FIND((t or "").lower())
+                    dl[i] = len(words)
+                    known = [j for j in map(lookup.get, words) if j is not None]
+                    if known:
+                        tf[i] = np.bincount(known, minlength=len(tokens))
+                own, place_in, scores = [], [], []
+                order = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable") if len(ids) else np.zeros(0, int)
+                for m, w in enumerate(weights.value):
+                    parts = np.where(tf > 0, models[m].part(tf, dl[:, None], mean or 1.0), 0)
+                    score = np.round(w @ parts.T, 6)
+                    for q, row in enumerate(score):
+                        some = np.arange(len(row)) if zeros else np.flatnonzero(row > 0)
+                        if len(some) > k:
+                            some = some[row[some] >= np.partition(row[some], -k)[-k]]
+                            some = some[np.lexsort((order[some], -row[some]))[:k]]
+                        own.append(np.stack([np.full(len(some), m), np.full(len(some), q)]))
+                        place_in.append(some)
+                        scores.append(row[some])
+                if own:
+                    models_, queries_ = np.concatenate(own, axis=1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(models_), pa.array(queries_), ids.take(pa.array(np.concatenate(place_in))), pa.array(np.concatenate(scores))], ["model", "q", "doc_id", "score"])
+
+    found_rows = docs.where(F.col(doc_id).isNotNull() & (F.lit(True) if among is None else among)).select(F.col(doc_id).alias("doc_id"), "text").mapInArrow(run, f"model int, q int, doc_id {kind}, score double")
+    best = Window.partitionBy("model", "q").orderBy(F.col("score").desc(), F.col("doc_id"))
+    best = written(found_rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "ranked")
+    # A row for each query of the bounded set.
+    names = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(queries)), f"q int, query_id {query_kind}"))
+    return [best.where(F.col("model") == m).join(names, "q").select("query_id", "doc_id", "score", "rank") for m in range(len(models))]
+
+
 def bm25(docs: DataFrame, query_terms: DataFrame, k1: float = 1.2, b: float = 0.75, delta: float = 0.0, doc_id: str = "doc_id") -> DataFrame:
     """(query_id, doc_id, score) of documents with at least one term of the query.
 

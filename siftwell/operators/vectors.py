@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._store import written
-from siftwell.llm.minhash import components
+from siftwell.operators.graph import components
 from siftwell.operators.lexical import top
+from siftwell.store import written
 
 BLOCK = 4096
 QUERY_BLOCK = 256
+#: Bytes of blocks that are sent to every task.
+BROADCAST_BYTES = 64 << 20
 
 #: Larger is nearer.
 METRICS = {
@@ -40,6 +42,17 @@ def _blocks(df: DataFrame, vec_id: str, embedding: str, size: int, prefix: str)
     return own.mapInArrow(run, f"{prefix}i binary, {prefix}v binary")
 
 
+def _every_pair(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each block of left with each block of right; right goes to every task if it is small, else blocks meet by the right one's number."""
+    right = written(right, "blocks")
+    of = right.agg(F.sum(sum((F.length(c) for c in right.columns), F.lit(0))).alias("bytes"), F.count("*").alias("n")).first()
+    if (of.bytes or 0) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right))
+    numbered = written(right.withColumn("_b", F.monotonically_increasing_id()), "numbered_blocks")
+    numbers = [r[0] for r in numbered.select("_b").collect()]  # a number for each block of megabytes
+    return left.withColumn("_b", F.explode(F.array(*map(F.lit, numbers)))).join(numbered.hint("merge"), "_b").drop("_b")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int | None, metric: str = "cosine", vec_id: str = "vec_id", embedding: str = "embedding", itself: bool = False, least: float = -np.inf) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest of vectors to each of a stated set of queries.
 
@@ -47,7 +60,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int | None, metric: str =
     Without k it is every row with a score of least or more, and no rank. itself: whether a vector may be found by the query of its own id. All vectors have one length.
     """
     measure = METRICS[metric]
-    pairs = _blocks(vectors, vec_id, embedding, BLOCK, "v").join(_blocks(queries, vec_id, embedding, QUERY_BLOCK, "q"))
+    pairs = _every_pair(_blocks(vectors, vec_id, embedding, BLOCK, "v"), _blocks(queries, vec_id, embedding, QUERY_BLOCK, "q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,13 +96,14 @@ def _stars(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> Iterato
 
 
 def alike_classes(vectors: DataFrame, least: float, metric: str = "cosine", vec_id: str = "vec_id", embedding: str = "embedding", rows: int = 1024, columns: int = BLOCK) -> DataFrame:
-    """(vec_id, class_id): vectors that any chain of scores of least or more connects have the same class, the least id in it.
+    """(vec_id, class_id, n_links): vectors that any chain of scores of least or more connects have the same class, the least id in it.
 
-    All pairs are compared, in blocks. A pair of blocks passes on, of each set of vectors that it connects, a row a vector and not
-    a row a link, so a large group of copies stays small. Vectors without a link are left out.
+    All pairs are compared, in blocks, so work goes with the square of the number of vectors. A pair of blocks passes on, of each set of
+    vectors that it connects, a row a vector and its number of links, and not a row a link, so a large group of copies stays small. Vectors
+    without a link are left out.
     """
     measure = METRICS[metric]
-    pairs = _blocks(vectors, vec_id, embedding, columns, "v").join(_blocks(vectors, vec_id, embedding, rows, "q"))
+    pairs = _every_pair(_blocks(vectors, vec_id, embedding, columns, "v"), _blocks(vectors, vec_id, embedding, rows, "q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,11 +112,17 @@ def alike_classes(vectors: DataFrame, least: float, metric: str = "cosine", vec_
                 if qids.min() >= ids.max():
                     continue
                 s = measure(np.frombuffer(qv.as_py(), "<f8").reshape(len(qids), -1), np.frombuffer(vv.as_py(), "<f8").reshape(len(ids), -1))
-                for first, others in _stars((np.round(s, 6) >= least) & (qids[:, None] < ids[None, :]), qids, ids):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(first, len(others))), pa.array(others)], ["a", "b"])
-
-    edges = written(pairs.select("vi", "vv", "qi", "qv").mapInArrow(run, "a long, b long").distinct(), "alike")
-    return components(edges).select(F.col("node").alias("vec_id"), F.col("label").alias("class_id"))
+                linked = (np.round(s, 6) >= least) & (qids[:, None] < ids[None, :])
+                for first, others in _stars(linked, qids, ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(first, len(others))), pa.array(others), pa.array(np.zeros(len(others), np.int64))], ["a", "b", "n"])
+                for own, n in ((qids, linked.sum(axis=1)), (ids, linked.sum(axis=0))):
+                    some = n > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(own[some]), pa.array(n[some].astype(np.int64))], ["a", "b", "n"])
+
+    found = written(pairs.select("vi", "vv", "qi", "qv").mapInArrow(run, "a long, b long, n long"), "alike")
+    classes = components(found.where("a <> b").select("a", "b").distinct())
+    links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    return classes.join(links, "node").select(F.col("node").alias("vec_id"), F.col("label").alias("class_id"), "n_links")
 
 
 def hashed_embedding(tokens: list[str], dim: int = 64) -> np.ndarray:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +11,14 @@ from siftwell.operators import context, evaluation, fusion, lexical, monitoring,
 from siftwell.plans.catalogue import QUERIES, query, table
 from siftwell.plans.text_queries import WORDS
 
-#: Whether queries are cut to their first words, as the SQL does.
-_CUT = ContextVar("cut", default=True)
-
 AS_OF = "2024-01-31 00:00:00"
 
 
-def _bm25_sql(first: int = 8, k1: float = 1.2, b: float = 0.75, delta: float = 0.0) -> str:
+def _bm25_sql(k1: float = 1.2, b: float = 0.75, delta: float = 0.0) -> str:
     part = f"tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))"
     score = f"ln((n + 1) / df) * ({delta} + {part})" if delta else f"ln(1 + (n - df + 0.5) / (df + 0.5)) * {part}"
     return f"""(WITH dl AS (SELECT doc_id, {WORDS} AS w FROM documents), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM dl),
-    q AS (SELECT item_id AS query_id, unnest(({WORDS})[1:{first}]) AS token FROM benchmark), tok AS (SELECT doc_id, len(w) AS dl, unnest(w) AS token FROM dl),
+    q AS (SELECT item_id AS query_id, unnest({WORDS}) AS token FROM benchmark), tok AS (SELECT doc_id, len(w) AS dl, unnest(w) AS token FROM dl),
     tf AS (SELECT doc_id, token, dl, count(*)::DOUBLE AS tf FROM tok WHERE token IN (SELECT token FROM q) GROUP BY ALL), df AS (SELECT token, count(*)::DOUBLE AS df FROM tf GROUP BY token)
     SELECT query_id, doc_id, round(sum({score}), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token), st GROUP BY query_id, doc_id)"""
 
@@ -32,48 +27,61 @@ def _top_sql(scores: str, k: int, cols: str = "query_id, doc_id, score", item: s
     return f"SELECT {cols}, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {item}) AS rank FROM {scores} {extra}) WHERE rank <= {k}"
 
 
-def _terms(spark: SparkSession, sf_dir: str, first: int = 8) -> DataFrame:
-    return lexical.terms(table(spark, sf_dir, "benchmark"), "item_id", first if _CUT.get() else None)
-
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.terms(table(spark, sf_dir, "benchmark"), "item_id")
 
-def _okapi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(table(spark, sf_dir, "documents"), _terms(spark, sf_dir))
 
+def _top(spark: SparkSession, sf_dir: str, k: int, *models: lexical.Model, **options) -> list[DataFrame]:
+    return lexical.ranked(table(spark, sf_dir, "documents"), _terms(spark, sf_dir), k, models, **options)
 
-def _plus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(table(spark, sf_dir, "documents"), _terms(spark, sf_dir, 16), 1.5, 0.75, 0.5)
 
-
-OKAPI, PLUS = _bm25_sql(), _bm25_sql(16, 1.5, 0.75, 0.5)
+OKAPI, PLUS = _bm25_sql(), _bm25_sql(1.5, 0.75, 0.5)
 
 
 @query("bm25_topk", _top_sql(OKAPI, 10))
 def bm25_topk(spark, sf_dir):
-    return lexical.top(_okapi(spark, sf_dir), 10)
+    return _top(spark, sf_dir, 10, lexical.OKAPI)[0]
 
 
 @query("bm25_plus_topk", _top_sql(PLUS, 10))
 def bm25_plus_topk(spark, sf_dir):
-    return lexical.top(_plus(spark, sf_dir), 10)
+    return _top(spark, sf_dir, 10, lexical.PLUS)[0]
+
+
+@query("bm25_by_index", _top_sql(OKAPI, 10))
+def bm25_by_index(spark, sf_dir):
+    """The way of query sets that are too large to send to every task: an index of postings, joined."""
+    return lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), _terms(spark, sf_dir)), 10)
+
+
+_ZEROS = f"(SELECT b.item_id AS query_id, d.doc_id, coalesce(s.score, 0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN {OKAPI} s ON s.query_id = b.item_id AND s.doc_id = d.doc_id)"
+
+
+@query("bm25_with_zeros", _top_sql(_ZEROS, 25))
+def bm25_with_zeros(spark, sf_dir):
+    return _top(spark, sf_dir, 25, lexical.OKAPI, zeros=True)[0]
 
 
 @query("bm25_positive_postfilter", f"SELECT t.* FROM ({_top_sql(OKAPI, 20)}) t JOIN documents d ON t.doc_id = d.doc_id WHERE t.score > 0 AND d.lang = 'en'")
 def bm25_positive_postfilter(spark, sf_dir):
     own = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
-    return lexical.top(_okapi(spark, sf_dir), 20).where("score > 0").join(own, "doc_id", "left_semi")
+    return _top(spark, sf_dir, 20, lexical.OKAPI)[0].where("score > 0").join(own, "doc_id", "left_semi")
 
 
 @query("bm25_prefilter", _top_sql(f"(SELECT s.* FROM {OKAPI} s JOIN documents d ON s.doc_id = d.doc_id WHERE d.lang = 'en')", 10))
 def bm25_prefilter(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
-    return lexical.top(_okapi(spark, sf_dir).join(own, "doc_id", "left_semi"), 10)
+    """Only English documents are ranked, with the counts of all."""
+    return _top(spark, sf_dir, 10, lexical.OKAPI, among=F.col("lang") == "en")[0]
+
 
+#: Synonyms as a caller would give them: of stop words of the corpus' languages.
+SYNONYMS = [("the", "le"), ("the", "der"), ("and", "et"), ("and", "und"), ("of", "de"), ("in", "dans"), ("to", "zu")]
+_SYN = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS) + ") s(token, synonym)"
 
-@query("expanded_terms", f"WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(({WORDS})[1:8]) AS token FROM benchmark) SELECT query_id, token FROM q UNION SELECT query_id, token || '_' FROM q WHERE length(token) > 6")
+
+@query("expanded_terms", f"WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS}) AS token FROM benchmark) SELECT query_id, token FROM q UNION SELECT query_id, synonym FROM q JOIN {_SYN} USING (token)")
 def expanded_terms(spark, sf_dir):
-    own = _terms(spark, sf_dir)
-    synonyms = own.where(F.length("token") > 6).select("token", F.concat("token", F.lit("_")).alias("synonym")).distinct()
-    return lexical.expand(own, synonyms).select("query_id", "token")
+    return lexical.expand(_terms(spark, sf_dir), spark.createDataFrame(SYNONYMS, "token string, synonym string")).select("query_id", "token")
 
 
 def _vec(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -141,16 +149,22 @@ def vector_stats(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("dim_min"), F.max(F.size("embedding")).alias("dim_max"))
 
 
-@query("near_dup_cosine_pairs", f"SELECT query_id, vec_id, score FROM {_near_sql('cosine')} WHERE score >= 0.5")
+_ALIKE = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.5"
+_REACHED = f"WITH RECURSIVE l AS MATERIALIZED ({_ALIKE}), r AS (SELECT a AS v, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a WHERE r.c < l.b)"
+
+
+@query(
+    "near_dup_cosine_pairs",
+    f"{_REACHED}, n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a) SELECT r.v AS vec_id, min(r.c) AS class_id, any_value(n.n_links) AS n_links FROM r JOIN n ON r.v = n.a GROUP BY r.v",
+)
 def near_dup_cosine_pairs(spark, sf_dir):
-    own, queries = _vec(spark, sf_dir)
-    return vectors.search(own, queries, None, least=0.5)
+    """Of each vector with a cosine of 0.5 or more to another: the class that chains of such pairs make, and its number of them."""
+    return vectors.alike_classes(table(spark, sf_dir, "embeddings"), 0.5)
 
 
-@query("near_dup_cosine_classes")
+@query("near_dup_cosine_classes", f"{_REACHED} SELECT v AS vec_id, min(c) AS class_id FROM r GROUP BY v")
 def near_dup_cosine_classes(spark, sf_dir):
-    """The whole job of which near_dup_cosine_pairs, held to its SQL, does the part with ids divisible by 100: all vectors meet all."""
-    return vectors.alike_classes(table(spark, sf_dir, "embeddings"), 0.5)
+    return vectors.alike_classes(table(spark, sf_dir, "embeddings"), 0.5).drop("n_links")
 
 
 _NORMS = {
@@ -166,7 +180,7 @@ def _norm_sql(how: str, scores: str) -> str:
 
 
 def _lists(spark, sf_dir):
-    return [lexical.top(x, 20).select("query_id", "doc_id", "score") for x in (_okapi(spark, sf_dir), _plus(spark, sf_dir))]
+    return [x.select("query_id", "doc_id", "score") for x in _top(spark, sf_dir, 20, lexical.OKAPI, lexical.PLUS)]
 
 
 _L1, _L2 = (f"({_top_sql(x, 20)})" for x in (OKAPI, PLUS))
@@ -299,25 +313,6 @@ def hybrid_context(spark, sf_dir):
     return context.budget(_with_text(spark, sf_dir), 2000).where("rank <= 8").select("query_id", "doc_id", "rank", "score", "tokens", "running")
 
 
-def _whole(name: str) -> None:
-    @query(f"{name}_whole")
-    def run(spark, sf_dir):
-        was = _CUT.set(False)
-        try:
-            return QUERIES[name](spark, sf_dir)
-        finally:
-            _CUT.reset(was)
-
-
-#: The same by all words of each benchmark text; the SQL of the queries above looks up its first words.
-for _n in [
-    "bm25_topk", "bm25_plus_topk", "bm25_positive_postfilter", "bm25_prefilter", "expanded_terms", "minmax_scores", "zscore_scores", "softmax_scores",
-    "fuse_rrf", "fuse_weighted_max", "fuse_linear_minmax", "fuse_nlist", "two_stage_rerank", "overlap_rerank", "noop_rerank", "jaccard_context_dedup",
-    "context_token_budget", "lost_in_middle_order", "context_format", "hybrid_context",
-]:
-    _whole(_n)
-
-
 @query("citations", "SELECT doc_id, '[' || doc_id || ']' AS numbered, '([Source: ' || source || ', page ?])' AS inlined FROM documents")
 def citations(spark, sf_dir):
     none = F.lit(None).cast("int")

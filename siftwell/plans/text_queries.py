@@ -38,16 +38,9 @@ def tokenize_whitespace(spark, sf_dir):
 @query(
     "tokenize_ngrams",
     f"""WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents)
-    SELECT gram, count(*) AS n FROM (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM t) GROUP BY gram HAVING count(*) >= 50""",
+    SELECT gram, count(*) AS n FROM (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM t) GROUP BY gram""",
 )
 def tokenize_ngrams(spark, sf_dir):
-    w = docs(spark, sf_dir).select(T.words("text").alias("w"))
-    return w.select(F.explode(F.concat("w", T.ngrams(F.col("w"), 2))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 50")
-
-
-@query("tokenize_all_ngrams")
-def tokenize_all_ngrams(spark, sf_dir):
-    """tokenize_ngrams, whose SQL drops grams under 50 occurrences, with the counts of all grams."""
     w = docs(spark, sf_dir).select(T.words("text").alias("w"))
     return w.select(F.explode(F.concat("w", T.ngrams(F.col("w"), 2))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 

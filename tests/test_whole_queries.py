@@ -31,7 +31,7 @@ def ranked(docs, queries, k1, b, delta, k):
 def test_rankings_of_whole_queries(spark):
     docs, queries = rows(spark, "documents"), rows(spark, "benchmark")
     assert max(len(WORD.findall(t)) for _, t in queries) > 16
-    for name, how in (("bm25_topk_whole", (1.2, 0.75, 0.0)), ("bm25_plus_topk_whole", (1.5, 0.75, 0.5))):
+    for name, how in (("bm25_topk", (1.2, 0.75, 0.0)), ("bm25_plus_topk", (1.5, 0.75, 0.5))):
         want = ranked(docs, queries, *how, 10)
         got = sorted(QUERIES[name](spark, SF).collect(), key=lambda r: (r.query_id, r.rank))
         assert len(got) == sum(len(ids) for ids, _ in want.values())
@@ -54,4 +54,4 @@ def test_counts_of_all_grams(spark):
         w = WORD.findall(t.lower())
         want.update(w)
         want.update(f"{x} {y}" for x, y in zip(w, w[1:]))
-    assert {r.gram: r.n for r in QUERIES["tokenize_all_ngrams"](spark, SF).collect()} == want
+    assert {r.gram: r.n for r in QUERIES["tokenize_ngrams"](spark, SF).collect()} == want
