@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from siftwell.llm._arrow import with_columns
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 CACHE_LENGTH = 64
 
 
@@ -235,16 +235,22 @@ def share(df: DataFrame, value: Codec) -> _Shared:
     return _Shared(df.sparkSession, value)
 
 
-def encode(df: DataFrame, value: Codec, text: str = "text", ids: str = "ids", keep: list[str] | None = None, array: bool = False) -> DataFrame:
-    """df with a binary column of packed ids, or an array<long>. No shuffle; any column of that name is replaced."""
+def encode(df: DataFrame, value: Codec, text: str = "text", ids: str = "ids", keep: list[str] | None = None, array: bool = False, decoded: str | None = None) -> DataFrame:
+    """df with a binary column of packed ids, or an array<long>, and with decoded the bytes that they stand for.
+
+    No shuffle; any column of these names is replaced. Ids are decoded where they were made, so one Python worker a task holds the
+    vocabulary and ids aren't sent back and forth.
+    """
     shared = share(df, value)
 
     def run(texts):
         c = here(shared)
         packed = [c.encode(t or "") for t in texts.to_pylist()]
-        return [pa.array([np.frombuffer(p, "<u4").tolist() for p in packed], pa.list_(pa.int64())) if array else pa.array(packed, pa.binary())]
+        out = [pa.array([np.frombuffer(p, "<u4").tolist() for p in packed], pa.list_(pa.int64())) if array else pa.array(packed, pa.binary())]
+        return out + ([pa.array([c.decode(p) for p in packed], pa.binary())] if decoded else [])
 
-    return with_columns(df, text, [StructField(ids, ArrayType(LongType()) if array else BinaryType())], run, keep)
+    fields = [StructField(ids, ArrayType(LongType()) if array else BinaryType())]
+    return with_columns(df, text, fields + ([StructField(decoded, BinaryType())] if decoded else []), run, keep)
 
 
 def decode(df: DataFrame, value: Codec, ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:

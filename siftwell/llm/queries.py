@@ -33,8 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Digests of the ids of each text and of what they decode to."""
     codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
-    encoded = bpe.encode(docs, codec, keep=["doc_id"])
-    return bpe.decode(encoded, codec).select(
+    return bpe.encode(docs, codec, keep=["doc_id"], decoded="decoded").select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

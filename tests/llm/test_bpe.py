@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 import tiktoken
 
 from siftwell.llm import bpe
+from siftwell.llm.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +50,14 @@ def test_round_trip_with_nulls_and_clashes(spark, codec):
     assert [bytes(r.decoded).decode() for r in sorted(out, key=lambda r: r.doc_id)] == ["x y  z\n", "", "", ""]
     assert bpe.encode(df.limit(0), codec).count() == 0
     assert bpe.encode(df, codec, array=True).where("doc_id = 1").first().ids == ids(codec.encode("x y  z\n"))
+
+
+def test_query_against_the_library(spark, library):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = QUERIES["op2_byte_bpe"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        own = np.array(library.encode_ordinary(texts[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(own), hashlib.sha256(own.tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
