@@ -3,13 +3,15 @@
 A payload of bytes is held as mu-law or A-law samples (a byte each) or as the data of IMA ADPCM blocks
 (64 bytes, two samples a byte, after a header of 4). Companded samples expand by lookup tables; ADPCM blocks
 are decoded side by side, one numpy step for the n-th code of every block of a slice. Decoded sound is
-resampled and kept as 16-bit PCM. Null texts count as empty; an empty text is one block of zero bytes.
+resampled by a windowed sinc (in phases, cut off below the lower rate) and kept as 16-bit PCM in a column of the result. Null texts count as empty; an empty text is one block of zero bytes.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from functools import cache
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,10 @@ from siftwell.llm._arrow import with_columns
 
 BLOCK = 64
 RATE = 8000
+#: Old samples on either side that a new one is made of, and the form of the window.
+REACH, BETA = 8, 7.0
+#: Samples whose windows are held at once.
+PIECE = 1 << 16
 MU_LAW, A_LAW, IMA = "mulaw", "alaw", "ima"
 #: WAVE format tags.
 TAGS = {A_LAW: 6, MU_LAW: 7, IMA: 17}
@@ -131,18 +137,36 @@ def decode(media: list[bytes]) -> tuple[list[np.ndarray], list[bytes], list[str]
     return samples, payload, [c for c, _, _ in parts], [r for _, r, _ in parts]
 
 
+@cache
+def phases(rate: int, to: int) -> np.ndarray:
+    """Filters (phases, 2 * REACH) for the places between two samples at which new samples stand: sinc under a Kaiser window, each of sum 1."""
+    up, down = to // gcd(rate, to), rate // gcd(rate, to)
+    cut = min(1.0, up / down)
+    at = np.arange(1 - REACH, REACH + 1)[None, :] - (np.arange(up) / up)[:, None]
+    h = np.sinc(at * cut) * np.i0(BETA * np.sqrt(np.maximum(0, 1 - (at / REACH) ** 2)))
+    return h / h.sum(axis=1, keepdims=True)
+
+
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """x at another rate by linear interpolation, as 16-bit samples."""
+    """16-bit samples at another rate; sound goes on before and after as its first and last sample."""
     if rate == to or not len(x):
         return x
-    if to == 2 * rate:
-        out = np.empty(2 * len(x), np.int16)
-        out[0::2] = x
-        out[1:-1:2] = (x[:-1].astype(np.int32) + x[1:]) >> 1
-        out[-1] = x[-1]
-        return out
-    at = np.arange(len(x) * to // rate) * (rate / to)
-    return np.rint(np.interp(at, np.arange(len(x)), x)).astype(np.int16)
+    h, g = phases(rate, to), gcd(rate, to)
+    up, down = to // g, rate // g
+    n = -(-len(x) * up // down)
+    padded = np.concatenate([np.full(REACH - 1, x[0]), x, np.full(REACH, x[-1])]).astype(np.float32)
+    out = np.empty(n, np.float32)
+    for p in range(min(up, n)):
+        # New samples p, p + up, ... stand the same part of a step behind an old one, down old ones apart.
+        first, part = divmod(p * down, up)
+        own, taps = len(out[p::up]), h[part].astype(np.float32)
+        if down == 1:
+            out[p::up] = np.correlate(padded, taps, "valid")[first : first + own]
+            continue
+        windows = np.lib.stride_tricks.sliding_window_view(padded, len(taps))[first::down]
+        for lo in range(0, own, PIECE):
+            out[p::up][lo : lo + PIECE] = windows[lo : min(lo + PIECE, own)] @ taps
+    return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
 def describe(x: np.ndarray, codec: str, rate: int) -> str:
@@ -185,13 +209,3 @@ def read(df: DataFrame, media: str = "media", rate: int = 16000, pcm: bool = Fal
 
     fields = [StructField("payload", BinaryType()), StructField("feature", StringType())]
     return with_columns(df, media, fields + [StructField("pcm", BinaryType())] * pcm, run, keep, 1 << 20)
-
-
-def describe_stored(df: DataFrame, pcm: str = "pcm", rate: int = 16000) -> DataFrame:
-    """df without pcm, feature computed anew from the stored samples (the codec is that of the feature that df has)."""
-
-    def run(column):
-        return [pa.array([None if x is None else describe(np.frombuffer(x, "<i2"), "", rate) for x in column.to_pylist()], pa.string())]
-
-    out = with_columns(df, pcm, [StructField("__said", StringType())], run, [c for c in df.columns if c != pcm], 1 << 20)
-    return out.withColumn("feature", F.concat(F.substring_index("feature", ";", 1), "__said")).drop("__said")

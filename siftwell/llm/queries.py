@@ -56,9 +56,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_telephony")
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resampled PCM is a column of the result, so it is stored where that is."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
     stored = written(audio.store(docs, keep=["doc_id", "n_bytes"]), "media")
-    decoded = audio.read(stored, pcm=True).select(
+    return audio.read(stored, pcm=True).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -69,7 +70,6 @@ def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
         "feature",
         "pcm",
     )
-    return audio.describe_stored(written(decoded, "pcm"))
 
 
 @query("op7_quality")
