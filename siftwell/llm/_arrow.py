@@ -28,7 +28,9 @@ def with_columns(
     """
     new = {f.name.lower() for f in fields}
     stay = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in stay], *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(beside)], F.col(f"`{text}`").alias("__text"))
+    # mapInArrow takes no names with dots, so columns go by number.
+    taken = [*stay, *beside, text]
+    source = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(taken)])
     n = len(stay)
     names = [*stay, *[f.name for f in fields]]
 
@@ -39,7 +41,8 @@ def with_columns(
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *fn(part.column(part.num_columns - 1), *part.columns[n:-1])], names)
 
-    schema = StructType(source.schema.fields[:n] + fields)
+    own = [StructField(c, f.dataType, f.nullable) for c, f in zip(stay, source.schema.fields)]
+    schema = StructType(own + fields)
     return source.mapInArrow(run, schema)
 
 

@@ -1,40 +1,16 @@
-"""Tables written between the steps of an operator, in the folder that all executors share."""
+"""Names of documents for joins; tables between steps are written by siftwell.store."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwell.store import written
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (tests), a folder of this machine, kept for the session."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["doc_key", "written"]
 
 
 def doc_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
     """128 bits that name a document: rows with equal id and text (nulls alike) are one document."""
     parts = (F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
     return F.xxhash64(*parts).alias("_k1"), F.xxhash64(F.lit(7), *parts).alias("_k2")
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """name, or name with underscores where df has it already."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name = f"_{name}"
-    return name

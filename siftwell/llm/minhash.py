@@ -39,6 +39,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 from siftwell.llm import _kernel as K
 from siftwell.llm._arrow import with_columns
 from siftwell.llm._store import doc_key, written
+from siftwell.operators.graph import FEW, by_size, components, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -51,9 +52,6 @@ SLOT, SLOT_SHINGLES = 1024, 1_000_000
 PER_HUB = 512
 #: Cells of the shingle vectors multiplied at once.
 CELLS = 2_000_000
-#: Rows of up to three numbers that may be broadcast (5 MB).
-FEW = 200_000
-
 _FINE = 6
 
 
@@ -201,22 +199,12 @@ def signatures(df: DataFrame, text: str = "text", size: int = WORDS, weighted: b
     return with_columns(df, text, fields, run, keep)
 
 
-def _stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    out = written(df, name)
-    return out, out.count()
-
-
-def _by_size(df: DataFrame, n: int) -> DataFrame:
-    """df (of a few numbers a row) for a join: broadcast if its n rows are few, else sorted and merged."""
-    return F.broadcast(df) if n <= FEW else df.hint("merge")
-
-
 def shared_buckets(nodes: DataFrame) -> tuple[DataFrame, int]:
     """(bucket, id, n_shingles, size) of the members of buckets with several nodes, and how many rows; of buckets with the same members one."""
     members = nodes.select("id", "n_shingles", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id", "n_shingles")
     of = members.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    shared, n = _stored(of.where("size > 1").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
-    return _stored(members.join(_by_size(shared, n), "bucket"), "members")
+    shared, n = stored(of.where("size > 1").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
+    return stored(members.join(by_size(shared, n), "bucket"), "members")
 
 
 def hub_pairs(members: DataFrame) -> tuple[DataFrame, int]:
@@ -225,7 +213,7 @@ def hub_pairs(members: DataFrame) -> tuple[DataFrame, int]:
     ranked = members.select("bucket", "id").join(score.hint("merge"), "id").select("bucket", F.struct("score", "id").alias("r"))
     hubs = ranked.groupBy("bucket").agg(F.max("r").alias("hub"))
     met = members.select("bucket", "id").join(hubs.hint("merge"), "bucket").where("hub.id <> id")
-    return _stored(met.groupBy("id").agg(F.max("hub").alias("hub")).select("hub.id", F.col("id").alias("other")).toDF("hub", "id"), "pairs")
+    return stored(met.groupBy("id").agg(F.max("hub").alias("hub")).select("hub.id", F.col("id").alias("other")).toDF("hub", "id"), "pairs")
 
 
 def _alike(common: np.ndarray, total: np.ndarray, similarity: float) -> np.ndarray:
@@ -238,12 +226,12 @@ def hub_links(pairs: DataFrame, n: int, texts: DataFrame, size: int, similarity:
 
     A hub's text is sent once for each PER_HUB of its pairs; tasks hold one hub and a batch of texts.
     """
-    many, n_many = _stored(pairs.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > PER_HUB), "large_hubs")
+    many, n_many = stored(pairs.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > PER_HUB), "large_hubs")
     salt = F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("n") / PER_HUB), F.lit(1)))
-    salted, n = _stored(pairs.join(_by_size(many, n_many), "hub", "left").select("hub", "id", salt.alias("salt")), "salted_pairs")
-    own = texts.join(_by_size(salted, n), "id").select("hub", "salt", F.lit(1).alias("turn"), "id", "text")
-    hubs, n_hubs = _stored(salted.select(F.col("hub").alias("id"), "salt").distinct(), "hubs")
-    rows = own.unionByName(texts.join(_by_size(hubs, n_hubs), "id").select(F.col("id").alias("hub"), "salt", F.lit(0).alias("turn"), "id", "text"))
+    salted, n = stored(pairs.join(by_size(many, n_many), "hub", "left").select("hub", "id", salt.alias("salt")), "salted_pairs")
+    own = texts.join(by_size(salted, n), "id").select("hub", "salt", F.lit(1).alias("turn"), "id", "text")
+    hubs, n_hubs = stored(salted.select(F.col("hub").alias("id"), "salt").distinct(), "hubs")
+    rows = own.unionByName(texts.join(by_size(hubs, n_hubs), "id").select(F.col("id").alias("hub"), "salt", F.lit(0).alias("turn"), "id", "text"))
 
     def run(batches):
         hub, has = None, np.zeros(0, K.U64)
@@ -327,8 +315,8 @@ def _blocks(members: DataFrame) -> DataFrame:
     one = (F.col("n") <= SLOT) & (F.col("t") <= SLOT_SHINGLES)
     outer = F.when(one, 1).otherwise(slots(F.col("n") - F.col("m.n"), F.col("t") - F.col("m.t")))
     inner = F.when(one, 0).otherwise(slots(F.col("m.n"), F.col("m.t")))
-    open_, n_open = _stored(of.select("bucket", F.col("m.label").alias("major"), outer.alias("outer"), inner.alias("inner")), "open_buckets")
-    named = members.join(_by_size(open_, n_open), "bucket")
+    open_, n_open = stored(of.select("bucket", F.col("m.label").alias("major"), outer.alias("outer"), inner.alias("inner")), "open_buckets")
+    named = members.join(by_size(open_, n_open), "bucket")
     h, first, all_ = F.xxhash64("id"), (F.col("inner") == 0) | (F.col("label") != F.col("major")), F.col("outer") + F.col("inner")
     slot = F.when(first, F.pmod(h, F.col("outer"))).otherwise(F.col("outer") + F.pmod(h, F.col("inner"))).cast("int")
     named = named.select("bucket", "id", "label", "outer", all_.alias("all"), slot.alias("slot"))
@@ -339,8 +327,8 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 def block_links(members: DataFrame, texts: DataFrame, size: int, similarity: float, weighted: bool) -> DataFrame:
     """(a, b): labels that the blocks of members (bucket, id, n_shingles, label) connect."""
-    blocks, n = _stored(_blocks(members), "blocks")
-    rows = texts.join(_by_size(blocks, n), "id").select("bucket", "i", "j", "label", "text")
+    blocks, n = stored(_blocks(members), "blocks")
+    rows = texts.join(by_size(blocks, n), "id").select("bucket", "i", "j", "label", "text")
 
     def run(batches):
         now, label, sets = None, [], []
@@ -367,24 +355,6 @@ def block_links(members: DataFrame, texts: DataFrame, size: int, similarity: flo
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of edges (a, b): label is the least node it is connected with.
-
-    Each step takes the least label of the neighbours, then the label of that label; the number of steps
-    goes with the logarithm of the longest path.
-    """
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels, n = _stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    while True:
-        of = lambda node, label: _by_size(labels.select(F.col("node").alias(node), F.col("label").alias(label)), n)
-        near = both.join(of("b", "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = near.join(of("node", "old"), "node").select("node", "old", F.least("old", "m").alias("via"))
-        after = written(step.join(of("via", "next"), "via").select("node", "old", F.least("via", "next").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if after.where("old <> label").isEmpty():
-            return labels
-
-
 def classes(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY, weighted: bool = False
 ) -> DataFrame:
@@ -400,19 +370,19 @@ def classes(
     members, n = shared_buckets(nodes)
     labels, n_labels = None, 0
     if n:
-        needed, n_needed = _stored(nodes.select("id", "_k1", "_k2").join(members.select("id").distinct().hint("merge"), "id"), "needed")
+        needed, n_needed = stored(nodes.select("id", "_k1", "_k2").join(members.select("id").distinct().hint("merge"), "id"), "needed")
         # The texts of nodes that share a bucket, one of each.
-        texts = written(lowered.select("_k1", "_k2", "text").join(_by_size(needed, n_needed), ["_k1", "_k2"]).dropDuplicates(["id"]).select("id", "text"), "texts")
+        texts = written(lowered.select("_k1", "_k2", "text").join(by_size(needed, n_needed), ["_k1", "_k2"]).dropDuplicates(["id"]).select("id", "text"), "texts")
         pairs, n = hub_pairs(members)
         labels, n_labels = _merge(None, 0, written(hub_links(pairs, n, texts, size, similarity, weighted), "links"))
         labels, n_labels = _merge(labels, n_labels, written(block_links(_label(labels, n_labels, members), texts, size, similarity, weighted), "links"))
     every = rows.select("_k1", "_k2", "doc_id", "node", "node2")
     pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b") if b else F.lit(0).cast("long").alias("b"))
     if not n_labels:
-        joined, n = _stored(nodes.limit(0).select("node", "node2", F.col("id").alias("label")), "named")
+        joined, n = stored(nodes.limit(0).select("node", "node2", F.col("id").alias("label")), "named")
     else:
         # Nodes that are alone in their class have its name from their set.
-        joined, n = _stored(nodes.select("id", "node", "node2").join(_by_size(labels, n_labels), "id").select("node", "node2", "label"), "named")
+        joined, n = stored(nodes.select("id", "node", "node2").join(by_size(labels, n_labels), "id").select("node", "node2", "label"), "named")
     named = every.join(F.broadcast(joined) if 2 * n <= FEW else joined.hint("merge"), ["node", "node2"], "left")
     names = F.when(F.col("label").isNotNull(), pair("label", None)).when(F.col("node").isNotNull(), pair("node", "node2")).otherwise(pair("_k1", "_k2"))
     return named.select("_k1", "_k2", "doc_id", names.alias("class"))
@@ -420,17 +390,17 @@ def classes(
 
 def _label(labels: DataFrame, n: int, df: DataFrame) -> DataFrame:
     """df with label, that of id, or id where it has none."""
-    return df.join(_by_size(labels, n), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return df.join(by_size(labels, n), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
 def _merge(labels: DataFrame | None, n: int, edges: DataFrame) -> tuple[DataFrame, int]:
     """(id, label) of the nodes of classes of several after edges between classes, a class's least node with itself; and how many rows."""
     moved = components(edges).withColumnRenamed("node", "id")
     if labels is None:
-        return _stored(moved, "classes")
-    moved, m = _stored(moved, "moved")
-    to = labels.join(_by_size(moved.toDF("label", "to"), m), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-    return _stored(to.unionByName(moved.join(_by_size(labels.select("id"), n), "id", "left_anti")), "classes")
+        return stored(moved, "classes")
+    moved, m = stored(moved, "moved")
+    to = labels.join(by_size(moved.toDF("label", "to"), m), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return stored(to.unionByName(moved.join(by_size(labels.select("id"), n), "id", "left_anti")), "classes")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from siftwell.llm import _kernel as K
 from siftwell.llm import minhash as M
+from siftwell.operators.graph import components
 
 
 def test_agreement_estimates_jaccard():
@@ -95,7 +96,7 @@ def test_components(spark):
     path = list(range(40))
     rnd.shuffle(path)
     edges = list(zip(path, path[1:])) + [(100, 101), (102, 101), (103, 103)]
-    out = {r.node: r.label for r in M.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    out = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(40)}, 100: 100, 101: 100, 102: 100, 103: 103}
 
 
