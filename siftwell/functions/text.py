@@ -1,9 +1,11 @@
-"""Column functions on text: tokens, sentences, cleaning steps, features. All are built-in expressions."""
+"""Column functions on text: tokens, sentences, cleaning steps, features, names. All but normalised are built-in expressions."""
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,7 +73,7 @@ def replace_all(text: Column, patterns: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), patterns, text)
 
 
-#: Cleaning steps by name, in the order in which they are applied.
+#: Patterns of the cleaning steps by name, in the order in which they are applied.
 STEPS: dict[str, list[tuple[str, str]]] = {
     "urls": [(r"https?://\S+|www\.\S+", "")],
     "emails": [(r"(?U)\b[\w.-]+@[\w.-]+\.[a-zA-Z]{2,}\b", "")],
@@ -157,3 +159,62 @@ def mime_type(kind: Column) -> Column:
 def stem_of(name: Column) -> Column:
     """A file name up to its last dot (a dot at its start counts as part of it)."""
     return F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def normalised(text: Column | str, form: str = "NFC") -> Column:
+    """A Unicode normal form (NFC, NFD, NFKC, NFKD); null counts as empty. Spark has no such function, so batches go through Python."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: unicodedata.normalize(form, t))
+
+    return run(_c(text))
+
+
+def embedding_text(text: Column | str, most: int | None = None, how: str = "end") -> Column:
+    """A text as it is embedded: stripped, runs of white space as one space, and at most `most` words."""
+    t = F.array_join(split_words(text), " ")
+    return t if most is None else truncate_words(t, most, how)
+
+
+#: Keys of a file's metadata that may name its author, in the order in which they are asked.
+AUTHOR_KEYS = ["author", "Author", "creator", "Creator", "dc:creator"]
+
+
+def author(metadata: Column) -> Column:
+    """The first value of AUTHOR_KEYS in a map that isn't blank."""
+    return F.coalesce(*[F.nullif(strip(metadata[k]), F.lit("")) for k in AUTHOR_KEYS])
+
+
+def epoch_time(value: Column) -> Column:
+    """Seconds since 1970, as text or number, as a timestamp; null for what is no number."""
+    return F.timestamp_micros(F.round(value.try_cast("double") * 1e6).cast("long"))
+
+
+def source_name(metadata: Column, document_id: Column, mode: str = "basename") -> Column:
+    """A document's display name: source, path or file name of its metadata, else its id; basename keeps what follows the last slash."""
+    filled = [F.nullif(metadata[k], F.lit("")) for k in ("source", "source_path", "file_name")]
+    name = F.coalesce(*filled, document_id.cast("string"), F.lit(""))
+    return F.substring_index(F.replace(name, F.lit("\\"), F.lit("/")), "/", -1) if mode == "basename" else name
+
+
+def uuid5(name: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8") -> Column:
+    """The name-based UUID (version 5) of a text in a namespace, that of URLs if not given."""
+    raw = F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary"))
+    h = F.sha1(raw)
+    digit = F.conv(F.substring(h, 17, 1), 16, 10).cast("int")
+    variant = F.element_at(F.split(F.lit("8,9,a,b"), ","), digit % 4 + 1)
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def identifier(value: Column) -> Column:
+    """An id as a vector store takes it: whole numbers and UUIDs as they are (UUIDs in lower case), anything else by its name's UUID."""
+    number = F.regexp_like(value, F.lit(r"^[0-9]+$"))
+    own = F.regexp_like(value, F.lit(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"))
+    return F.when(number, value).when(own, F.lower(value)).otherwise(uuid5(value))
+
+
+def chunk_name(given: Column, index: Column, content: Column) -> Column:
+    """The id of a chunk that was given none: its place and the start of its content's md5."""
+    return F.coalesce(given, F.concat(F.lit("chunk_"), index.cast("string"), F.lit("_"), F.substring(F.md5(content), 1, 8)))

@@ -30,6 +30,19 @@ def rrf(lists: list[DataFrame], k: int = 60, weights: list[float] | None = None,
     return _sum(parts, item)
 
 
+def rrf_by_rank(lists: list[DataFrame], k: int = 60, item: str = "doc_id") -> DataFrame:
+    """Reciprocal rank fusion of lists (query_id, item, rank) that come in an order of their own; an item counts with its first place."""
+    parts = [x.groupBy("query_id", item).agg((1 / (k + F.min("rank"))).alias("score")) for x in lists]
+    return _sum(parts, item)
+
+
+def relative(lists: list[DataFrame], weights: list[float], item: str = "doc_id") -> DataFrame:
+    """The weighted sum of scores over their list's largest; a list whose largest is 0 counts for nothing."""
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    parts = [x.select("query_id", item, (F.lit(g) * F.coalesce(F.col("score") / F.nullif(top, F.lit(0.0)), F.lit(0.0))).alias("score")) for x, g in zip(lists, weights, strict=True)]
+    return _sum(parts, item)
+
+
 def weighted(lists: list[DataFrame], weights: list[float], normalise: str | None = "minmax", item: str = "doc_id") -> DataFrame:
     """The weighted sum of scores; an item that a list lacks has 0 there. Weights of three or more lists must sum to 1."""
     if len(weights) > 2 and abs(sum(weights) - 1) > 1e-6:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Upper bounds of the histogram.
 BUCKETS = [0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0]
 
 
@@ -47,8 +48,43 @@ def histogram(log: DataFrame, by: list[str], bounds: list[float] = BUCKETS) -> D
     return log.groupBy(*by).agg(*[F.count_if(F.col("value") <= b).alias("le_" + str(b).replace(".", "_")) for b in bounds], F.count("*").alias("n"))
 
 
-def alerts(values: DataFrame, rules: list[tuple[str, str, str, float]]) -> DataFrame:
-    """(name, severity, value, threshold) of rules (metric, over or under, severity, threshold) that values (one row) break."""
+def alerts(values: DataFrame, rules: list[tuple[str, str, str, float]], by: list[str] | None = None) -> DataFrame:
+    """(by, name, severity, value, threshold) of rules (metric, over or under, severity, threshold) that a row of values breaks."""
     made = [F.struct(F.lit(m).alias("name"), F.lit(s).alias("severity"), F.col(m).cast("double").alias("value"), F.lit(float(t)).alias("threshold"), F.lit(how == "over").alias("over")) for m, how, s, t in rules]
-    rows = values.select(F.explode(F.array(*made)).alias("x")).select("x.*")
+    rows = values.select(*(by or []), F.explode(F.array(*made)).alias("x")).select(*(by or []), "x.*")
     return rows.where(F.when(F.col("over"), F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))).drop("over")
+
+
+def ingestion_summary(runs: DataFrame) -> DataFrame:
+    """One row of runs (documents, chunks, duration, errors, ts): their number, sums, mean duration and last time; zeros without runs."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return runs.agg(F.count("*").alias("runs"), total("documents"), total("chunks"), F.round(F.coalesce(F.avg("duration"), F.lit(0.0)), 6).alias("avg_duration"), F.max("ts").alias("last_run"), total("errors"))
+
+
+def by_component(log: DataFrame, component: str, failed: Column, error: Column, order: Column, value: str = "value") -> DataFrame:
+    """(component, calls, errors, mean, last_error): the error of the last failing row in order, null if none failed."""
+    last = F.max_by(F.when(failed, error), F.when(failed, order))
+    return log.groupBy(component).agg(F.count("*").alias("calls"), F.count_if(failed).alias("errors"), F.round(F.avg(value), 6).alias("mean"), last.alias("last_error"))
+
+
+def metric_rows(log: DataFrame, metrics: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(metric, value, and log's columns): a row for each metric (its value, and when it is recorded) of each row."""
+    made = [F.when(when, F.struct(F.lit(name).alias("metric"), value.cast("double").alias("metric_value"))) for name, (value, when) in metrics.items()]
+    return log.withColumn("_m", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull()))).select(*log.columns, "_m.*")
+
+
+def hit_rates(lookups: DataFrame, by: str) -> DataFrame:
+    """(by, hits, misses, rate) of lookups (hit boolean)."""
+    return lookups.groupBy(by).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.round(F.count_if("hit") / F.count("*"), 6).alias("rate"))
+
+
+#: Severities, the worst last.
+STATUSES = ["healthy", "degraded", "unhealthy"]
+
+
+def health(components: DataFrame, share: Column, degraded: float, unhealthy: float) -> DataFrame:
+    """components with status by their share of failures, and overall the worst of all."""
+    code = F.when(share >= unhealthy, 2).when(share >= degraded, 1).otherwise(0)
+    name = lambda c: F.element_at(F.array(*map(F.lit, STATUSES)), c + 1)
+    worst = components.agg(F.max(code).alias("_w"))  # one row
+    return components.join(F.broadcast(worst)).withColumn("status", name(code)).withColumn("overall", name(F.col("_w"))).drop("_w")

@@ -1,4 +1,4 @@
-"""Keyed records: last write wins, partial updates, deletes that cascade, conversations."""
+"""Keyed records: last write wins, upserts, partial updates, deletes that cascade, conversations, an audit log."""
 
 from __future__ import annotations
 
@@ -13,6 +13,48 @@ def last_write(log: DataFrame, key: list[str], order: list[Column]) -> DataFrame
     return log.groupBy(*key).agg(best).select(*key, "_r.*")
 
 
+def upsert(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """rows with those of new (one a key) in the place of rows of their keys. Rows without a vector or key fail, as a store refuses them."""
+    return rows.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def embedded(chunks: DataFrame, vector: str = "embedding") -> DataFrame:
+    """chunks; a chunk without a vector stops the job."""
+    return chunks.withColumn(vector, F.coalesce(F.col(vector), F.raise_error(F.lit("a chunk has no embedding"))))
+
+
+def committed(state: DataFrame, files: DataFrame, done: DataFrame) -> DataFrame:
+    """The state (path, mtime) after a run over files: those in done (path), which were stored, get their mtime; others stay as they were."""
+    new = files.join(done.select("path").distinct(), "path", "left_semi").select("path", "mtime")
+    return upsert(state.select("path", "mtime"), new, "path")
+
+
+def bumped(parents: DataFrame, children: DataFrame, key: str, at: str = "updated_at") -> DataFrame:
+    """parents with the time of their newest child, where that is later than their own."""
+    newest = children.groupBy(key).agg(F.max(at).alias("_newest"))
+    return parents.join(newest, key, "left").select(*[F.greatest(at, "_newest").alias(at) if c == at else F.col(c) for c in parents.columns])
+
+
+def propagated(chunks: DataFrame, documents: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:
+    """chunks with the documents' fields where their own are null or missing."""
+    own = [f for f in fields if f in chunks.columns]
+    theirs = documents.select(key, *[F.col(f).alias(f"_d_{f}") for f in fields])
+    rest = [F.col(c) for c in chunks.columns if c not in own]
+    return chunks.join(theirs, key, "left").select(*rest, *[F.coalesce(f, f"_d_{f}").alias(f) if f in own else F.col(f"_d_{f}").alias(f) for f in fields])
+
+
+def audit_entries(log: DataFrame, query: Column, response: Column, keep_text: bool = False) -> DataFrame:
+    """log with query_hash (sha256), query_text (only if kept), query_length and response_length."""
+    q, r = F.coalesce(query, F.lit("")), F.coalesce(response, F.lit(""))
+    text = q if keep_text else F.lit(None).cast("string")
+    return log.withColumns({"query_hash": F.sha2(q, 256), "query_text": text, "query_length": F.char_length(q).cast("long"), "response_length": F.char_length(r).cast("long")})
+
+
+def retained(log: DataFrame, now: Column, days: int, at: str = "ts") -> DataFrame:
+    """Entries of the last days; 0 keeps all."""
+    return log if days <= 0 else log.where(F.col(at) >= now - F.make_dt_interval(F.lit(days)))
+
+
 def update(rows: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """rows with the fields that changes has values for."""
     new = changes.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields])
@@ -53,3 +95,10 @@ def export_markdown(messages: DataFrame) -> DataFrame:
     """(conv_id, markdown): the messages of a conversation by turn."""
     line = F.concat(F.lit("**"), F.initcap("role"), F.lit("**: "), F.coalesce("text", F.lit("")))
     return messages.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n\n").alias("markdown"))
+
+
+def export_json(messages: DataFrame, most: int = 100_000) -> DataFrame:
+    """(conv_id, json): the messages of a conversation by turn. A conversation of more than most messages stops the job, as it is one value."""
+    one = F.struct("turn", "role", "text")
+    rows = messages.groupBy("conv_id").agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list(one)), {"ignoreNullFields": "false"}).alias("json"))
+    return rows.withColumn("json", F.when(F.col("n") > most, F.raise_error(F.lit("a conversation is too long for one value"))).otherwise(F.col("json"))).drop("n")

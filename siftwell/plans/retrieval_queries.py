@@ -228,6 +228,66 @@ def fuse_nlist(spark, sf_dir):
     return lexical.top(fusion.weighted([a, b, a], [0.5, 0.3, 0.2]), 10)
 
 
+_BY_ID = [f"(SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM {x})" for x in (_L1, _L2)]
+
+
+@query("fuse_rrf_given_order", _top_sql(_fused_sql([f"SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS score FROM {x}" for x in _BY_ID]), 10))
+def fuse_rrf_given_order(spark, sf_dir):
+    """Lists that come in an order of their own, here that of ids."""
+    w = Window.partitionBy("query_id").orderBy("doc_id")
+    lists = [x.select("query_id", "doc_id", F.row_number().over(w).alias("rank")) for x in _lists(spark, sf_dir)]
+    return lexical.top(fusion.rrf_by_rank(lists), 10)
+
+
+_REL = _fused_sql([f"SELECT query_id, doc_id, {g}::DOUBLE * coalesce(score / nullif(max(score) OVER (PARTITION BY query_id), 0), 0) AS score FROM {x}" for x, g in zip((_L1, _L2), (0.6, 0.4))])
+
+
+@query("fuse_relative", _top_sql(_REL, 10))
+def fuse_relative(spark, sf_dir):
+    return lexical.top(fusion.relative(_lists(spark, sf_dir), [0.6, 0.4]), 10)
+
+
+def _semantic(spark, sf_dir, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): vectors stand for the documents and queries of their ids, so the query set is that of benchmark."""
+    own = table(spark, sf_dir, "embeddings")
+    asked = own.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    docs = own.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return vectors.search(docs, asked, k).withColumnRenamed("vec_id", "doc_id")
+
+
+_SEM = "(SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN benchmark b ON q.vec_id = b.item_id JOIN embeddings v ON v.vec_id <> q.vec_id JOIN documents d ON d.doc_id = v.vec_id)"
+_S20 = f"({_top_sql(_SEM, 20)})"
+_HYBRID = _fused_sql([f"SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS score FROM {x}" for x in (_S20, _L1)])
+
+
+def _hybrid(spark, sf_dir) -> DataFrame:
+    parts = [_semantic(spark, sf_dir, 20), _top(spark, sf_dir, 20, lexical.OKAPI)[0]]
+    return fusion.rrf([x.select("query_id", "doc_id", "score") for x in parts])
+
+
+@query("semantic_topk", _top_sql(_SEM, 10))
+def semantic_topk(spark, sf_dir):
+    return _semantic(spark, sf_dir, 10)
+
+
+@query("hybrid_semantic", _top_sql(_HYBRID, 10))
+def hybrid_semantic(spark, sf_dir):
+    """Twice as many of both the semantic and the lexical side, fused and cut."""
+    return lexical.top(_hybrid(spark, sf_dir), 10)
+
+
+_HT = f"(SELECT t.query_id, t.doc_id, d.text, d.source FROM ({_top_sql(_HYBRID, 20)}) t JOIN documents d ON t.doc_id = d.doc_id)"
+
+
+def _retrieved_sql() -> str:
+    q = "list_distinct(regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}_]+'))"
+    d = "list_distinct(regexp_extract_all(lower(coalesce(t.text, '')), '[\\p{L}\\p{N}_]+'))"
+    scored = f"(SELECT t.query_id, t.doc_id, round({_OVERLAP.format(q=q, d=d)}, 6) AS score FROM {_HT} t JOIN benchmark b ON t.query_id = b.item_id)"
+    counted = f"(SELECT r.*, len({WORDS})::BIGINT AS tokens FROM ({_top_sql(scored, 10, extra='WHERE score >= 0.1')}) r JOIN documents d ON r.doc_id = d.doc_id)"
+    running = f"(SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM {counted})"
+    return f"SELECT query_id, doc_id, score, rank, tokens, running FROM {running} WHERE running <= 3000 AND rank <= 5"
+
+
 _TEXTS = f"(SELECT t.*, d.text FROM ({_top_sql(_RRF, 20)}) t JOIN documents d ON t.doc_id = d.doc_id)"
 
 
@@ -247,10 +307,16 @@ def _scored(spark, sf_dir) -> DataFrame:
     return _with_text(spark, sf_dir).join(q, "query_id").drop("rank")
 
 
-@query("two_stage_rerank", _top_sql(f"(SELECT query_id, doc_id, score FROM ({_top_sql(_SCORED, 10)}))", 5))
+_JACCARD = "len(list_intersect({q}, {d})) / len(list_distinct(list_concat({q}, {d})))"
+_FIRST = f"(SELECT query_id, doc_id FROM ({_top_sql(_SCORED, 10)}))"
+_SECOND = f"(SELECT t.query_id, t.doc_id, round({_JACCARD.format(q=_QD, d=_DD)}, 6) AS score FROM (SELECT f.*, d.text FROM {_FIRST} f JOIN documents d ON f.doc_id = d.doc_id) t JOIN benchmark b ON t.query_id = b.item_id)"
+
+
+@query("two_stage_rerank", _top_sql(_SECOND, 5))
 def two_stage_rerank(spark, sf_dir):
-    s = rerank.overlap(F.col("query"), F.col("text"))
-    return rerank.two_stage(_scored(spark, sf_dir), s, s, 10, 5).select("query_id", "doc_id", "score", "rank")
+    """Ten by the share of the query's words that a text has, five of these by the Jaccard similarity of both word sets."""
+    cheap, precise = rerank.overlap(F.col("query"), F.col("text")), evaluation.jaccard(T.words("query"), T.words("text"))
+    return rerank.two_stage(_scored(spark, sf_dir), cheap, precise, 10, 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query("overlap_rerank", _top_sql(_SCORED, 5, extra="WHERE score >= 0.2"))
@@ -313,6 +379,30 @@ def hybrid_context(spark, sf_dir):
     return context.budget(_with_text(spark, sf_dir), 2000).where("rank <= 8").select("query_id", "doc_id", "rank", "score", "tokens", "running")
 
 
+@query("engine_retrieve", _retrieved_sql())
+def engine_retrieve(spark, sf_dir):
+    """The whole way: both sides, fusion, re-ranking of 20 over a threshold, a token budget and five documents."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = lexical.top(_hybrid(spark, sf_dir), 20).join(d, "doc_id").join(q, "query_id").drop("rank", "score")
+    ranked = rerank.rerank(rows, rerank.overlap(F.col("query"), F.col("text")), 10, 0.1)
+    return context.budget(ranked, 3000).where("rank <= 5").select("query_id", "doc_id", "score", "rank", "tokens", "running")
+
+
+_DATED = "CASE WHEN doc_id % 3 > 0 THEN 2000 + doc_id % 20 END"
+
+
+@query("context_by_date", f"SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY coalesce(({_DATED})::VARCHAR, ''), doc_id) - 1)::INT AS position FROM ({_top_sql(_RRF, 20)})")
+def context_by_date(spark, sf_dir):
+    date = F.when(F.col("doc_id") % 3 > 0, 2000 + F.col("doc_id") % 20)
+    return context.chronological(lexical.top(fusion.rrf(_lists(spark, sf_dir)), 20), date).select("query_id", "doc_id", "position")
+
+
+@query("answer_sources", f"SELECT query_id, string_agg(source, ',' ORDER BY rank) AS sources FROM (SELECT t.query_id, d.source, min(t.rank) AS rank FROM ({_top_sql(_RRF, 20)}) t JOIN documents d ON t.doc_id = d.doc_id GROUP BY t.query_id, d.source) GROUP BY query_id")
+def answer_sources(spark, sf_dir):
+    return context.sources(_with_text(spark, sf_dir), F.col("source")).select("query_id", F.array_join("sources", ",").alias("sources"))
+
+
 @query("citations", "SELECT doc_id, '[' || doc_id || ']' AS numbered, '([Source: ' || source || ', page ?])' AS inlined FROM documents")
 def citations(spark, sf_dir):
     none = F.lit(None).cast("int")

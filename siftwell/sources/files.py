@@ -12,7 +12,7 @@ from siftwell.functions import text as T
 
 
 def scan(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("*",), recursive: bool = True) -> DataFrame:
-    """(path, modificationTime, length, content, file_type) of files that match a pattern, each once."""
+    """(path, modificationTime, length, content, file_type) of files that match a pattern, each once; files of no bytes give no row."""
     read = lambda p: spark.read.format("binaryFile").option("pathGlobFilter", p).option("recursiveFileLookup", str(recursive).lower()).load(root)
     files = reduce(DataFrame.unionByName, map(read, patterns))
     return (files if len(patterns) == 1 else files.dropDuplicates(["path"])).withColumn("file_type", T.file_type(F.col("path")))
@@ -24,6 +24,46 @@ def loader(kind: str):
     return scan
 
 
+def without_bad_bytes(content: Column) -> Column:
+    """UTF-8, bytes that aren't dropped (and with them replacement characters)."""
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
+#: Parsers by file type; any other type is plain text.
+PARSERS = {"md": "markdown", "html": "html", "htm": "html", "csv": "csv", "json": "json"}
+
+
+def parser_of(kind: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PARSERS.items() for x in kv]), kind), F.lit("text"))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """files (path, content, file_type) with parser, and text as that parser gives it: HTML without its tags, all else as decoded."""
+    out = files.withColumn("parser", parser_of(F.col("file_type"))).withColumn("text", decoded(F.col("content")))
+    return out.withColumn("text", F.when(F.col("parser") == "html", html_text(F.col("text"))).otherwise(F.col("text")))
+
+
+def merged_pages(pages: DataFrame, by: str, page: str, text: str = "text", tables: str | None = None, marks: bool = True) -> DataFrame:
+    """(by, content): a document's pages in order, each under a mark; tables (array of texts of each page) follow their page."""
+    mark = F.concat(F.lit("\n\n--- Page "), F.col(page).cast("string"), F.lit(" ---\n\n")) if marks else F.lit("")
+    more = F.array_join(F.transform(F.coalesce(tables, F.array().cast("array<string>")), lambda t: F.concat(F.lit("\n\n[TABLE]\n"), t, F.lit("\n"))), "") if tables else F.lit("")
+    own = F.struct(F.col(page).alias("page"), F.concat(mark, F.coalesce(text, F.lit("")), more).alias("t"))
+    return pages.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x.t), "").alias("content"))
+
+
+def table_as(rows: Column, strategy: str, most_rows: int = 100, most_columns: int = 20) -> Column:
+    """struct(type, content) of a table (array of rows of cells): none, preserve (its rows as JSON), markdown or separate (plain text)."""
+    cut = F.transform(F.slice(rows, 1, most_rows), lambda r: F.slice(r, 1, most_columns))
+    made = {
+        "none": ("none", F.lit(None).cast("string")), "preserve": ("structured", F.to_json(cut)),
+        "markdown": ("markdown", markdown_table(rows, most_rows, most_columns)), "separate": ("separate_chunk", plain_table(cut)),
+    }
+    if strategy not in made:
+        raise ValueError(f"unknown table strategy: {strategy}")
+    kind, content = made[strategy]
+    return F.struct(F.lit(kind).alias("type"), content.alias("content"))
+
+
 def decoded(content: Column) -> Column:
     """UTF-8, or Latin-1 where the bytes aren't UTF-8."""
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
