@@ -23,7 +23,8 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from siftwell.llm._arrow import with_columns
 
-CACHE_ENTRIES = 200_000
+#: Entries of a generation of a worker's results, of which two are kept.
+CACHE_ENTRIES = 300_000
 CACHE_LENGTH = 64
 
 
@@ -92,16 +93,22 @@ class PerfectHash:
 
 
 class _Made(dict):
-    """A dictionary that makes missing values by a function; emptied when full."""
+    """A dictionary that makes missing values by a function.
+
+    When it is full a new generation begins; what is asked for again is taken over from the last one, so common words stay.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.last = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.last.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= CACHE_LENGTH and "\n" not in key:
             if len(self) >= CACHE_ENTRIES:
+                self.last = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -126,7 +133,7 @@ class Codec:
             self.find = regex.compile(spaced).findall
             self.tokens, self.led = _Made(self._token), _Made(self._led)
             self.byte_ids = [self.rank[bytes([i])] for i in range(256)]
-            self.byte_pairs = [self.rank.get(bytes([i >> 8, i & 255]), -1) for i in range(1 << 16)]
+            self.byte_pairs = [[self.rank.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
             self.ready = True
         return self
 
@@ -166,16 +173,21 @@ class Codec:
         Slot i of the lists is the part that starts at byte i: the starts after and before it, its id, and the
         rank of its pair with the next part. An entry of the heap counts while the pair still has its rank.
         """
-        n, rank, pair = len(word), self.rank.get, self.byte_pairs
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        n, rank, pair, push = len(word), self.rank.get, self.byte_pairs, heappush
+        # An entry is a rank and, in its low bits, a start; short words have entries of one machine digit.
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        own = [pair[a][b] for a, b in zip(word, word[1:])]
+        heap = [r << bits | i for i, r in enumerate(own) if r >= 0]
         ids = list(map(self.byte_ids.__getitem__, word))
-        own = [pair[a << 8 | b] for a, b in zip(word, word[1:])]
-        own.append(-1)
-        heap = [r << 32 | i for i, r in enumerate(own) if r >= 0]
+        if not heap:
+            return struct.pack(f"<{n}I", *ids)
         heapify(heap)
+        own.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             e = heappop(heap)
-            i, r = e & 0xFFFFFFFF, e >> 32
+            i, r = e & low, e >> bits
             if own[i] != r:
                 continue
             ids[i] = r
@@ -186,14 +198,14 @@ class Codec:
                 before[k] = i
                 own[i] = r = rank(word[i : after[k]], -1)
                 if r >= 0:
-                    heappush(heap, r << 32 | i)
+                    push(heap, r << bits | i)
             else:
                 own[i] = -1
-            p = before[i]
-            if p >= 0:
-                own[p] = r = rank(word[p:k], -1)
+            i = before[i]
+            if i >= 0:
+                own[i] = r = rank(word[i:k], -1)
                 if r >= 0:
-                    heappush(heap, r << 32 | p)
+                    push(heap, r << bits | i)
         left = [t for t, r in zip(ids, own) if r != -2]
         return struct.pack(f"<{len(left)}I", *left)
 
