@@ -1,8 +1,8 @@
 """Array kernels over a run of documents held as one byte buffer.
 
 Every operator here that works on words does so on slices of some megabytes: the texts of an Arrow
-batch are one byte array with offsets, words are found by table lookup, and word hashes come from prefix
-sums, so no Python object is made per word.
+batch are one byte array with offsets, words are found by table lookup and hashed by lanes of
+eight bytes, so no Python object is made per word.
 """
 
 from __future__ import annotations
@@ -31,27 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def seeds(n: int, salt: int = 0) -> np.ndarray:
-    """n fixed pseudo-random 64-bit values by rule."""
-    return mix((np.arange(1, n + 1, dtype=U64) + U64(salt << 20)) * U64(_GOLD))
-
-
-_BYTE = seeds(256, 1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, base: int = _BASE, key: str = "byte") -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse for i < n, modulo 2**64."""
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1 if key == "byte" else 1 << 16)
-        for name, b in ((key, base), (f"-{key}", pow(base, -1, 1 << 64))):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers[key][:n], _powers[f"-{key}"][:n]
-
-
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     t = np.zeros(256, bool)
     for a, b in ranges:
@@ -142,21 +121,54 @@ def find_words(s: Slice, is_word: np.ndarray, data: np.ndarray | None = None) ->
     return Words(start, end, doc, first)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums for span_hash over data."""
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * powers(len(data))[0], out=out[1:])
+#: The bytes of an 8-byte lane that the first 0 to 8 of a span are.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Bytes of a block; longer spans are hashed by the hashes of their blocks.
+_BLOCK = 64
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte of data on, as numbers, for span_hash."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def span_hash(lane: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span, equal for equal bytes wherever they stand.
+
+    Lanes of eight bytes are mixed in one after the other, so work goes with spans and lanes and not with bytes; spans of up to eight
+    bytes and one length never collide. Of longer spans than a block first the blocks are hashed, and then their hashes.
+    """
+    size = end - start
+    out = np.empty(len(start), U64)
+    long = size > _BLOCK
+    short = np.flatnonzero(~long) if long.any() else slice(None)
+    out[short] = _fold(lane, start[short], size[short])
+    if long.any():
+        n = -(-size[long] // _BLOCK)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = np.repeat(start[long], n) + nth * _BLOCK
+        blocks = _fold(lane, first, np.minimum(np.repeat(end[long], n) - first, _BLOCK))
+        ends = np.cumsum(n) * 8
+        of = span_hash(lanes(blocks.view(np.uint8)), ends - n * 8, ends)
+        out[long] = mix(of ^ size[long].astype(U64) * U64(_BASE))
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span, equal for equal bytes wherever they stand."""
-    inverse = powers(len(sums))[1]
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * U64(_GOLD))
+def _fold(lane: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    h = mix(mix(size.astype(U64) + U64(_GOLD)) ^ (lane[start] & _FIRST[np.minimum(size, 8)]))
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more):
+        left = size[more] - k
+        h[more] = mix(h[more] * U64(_BASE) + (lane[start[more] + k] & _FIRST[np.minimum(left, 8)]))
+        k += 8
+        more = more[left > 8]
+    return h
 
 
 def word_hashes(s: Slice, w: Words, data: np.ndarray | None = None) -> np.ndarray:
-    return span_hash(prefix_hash(s.data if data is None else data), w.start, w.end)
+    return span_hash(lanes(s.data if data is None else data), w.start, w.end)
 
 
 def shingles(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

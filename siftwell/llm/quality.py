@@ -74,7 +74,7 @@ def _slice(s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
     long = (w.end - w.start) > 24
     ends = _SYMBOL[s.data[w.end - 1]] if len(w.end) else np.zeros(0, bool)
     lines = K.find_words(s, ~K.byte_class((0x0A, 0x0A)))
-    lh = K.span_hash(K.prefix_hash(s.data), lines.start, lines.end)
+    lh = K.span_hash(K.lanes(s.data), lines.start, lines.end)
     lnew, ld = _distinct(lines.doc, lh)
     total = lambda x, at: np.bincount(at, x, minlength=n)
     stats = np.column_stack((

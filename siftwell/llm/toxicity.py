@@ -267,7 +267,7 @@ def features(texts, decode: Decoder):
     for s in K.slices(texts):
         data = K.lower_bytes(s.data)
         w = K.find_words(s, K.ALNUM, data)
-        sums = K.prefix_hash(data)
+        sums = K.lanes(data)
         size = w.end - w.start
         every, docs, nums = [K.span_hash(sums, w.start, w.end)], [w.doc], [np.arange(len(size))]
         for k in BEGINNINGS:
@@ -280,7 +280,7 @@ def features(texts, decode: Decoder):
         if extra:
             raw = [v.encode() for _, v in extra]
             ends = np.cumsum([len(r) for r in raw])
-            own = K.prefix_hash(np.frombuffer(b"".join(raw), np.uint8))
+            own = K.lanes(np.frombuffer(b"".join(raw), np.uint8))
             starts = np.concatenate([[0], ends[:-1]])
             of, ids = np.array([d for d, _ in extra]), number + np.arange(len(extra))
             every.append(K.span_hash(own, starts, ends))

@@ -123,7 +123,7 @@ def test_all_clear_features_have_a_weight(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     m = T.fit(docs.drop("toxic"), docs.drop("text"), fold=9, parts=4)
     for word, pos, neg in (("rareslur", 3, 0), ("mixedslur", 10, 15)):
-        h = K.span_hash(K.prefix_hash(np.frombuffer(word.encode(), np.uint8)), np.array([0]), np.array([len(word)]))[0]
+        h = K.span_hash(K.lanes(np.frombuffer(word.encode(), np.uint8)), np.array([0]), np.array([len(word)]))[0]
         odds = np.log((pos + 0.5) / 201) - np.log((neg + 1) / 7801) - 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 1))
         assert odds >= T.CLEAR and abs(m.weights[np.flatnonzero(m.hashes == h)[0]] - odds) < 1e-9
 
