@@ -3,20 +3,25 @@
 Words are [^\\x20\\x09-\\x0D]+, taken as they are. A window of 35 consecutive words of one document whose word
 sequence also starts anywhere else is a repeat, and every word that a repeat covers is removed.
 
-Recompression rounds replace runs of a symbol, then pairs of neighbours whose classes fit, by new symbols.
-A symbol's name is a hash of what it stands for, so equal substrings get equal names in all documents without
-a table of names. Every symbol carries the words that its parse depends on; inside a window those
-that depend on nothing outside it are the same wherever the window occurs. Of the names of four such symbols in a
-row, each window picks the least as its anchor, and the windows of one anchor occurrence form a range. Then
+Recompression goes in Spark rounds over all documents. A round first replaces runs of a symbol, then pairs of neighbours of which
+the first is of one class and the second of another. Which symbols are of which class is decided for all documents at once: of
+some divisions all pairs are counted, and the one that joins most is taken. A new symbol's name is a hash, under the round's division, of what it
+stands for, so equal substrings get the same names in all documents, but for some at their ends. Every symbol carries the words that its
+parse depends on; inside a window those that depend on nothing outside it are the same wherever the window occurs. After the last round four
+symbols in a row make a high-level symbol; of these each window picks the one of least name as its anchor, and the windows of one anchor
+occurrence form a range. Then high-level symbols are named globally, in a table of those that several windows share:
 
 1. anchors are counted over all documents: one that occurs once has no repeats; one that always has the same
-   range repeats with all windows of it;
-2. for the others every window is hashed and counted.
+   range, verified by the names of the range's words, repeats with all windows of it;
+2. for the others every window is named and counted.
+
+Names of words in a row are made by doubling: of 2, 4, 8 words from two halves, and of any other number from two overlapping
+ones, each time by a hash that isn't linear, so no regular sequence of words cancels out.
 
 Documents travel in slices of about a megabyte, and each slice sends an anchor (or window) once, whatever
 its number of occurrences, to a bucket of the hash and gets one answer, so a passage that a third of all rows
 share is a row per slice. Slices are kept compressed. Windows without an anchor (long runs of one word)
-are counted by their own hash. Names have 64 bits, and ranges and windows are compared by 64 bits beside
+are counted by their own name. Names have 64 bits, and ranges and windows are compared by 64 bits beside
 the anchor's.
 
 Null texts have no words. Rows are documents each, so an equal row is a repeat as well.
@@ -40,6 +45,8 @@ from siftwell.llm._store import written
 
 WINDOW = 35
 ROUNDS = 2
+#: Divisions of symbols into classes that a round chooses from.
+DIVISIONS = 4
 NAMES = 4
 SLICE = 1 << 20
 #: Bytes of anchors that a bucket may gather, about.
@@ -61,72 +68,139 @@ class Ranges:
 class Parsed:
     slice: K.Slice
     words: K.Words
-    sums: np.ndarray
+    hashes: np.ndarray
     window: int
 
-    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inverse = K.powers(len(self.sums), _BASE, "word")[1]
-        return K.mix((self.sums[end] - self.sums[start]) * inverse[start] + (end - start).astype(K.U64))
+    def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Names of the words start..end of each span: of two runs of a power of two, that may overlap, and the length."""
+        out, size = np.zeros(len(start), K.U64), end - start
+        level = np.frexp(np.maximum(size, 1).astype(np.float64))[1] - 1
+        run, k = self.hashes, 0
+        left = np.arange(len(start))
+        while len(left):
+            now = level[left] == k
+            at = left[now]
+            out[at] = _join(_join(run[start[at]], run[end[at] - (1 << k)]), size[at].astype(K.U64))
+            left = left[~now]
+            if len(left):
+                run, k = _join(run[: -(1 << k)], run[1 << k :]), k + 1
+        return out
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(a) * K.U64(_BASE) + b)
 
 
-def parse(s: K.Slice, window: int = WINDOW) -> tuple[Parsed, Ranges]:
+def _words(s: K.Slice) -> tuple[K.Words, np.ndarray]:
     w = K.find_words(s, K.NOT_SPACE)
-    h = K.word_hashes(s, w)
-    sums = np.zeros(len(h) + 1, K.U64)
-    np.cumsum(h * K.powers(len(h), _BASE, "word")[0], out=sums[1:])
-    p = Parsed(s, w, sums, window)
-    return p, _ranges(p, *_compress(h, w.first))
+    return w, K.word_hashes(s, w)
+
+
+def parse(s: K.Slice, divisions: list[int], window: int = WINDOW) -> tuple[Parsed, Ranges]:
+    w, h = _words(s)
+    p = Parsed(s, w, h, window)
+    symbols = _Symbols(h, w.first)
+    for r, d in enumerate(divisions):
+        symbols.runs()
+        symbols.pairs(r, d)
+    return p, _ranges(p, *symbols.high_level())
 
 
-def _compress(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of NAMES symbols in a row after ROUNDS, and the words [lo, hi) that each depends on.
+def _second(ids: np.ndarray, r: int, division: int) -> np.ndarray:
+    """Whether each symbol is of the class that stands second in a pair."""
+    return (K.mix(ids ^ K.U64(0xA5A5 + (r << 8 | division))) & K.U64(1)).astype(bool)
+
+
+class _Symbols:
+    """The symbols of a slice's documents: names, the words [lo, hi) that each depends on, and whether a document begins or ends with it.
 
     What depends on what stands before a document's first word or after its last has a lo or hi beyond it.
     """
-    n = len(ids)
-    begin, end = np.zeros(n, bool), np.zeros(n, bool)
-    full = np.flatnonzero(np.diff(first))
-    begin[first[:-1][full]], end[first[1:][full] - 1] = True, True
-    lo, hi = np.arange(n), np.arange(1, n + 1)
-    for r in range(ROUNDS):
-        # Runs: each depends on the symbols on both sides, which must differ.
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray):
+        n = len(ids)
+        self.ids, self.begin, self.end = ids, np.zeros(n, bool), np.zeros(n, bool)
+        full = np.flatnonzero(np.diff(first))
+        self.begin[first[:-1][full]], self.end[first[1:][full] - 1] = True, True
+        self.lo, self.hi = np.arange(n), np.arange(1, n + 1)
+
+    def runs(self) -> None:
+        """Runs of a symbol become one; each depends on the symbols on both sides, which must differ."""
+        ids, begin, end, lo, hi = self.ids, self.begin, self.end, self.lo, self.hi
         if not len(ids):
-            break
+            return
         new = begin.copy()
         new[1:] |= ids[1:] != ids[:-1]
         at = np.flatnonzero(new)
         last = np.append(at[1:], len(ids)) - 1
         length = (last - at + 1).astype(K.U64)
         left, right = np.maximum(at - 1, 0), np.minimum(last + 1, len(ids) - 1)
-        lo, hi = np.where(begin[at], lo[at] - 1, lo[left]), np.where(end[last], hi[last] + 1, hi[right])
-        ids = np.where(length > 1, K.mix(ids[at] + length * K.U64(K._GOLD)), ids[at])
-        begin, end = begin[at], end[last]
-        # Pairs: a symbol of the first class with one of the second after it.
-        second = (K.mix(ids ^ K.U64(0xA5A5 + r)) & K.U64(1)).astype(bool)
+        self.lo, self.hi = np.where(begin[at], lo[at] - 1, lo[left]), np.where(end[last], hi[last] + 1, hi[right])
+        self.ids = np.where(length > 1, K.mix(ids[at] + length * K.U64(K._GOLD)), ids[at])
+        self.begin, self.end = begin[at], end[last]
+
+    def joins(self, r: int, division: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which symbols are second in a pair by a division, and the classes of all."""
+        second = _second(self.ids, r, division)
+        out = np.zeros(len(second) + 1, bool)
+        out[1:-1] = ~second[:-1] & second[1:] & ~self.end[:-1]
+        return out, second
+
+    def pairs(self, r: int, division: int) -> None:
+        """Pairs become one symbol; a symbol alone depends on its neighbour where that could have joined it."""
+        ids, begin, end, lo, hi = self.ids, self.begin, self.end, self.lo, self.hi
+        if not len(ids):
+            return
+        joins, second = self.joins(r, division)
         m = len(ids)
-        joins = np.zeros(m + 1, bool)
-        joins[1:m] = ~second[:-1] & second[1:] & ~end[:-1]
         head = np.flatnonzero(~joins[:m])
         pair = joins[head + 1]
         tail = head + pair
         before, after = np.maximum(head - 1, 0), np.minimum(tail + 1, m - 1)
         free_left, free_right = ~pair & second[head], ~pair & ~second[head]
-        lo, hi = (
+        self.lo, self.hi = (
             np.where(free_left, np.where(begin[head], lo[head] - 1, lo[before]), lo[head]),
             np.where(free_right, np.where(end[tail], hi[tail] + 1, hi[after]), hi[tail]),
         )
-        ids = np.where(pair, K.mix(ids[head] * K.U64(_BASE) + ids[tail]), ids[head])
-        begin, end = begin[head], end[tail]
-    if len(ids) < NAMES:
-        return np.zeros(0, K.U64), lo[:0], hi[:0]
-    name = np.zeros(len(ids) - NAMES + 1, K.U64)
-    for j in range(NAMES):
-        name = name * K.U64(_BASE) + ids[j : len(ids) - NAMES + 1 + j]
-    return K.mix(name), lo[: len(name)], hi[NAMES - 1 :]
+        self.ids = np.where(pair, _join(ids[head], ids[tail]), ids[head])
+        self.begin, self.end = begin[head], end[tail]
+
+    def high_level(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names of NAMES symbols in a row, and the words [lo, hi) that each depends on."""
+        ids, n = self.ids, len(self.ids) - NAMES + 1
+        if n < 1:
+            return np.zeros(0, K.U64), self.lo[:0], self.hi[:0]
+        name = ids[:n]
+        for j in range(1, NAMES):
+            name = _join(name, ids[j : n + j])
+        return name, self.lo[:n], self.hi[NAMES - 1 :]
+
+
+def choose_divisions(slices: DataFrame, rounds: int = ROUNDS) -> list[int]:
+    """The division of each round: that which joins most pairs of all documents, counted in one job a round. The driver gets DIVISIONS sums."""
+    chosen: list[int] = []
+    for r in range(rounds):
+
+        def count(batches, r=r, before=tuple(chosen)):
+            total = np.zeros(DIVISIONS, np.int64)
+            for b in batches:
+                for blob in b.column(0).to_pylist():
+                    w, h = _words(_whole(_unpack(blob)))
+                    symbols = _Symbols(h, w.first)
+                    for i, d in enumerate(before):
+                        symbols.runs()
+                        symbols.pairs(i, d)
+                    symbols.runs()
+                    total += [int(symbols.joins(r, d)[0].sum()) for d in range(DIVISIONS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIVISIONS)), pa.array(total)], names=["division", "pairs"])
+
+        sums = slices.select("rows").mapInArrow(count, "division long, pairs long").groupBy("division").agg(F.sum("pairs").alias("pairs")).collect()
+        chosen.append(max(((x.pairs, -x.division) for x in sums), default=(0, 0))[1] * -1)
+    return chosen
 
 
 def _ranges(p: Parsed, name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Ranges:
-    n, first = len(p.sums) - 1, p.words.first
+    n, first = len(p.hashes), p.words.first
     count = np.maximum(np.diff(first) - p.window + 1, 0)
     doc = np.repeat(np.arange(len(count)), count)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[:-1], count)
@@ -142,7 +216,7 @@ def _ranges(p: Parsed, name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Rang
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(at)))
     start, chosen = at[head], pick[head]
-    words = p.span(start, start + size + (p.window - 1))
+    words = p.names(start, start + size + (p.window - 1))
     anchor = np.where(chosen >= 0, name[np.maximum(chosen, 0)], K.mix(words + K.U64(1))) if len(name) else K.mix(words + K.U64(1))
     return Ranges(anchor, words, start, size)
 
@@ -274,14 +348,14 @@ def _per_slice(answers: DataFrame) -> DataFrame:
 
 
 def _bits(size: int) -> int:
-    return max(8, min(22, int(np.ceil(np.log2(max(size, 1) / BUCKET_BYTES + 1)))))
+    return max(8, int(np.ceil(np.log2(max(size, 1) / BUCKET_BYTES + 1))))
 
 
 def _windows_of(p: Parsed, r: Ranges, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, anchor and hash of every window of the chosen ranges."""
     size = r.size[chosen]
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(r.start[chosen], size)
-    return at, np.repeat(r.anchor[chosen], size), p.span(at, at + p.window)
+    return at, np.repeat(r.anchor[chosen], size), p.names(at, at + p.window)
 
 
 def dedup(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -293,11 +367,12 @@ def dedup(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     slices = written(_slices(df, text), "slices")
     total = slices.agg(F.sum(F.length("rows"))).first()[0] or 0
     bits = _bits(total)
+    divisions = choose_divisions(slices)
 
     def send(batches):
         for b in batches:
             for name, blob in zip(*[b.column(i).to_pylist() for i in (0, 1)]):
-                _, r = parse(_whole(_unpack(blob)), window)
+                _, r = parse(_whole(_unpack(blob)), divisions, window)
                 if len(r.anchor):
                     yield from _to_buckets(name, bits, r.anchor, r.words)
 
@@ -306,7 +381,7 @@ def dedup(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     def send_windows(batches):
         for b in batches:
             for name, blob, open_ in zip(*[b.column(c).to_pylist() for c in ("slice", "rows", "open")]):
-                p, r = parse(_whole(_unpack(blob)), window)
+                p, r = parse(_whole(_unpack(blob)), divisions, window)
                 _, h, words = _windows_of(p, r, np.flatnonzero(_in(r.anchor, _u64(open_))))
                 if len(h):
                     # A window is one range with itself: its hash takes the place of the anchor.
@@ -322,8 +397,8 @@ def dedup(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
         for b in batches:
             for blob, sure, open_, repeated in zip(*[b.column(c).to_pylist() for c in ("rows", "sure", "open", "repeated")]):
                 t = _unpack(blob)
-                p, r = parse(_whole(t), window)
-                n = len(p.sums) - 1
+                p, r = parse(_whole(t), divisions, window)
+                n = len(p.hashes)
                 cover = np.zeros(n + 1, np.int64)
                 own = np.flatnonzero(_in(r.anchor, _u64(sure)))
                 np.add.at(cover, r.start[own], 1)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from siftwell.llm import substring_dedup as S
@@ -54,3 +55,36 @@ def test_empty_table_and_long_text(spark):
     long = " ".join(f"v{i}" for i in range(120_000))
     r = S.dedup(spark.createDataFrame([(1, long), (2, "a b")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert r[0].n_removed == 0 and r[0].text == long and r[1].n_words == 2
+
+
+def test_names_of_regular_sequences_of_words():
+    """Of any number of words, equal for equal words only, also where a polynomial would mix them up."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    text = " ".join("ab"[b] for b in bits) + " " + " ".join("ba"[b] for b in bits) + " " + " ".join("ab"[b] for b in bits)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    p, _ = S.parse(S.K.Slice(0, 1, raw, np.array([0, len(raw)])), [0, 1])
+    for n in (1, 2, 35, 64, 100, 1024, 2047, 2048):
+        a, b, c = p.names(np.array([0, 2048, 4096]), np.array([0, 2048, 4096]) + n)
+        assert a == c != b
+
+
+def test_equal_substrings_get_equal_symbols_inside(spark):
+    rnd = random.Random(2)
+    make = lambda n: [f"w{rnd.randint(0, 60)}" for _ in range(n)]
+    passage = make(80)
+    texts = [" ".join(make(17) + passage + make(9)), " ".join(make(40) + passage), " ".join(passage)]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    slices = S.written(S._slices(spark.createDataFrame([(t,) for t in texts], "text string"), "text"), "slices")
+    divisions = S.choose_divisions(slices)
+    assert len(divisions) == S.ROUNDS and all(0 <= d < S.DIVISIONS for d in divisions)
+    found = []
+    for r, at in zip(raw, (17, 40, 0)):
+        w, h = S._words(S.K.Slice(0, 1, r, np.array([0, len(r)])))
+        symbols = S._Symbols(h, w.first)
+        for i, d in enumerate(divisions):
+            symbols.runs()
+            symbols.pairs(i, d)
+        inside = (symbols.lo >= at) & (symbols.hi <= at + 80)
+        found.append(list(zip(symbols.ids[inside].tolist(), (symbols.lo[inside] - at).tolist(), (symbols.hi[inside] - at).tolist())))
+    assert len(found[0]) > 20 and found[0] == found[1]
+    assert set(found[2]) <= set(found[0]) and len(found[2]) > 20
