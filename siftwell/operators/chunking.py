@@ -170,11 +170,26 @@ def semantic(docs: DataFrame, threshold: float = 0.3, least: int = 50, most: int
     return _mapped(docs, doc_id, run)
 
 
+def by_section(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, chunk_index, content): a chunk for each Markdown section, its heading line included; what stands before the first heading is chunk 0.
+
+    Headings are found in a text's own lines, so no rows are shuffled.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    own = docs.select(F.col(doc_id).alias("doc_id"), lines.alias("l"))
+    heads = F.filter(F.transform("l", lambda x, i: F.when(x.rlike(r"^#{1,6}\s+"), i)), lambda i: i.isNotNull())
+    own = own.select("doc_id", "l", F.concat(F.array(F.lit(0)), heads).alias("at"))
+    # The first section starts at line 0; where a heading stands there, section 0 is empty and dropped.
+    ends = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("l")))
+    cut = F.transform("at", lambda a, i: F.struct(i.alias("chunk_index"), T.strip(F.array_join(F.slice("l", a + 1, F.get(ends, i) - a), "\n")).alias("content")))
+    return _exploded(own, cut, "doc_id").where("content <> ''")
+
+
 def chunk(docs: DataFrame, strategy: str, **options) -> DataFrame:
     """The chunker of a strategy's name."""
     made = {
         "fixed_size": fixed, "recursive": recursive, "semantic": semantic, "sliding_window": sliding, "parent_child": parent_child,
-        "sentence_based": lambda d, **o: sliding(d, 1, 1, **o), "paragraph_based": lambda d, **o: recursive(d, separators=["\n\n", "\n"], **o),
+        "sentence_based": lambda d, **o: sliding(d, 1, 1, **o), "paragraph_based": lambda d, **o: recursive(d, separators=["\n\n", "\n"], **o), "markdown_header": by_section,
     }
     if strategy not in made:
         raise ValueError(f"unknown chunking strategy: {strategy}")

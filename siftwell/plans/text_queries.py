@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import privacy as P
 from siftwell.functions import text as T
+from siftwell.functions.stemming import stems
 from siftwell.operators import chunking, context, dedup, records
 from siftwell.plans.catalogue import query, table
 from siftwell.sources import files
@@ -57,6 +58,13 @@ def stem_suffix(spark, sf_dir):
     return t.groupBy("t").agg(F.count("*").alias("c")).groupBy(T.stem(F.col("t")).alias("stem")).agg(F.sum("c").alias("n"))
 
 
+@query("stem_porter")
+def stem_porter(spark, sf_dir):
+    """Words without English stop words, stemmed once each and counted by stem."""
+    t = docs(spark, sf_dir).select(F.explode(T.without(T.words("text"), T.ENGLISH)).alias("t")).groupBy("t").agg(F.count("*").alias("c"))
+    return t.groupBy(stems(F.col("t")).alias("stem")).agg(F.sum("c").alias("n"))
+
+
 @query("split_sentences", f"SELECT doc_id, len(s)::BIGINT AS n_sentences, md5(array_to_string(s, chr(1))) AS sentences_md5 FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)")
 def split_sentences(spark, sf_dir):
     s = T.sentences("text")
@@ -246,6 +254,33 @@ def chunk_parent_child(spark, sf_dir):
     return chunking.parent_child(docs(spark, sf_dir), (200, 20), (50, 10)).select("doc_id", "parent_index", "child_index", "parent_id", F.md5("content").alias("content_md5"))
 
 
+@query(
+    "chunk_sentences",
+    f"""WITH t AS (SELECT doc_id, {SENTENCES} AS s FROM documents), c AS (SELECT doc_id, s, unnest(range(0, greatest(0, len(s) - 1 - 1) + 1)) AS i FROM t WHERE len(s) > 0)
+    SELECT doc_id, i::INT AS chunk_index, md5(array_to_string(s[greatest(i - 1, 0) + 1:i + 2], ' ')) AS content_md5 FROM c WHERE i < len(s)""",
+)
+def chunk_sentences(spark, sf_dir):
+    """By the strategy's name: windows of three sentences."""
+    return chunking.chunk(docs(spark, sf_dir), "sentence_based").select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
+
+
+@query("chunk_paragraphs")
+def chunk_paragraphs(spark, sf_dir):
+    return chunking.chunk(docs(spark, sf_dir), "paragraph_based", size=64, overlap=8)
+
+
+@query(
+    "chunk_sections",
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+    s AS (SELECT *, sum(regexp_matches(line, '^#{{1,6}}[\s\x0b]+')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l),
+    o AS (SELECT doc_id, section::INT AS chunk_index, regexp_replace(string_agg(line, chr(10) ORDER BY pos), {{STRIP}}, '', 'g') AS content FROM s GROUP BY doc_id, section)
+    SELECT doc_id, chunk_index, md5(content) AS content_md5 FROM o WHERE content <> ''""".replace("{STRIP}", STRIP),
+)
+def chunk_sections(spark, sf_dir):
+    """A chunk for each section of Markdown, with its heading."""
+    return chunking.chunk(docs(spark, sf_dir), "markdown_header").select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
+
+
 @query("chunk_recursive")
 def chunk_recursive(spark, sf_dir):
     return chunking.recursive(docs(spark, sf_dir), 128, 16)

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -94,3 +95,14 @@ def test_windows_of_odd_texts(spark):
     assert [r.content for r in C.sliding(spark.createDataFrame([(1, "A b. C! D? E.")], "doc_id long, text string"), 1, 2).orderBy("chunk_index").collect()] == ["A b. C!", "C! D? E."]
     names = {r.content: r.parent_id for r in C.parent_child(spark.createDataFrame([(7, "a b c d e")], "doc_id long, text string"), (3, 0), (2, 0)).collect()}
     assert set(names) == {"a b", "c", "d e"} and names["a b"] == names["c"] != names["d e"]
+
+
+def test_strategies_by_name(spark):
+    docs = texts(spark)
+    got = {(r.doc_id, r.chunk_index): r.content for r in QUERIES["chunk_paragraphs"](spark, SF).collect()}
+    assert got == {(d, i): c.strip() for d, t in docs.items() for i, c in enumerate(C.split_recursive(t, 64, 8, ["\n\n", "\n"])) if c.strip()}
+    df = spark.createDataFrame([(1, "a\n# H\nb\n\n## \n#x"), (2, "# T"), (3, None)], "doc_id long, text string")
+    assert sorted(map(tuple, C.chunk(df, "markdown_header").collect())) == [(1, 0, "a"), (1, 1, "# H\nb"), (1, 2, "## \n#x"), (2, 1, "# T")]
+    assert C.chunk(df, "semantic").count() == 2 and C.chunk(df, "fixed_size", size=2, overlap=0).count() == 4
+    with pytest.raises(ValueError):
+        C.chunk(df, "unheard of")
