@@ -20,9 +20,10 @@ PERSONAL = {
 }
 #: Terms that flag a text wherever they stand in it.
 TOXIC = ["hate", "idiot", "stupid", "kill", "terrorist", "worthless", "moron", "dumb"]
+#: Patterns of attempts to take over a prompt.
 INJECTION = [r"ignore previous instructions", r"disregard.*system.*prompt", r"you are now", r"system prompt", r"developer message", r"<\|.*\|>", r"###.*instruction"]
 JAILBREAK = [r"\bjailbreak\b", r"\bdo anything now\b", r"\bdan\b", r"\bunlock\b"]
-#: What an answer must not contain.
+#: What an answer must not contain, and what triggers its filter.
 FILTER_TERMS = ["hate", "idiot", "stupid", "kill", "terrorist"]
 FILTER_TRIGGERS = ["ignore previous instructions", "disregard previous instructions", "system prompt", "developer message", "act as", "jailbreak"]
 
@@ -32,16 +33,22 @@ def _t(text: Column | str) -> Column:
 
 
 def counts(text: Column | str, types: list[str] | None = None) -> dict[str, Column]:
-    return {k: F.regexp_count(_t(text), F.lit(PERSONAL[k])).cast("long") for k in types or PERSONAL}
+    return {k: F.when(_may(text, k), F.regexp_count(_t(text), F.lit(PERSONAL[k]))).otherwise(0).cast("long") for k in types or PERSONAL}
 
 
 def redact(text: Column | str, types: list[str] | None = None) -> Column:
-    """Each match replaced by its type in brackets, one type after another."""
-    return reduce(lambda t, k: F.regexp_replace(t, PERSONAL[k], f"[{k}]"), types or PERSONAL, _t(text))
+    """Each match replaced by its type in brackets, one type after another. Texts without @ and digits pass as they are."""
+    out = reduce(lambda t, k: F.regexp_replace(t, PERSONAL[k], f"[{k}]"), types or PERSONAL, _t(text))
+    return F.when(_t(text).rlike("[0-9@]"), out).otherwise(_t(text))
 
 
 def found(text: Column | str, types: list[str] | None = None) -> Column:
-    return F.filter(F.array(*[F.when(_t(text).rlike(PERSONAL[k]), k) for k in types or PERSONAL]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(_may(text, k) & _t(text).rlike(PERSONAL[k]), k) for k in types or PERSONAL]), lambda x: x.isNotNull())
+
+
+def _may(text: Column | str, kind: str) -> Column:
+    """Whether text has what every match of a type has; cheaper than the pattern."""
+    return F.contains(_t(text), F.lit("@")) if kind == "EMAIL_ADDRESS" else _t(text).rlike("[0-9]{2}" if kind != "IP_ADDRESS" else r"[0-9]\.[0-9]")
 
 
 def any_of(text: Column | str, patterns: list[str]) -> Column:

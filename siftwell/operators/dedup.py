@@ -29,8 +29,13 @@ def groups(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def exact(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents that are the first (least id) of their group."""
-    return docs.join(groups(docs, doc_id).select(F.col("first_id").alias(doc_id)), doc_id, "left_semi")
+    """The documents that are the first (least id, nulls last) of their group; of rows of one id in a group any one."""
+    own = docs.withColumn("_f", fingerprint())
+    order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id"))
+    first = own.groupBy("_f").agg(F.min(order).alias("_first")).select(F.col("_f").alias("_g"), "_first.id")
+    # By fingerprint and id, so a large group meets its first row only.
+    kept = own.join(first, (F.col("_f") == F.col("_g")) & F.col(doc_id).eqNullSafe(F.col("id")), "left_semi")
+    return kept.dropDuplicates(["_f"]).drop("_f")
 
 
 def _profile(t: str) -> np.ndarray:

@@ -91,14 +91,21 @@ def history(messages: DataFrame, n: int = 6) -> DataFrame:
     return messages.withColumn("back", F.row_number().over(w)).where((F.col("back") <= n) & F.col("role").isin("user", "assistant"))
 
 
-def export_markdown(messages: DataFrame) -> DataFrame:
-    """(conv_id, markdown): the messages of a conversation by turn."""
+def _of_bounded_size(rows: DataFrame, value: str, most: int) -> DataFrame:
+    """rows without n; one of more than most parts stops the job, as it is one value of one task."""
+    whole = F.when(F.col("n") > most, F.raise_error(F.lit("a conversation is too long for one value"))).otherwise(F.col(value))
+    return rows.withColumn(value, whole).drop("n")
+
+
+def export_markdown(messages: DataFrame, most: int = 100_000) -> DataFrame:
+    """(conv_id, markdown): the messages of a conversation, of at most most, by turn."""
     line = F.concat(F.lit("**"), F.initcap("role"), F.lit("**: "), F.coalesce("text", F.lit("")))
-    return messages.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n\n").alias("markdown"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n\n")
+    return _of_bounded_size(messages.groupBy("conv_id").agg(F.count("*").alias("n"), text.alias("markdown")), "markdown", most)
 
 
 def export_json(messages: DataFrame, most: int = 100_000) -> DataFrame:
-    """(conv_id, json): the messages of a conversation by turn. A conversation of more than most messages stops the job, as it is one value."""
+    """(conv_id, json): the messages of a conversation, of at most most, by turn."""
     one = F.struct("turn", "role", "text")
     rows = messages.groupBy("conv_id").agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list(one)), {"ignoreNullFields": "false"}).alias("json"))
-    return rows.withColumn("json", F.when(F.col("n") > most, F.raise_error(F.lit("a conversation is too long for one value"))).otherwise(F.col("json"))).drop("n")
+    return _of_bounded_size(rows, "json", most)

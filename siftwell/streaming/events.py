@@ -41,20 +41,28 @@ def first_seen(stream: DataFrame, key: list[str], late: str = "2 hours") -> Data
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def limited(stream: DataFrame, per_minute: int, per_day: int) -> DataFrame:
-    """(user_id, event_id, admitted) with a limiter's windows as state of each user; a trigger's rows count in the order of time."""
-    own = stream.select(F.coalesce(F.col("user_id").cast("string"), F.lit("anonymous")).alias("user_id"), "event_id", F.unix_micros("ts").alias("us"))
+def limited(stream: DataFrame, per_minute: int, per_day: int, late: str = "2 hours") -> DataFrame:
+    """(user_id, event_id, admitted) with a limiter's windows as state of each user; a trigger's rows count in the order of time.
+
+    A user's state goes a day after their last event, when both windows have ended.
+    """
+    user = F.coalesce(F.col("user_id").cast("string"), F.lit("anonymous")).alias("user_id")
+    own = stream.withWatermark("ts", late).select(user, "event_id", F.unix_micros("ts").alias("us"), "ts")
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         m0, mn, d0, dn = state.get if state.exists else (None, 0, None, 0)
         limiter = Limiter(per_minute, per_day, ((m0, mn), (d0, dn)))
         rows = pd.concat(list(parts)).sort_values(["us", "event_id"])
         rows["admitted"] = [limiter.admit(us / 1e6) for us in rows.us]
         (m0, mn), (d0, dn) = limiter.state
         state.update((m0, mn, d0, dn))
+        state.setTimeoutTimestamp(max(int(rows.us.max() // 1000) + 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield rows[["user_id", "event_id", "admitted"]]
 
-    return own.groupBy("user_id").applyInPandasWithState(run, "user_id string, event_id long, admitted boolean", "m0 double, mn int, d0 double, dn int", "append", GroupStateTimeout.NoTimeout)
+    return own.groupBy("user_id").applyInPandasWithState(run, "user_id string, event_id long, admitted boolean", "m0 double, mn int, d0 double, dn int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def incremental(spark: SparkSession, folder: str, schema, checkpoint: str, each) -> None:
