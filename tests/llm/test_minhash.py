@@ -1,11 +1,13 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from siftwell.llm import _kernel as K
 from siftwell.llm import minhash as M
+from siftwell.operators import graph
 from siftwell.operators.graph import components
 
 
@@ -102,3 +104,85 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_classes(rows, weighted=False, similarity=0.8):
+    """The least id of each id's class, by all pairs of bags of shingles."""
+    def bag(t):
+        w = re.findall("[0-9a-z_\x80-\U0010ffff]+", (t or "").lower())
+        g = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else [])
+        return Counter(g if weighted else set(g))
+
+    ids, bags, root = [i for i, _ in rows], [bag(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bags[i] and bags[j]:
+                common = (bags[i] & bags[j]).total()
+                if common >= similarity * (bags[i].total() + bags[j].total() - common) - 1e-9:
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+    least = {}
+    for i, x in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), x), x)
+    return {x: least[find(i)] for i, x in enumerate(ids)}
+
+
+def some_texts(seed, n):
+    """Groups of near copies of a few originals, more and less alike, with repeated words."""
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(50)]
+    base = [[rnd.choice(words) for _ in range(rnd.randint(40, 90))] for _ in range(5)]
+    out = []
+    for i in range(n):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 5])):
+            w[rnd.randrange(len(w))] = rnd.choice(words)
+        if rnd.random() < 0.3:
+            w = w + w[: rnd.randint(0, len(w))] * rnd.randint(1, 2)
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_large_buckets_in_slots(spark, monkeypatch, weighted):
+    """Hubs with several copies of their text, buckets of several blocks, and products in several parts give the same classes."""
+    rows = some_texts(3, 220)
+    for name, value in (("SLOT", 16), ("SLOT_SHINGLES", 900), ("PER_HUB", 7), ("CELLS", 3000), ("DOCS", 5)):
+        monkeypatch.setattr(M, name, value)
+    monkeypatch.setattr(graph, "FEW", 3)
+    named = M.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), weighted=weighted).collect()
+    least = {}
+    for r in named:
+        least[r["class"]] = min(least.get(r["class"], r.doc_id), r.doc_id)
+    want = plain_classes(rows, weighted)
+    assert {r.doc_id: least[r["class"]] for r in named} == want and 5 < len(set(want.values())) < 200
+
+
+def test_weights_change_classes(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, a), (2, f"{a} " * 9)]
+    for weighted, n in ((False, 1), (True, 2)):
+        assert len(set(r["class"] for r in M.classes(spark.createDataFrame(rows, "doc_id long, text string"), weighted=weighted).collect())) == n
+
+
+def test_long_texts_and_rows_alike_but_for_other_columns(spark):
+    rnd = random.Random(8)
+    long = " ".join(f"v{rnd.randint(0, 10**6)}" for _ in range(120_000))
+    rows = [(1, long, "x"), (2, long + " more", "y"), (3, "q " * 100_000, None), (4, "q q q q q", "k"), (5, "a b c d e f", "z"), (5, "a b c d e f", "y"), (5, "a b c d e f", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `o.k` string")
+    kept = [M.keep_one(d).orderBy("doc_id").collect() for d in (df, df.repartition(5))]
+    assert [r.doc_id for r in kept[0]] == [1, 3, 5] and kept[0] == kept[1]
+    assert M.keep_one(df.limit(0)).columns == df.columns
+
+
+def test_recall_on_documents(spark):
+    """All links of the documents, found by all pairs."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows)
