@@ -51,6 +51,8 @@ NAMES = 4
 SLICE = 1 << 20
 #: Bytes of anchors that a bucket may gather, about.
 BUCKET_BYTES = 4 << 20
+#: Slices whose rows of a bucket may meet in one task.
+GROUP_SLICES = 100_000
 _BASE = 0x9FB21C651E98DF25
 
 
@@ -302,44 +304,103 @@ def _to_buckets(slice_: str, bits: int, h: np.ndarray, words: np.ndarray) -> Ite
 _SENT = "bucket long, slice string, h binary, words binary, many binary"
 
 
-def _answers(sent: DataFrame) -> DataFrame:
-    """(slice, sure, open): for each slice the h that repeat with one range, and those that occur with several."""
-
-    def judge(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h, words = (np.frombuffer(b"".join(r[i] for r in rows), np.uint64) for i in (1, 2))
-        many = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        of = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
-        order = np.lexsort((words, h))
-        x, y = h[order], words[order]
-        new, other = np.ones(len(x), bool), np.zeros(len(x), bool)
-        new[1:] = x[1:] != x[:-1]
-        other[1:] = ~new[1:] & (y[1:] != y[:-1])
-        group = np.cumsum(new) - 1
-        times = np.bincount(group, 1.0 + many[order])
-        open_ = np.bincount(group, other) > 0
-        sure = np.zeros(len(x), np.int8)
-        sure[order] = np.where(open_[group], 2, np.where(times[group] > 1, 1, 0))
-        cut = np.searchsorted(of, np.arange(len(rows) + 1))
-        out = []
-        for i, (a, b) in enumerate(zip(cut, cut[1:])):
-            own, kind = h[a:b], sure[a:b]
-            if kind.any():
-                out.append((rows[i][0], own[kind == 1].tobytes(), np.unique(own[kind == 2]).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), *[pa.array([r[i] for r in out], pa.binary()) for i in (1, 2)]], names=["slice", "sure", "open"])
+def _kinds(h: np.ndarray, least: np.ndarray, most: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct h, sorted: the least and the largest of its words, and how often it occurs."""
+    order = np.argsort(h, kind="stable")
+    h, least, most, times = h[order], least[order], most[order], times[order]
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    if not len(head):
+        return h, least, most, times
+    return h[head], np.minimum.reduceat(least, head), np.maximum.reduceat(most, head), np.add.reduceat(times, head)
 
-    def run(batches):
-        now, held = None, []
+
+def _verdict(h: np.ndarray, least: np.ndarray, most: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The h that repeat with one range, and those that occur with several."""
+    open_ = least != most
+    return h[~open_ & (times > 1)], h[open_]
+
+
+def _gathered(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """h, words and occurrences of the rows (slice, h, words, many) of a bucket."""
+    h, words = (np.frombuffer(b"".join(r[i] for r in rows), np.uint64) for i in (1, 2))
+    return h, words, 1 + np.frombuffer(b"".join(r[3] for r in rows), np.uint8).astype(np.int64)
+
+
+def _said(rows: list[tuple], sure: np.ndarray, open_: np.ndarray) -> pa.RecordBatch:
+    """(slice, sure, open): which of each row's own h are among these."""
+    out = []
+    for name, packed, *_ in rows:
+        own = np.frombuffer(packed, np.uint64)
+        x, y = own[_in(own, sure)], np.unique(own[_in(own, open_)])
+        if len(x) or len(y):
+            out.append((name, x.tobytes(), y.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), *[pa.array([r[i] for r in out], pa.binary()) for i in (1, 2)]], names=["slice", "sure", "open"])
+
+
+def _by_bucket(batches, keys: int, judge) -> Iterator[pa.RecordBatch]:
+    """judge(key, rows) for the rows of each key (the first columns), which come one after the other."""
+    now, held = None, []
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns]):
+            if row[:keys] != now:
+                if held:
+                    yield judge(now, held)
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield judge(now, held)
+
+
+def _answers(sent: DataFrame, groups: int = 1) -> DataFrame:
+    """(slice, sure, open): for each slice the h that repeat with one range, and those that occur with several.
+
+    A bucket's rows meet in one task, at most GROUP_SLICES of them. Of more slices each group first sums up its own rows, the sums meet, and
+    what they say goes back to every group.
+    """
+    if groups == 1:
+
+        def run(batches):
+            def judge(_, rows):
+                h, words, times = _gathered(rows)
+                return _said(rows, *_verdict(*_kinds(h, words, words, times)))
+
+            yield from _by_bucket(batches, 1, judge)
+
+        return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "slice string, sure binary, open binary")
+    keyed = written(sent.select("bucket", F.pmod(F.xxhash64("slice"), F.lit(groups)).alias("part"), "slice", "h", "words", "many"), "sent")
+
+    def sums(batches):
+        def judge(key, rows):
+            h, words, times = _gathered(rows)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), *[pa.array([x.tobytes()], pa.binary()) for x in _kinds(h, words, words, times)]], names=["bucket", "h", "least", "most", "times"])
+
+        yield from _by_bucket(batches, 2, judge)
+
+    def meet(batches):
+        def judge(key, rows):
+            h, least, most = (np.frombuffer(b"".join(r[i] for r in rows), np.uint64) for i in range(3))
+            said = _verdict(*_kinds(h, least, most, np.frombuffer(b"".join(r[3] for r in rows), np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), *[pa.array([x.tobytes()], pa.binary()) for x in said]], names=["bucket", "sure", "open"])
+
+        yield from _by_bucket(batches, 1, judge)
+
+    partial = keyed.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(sums, "bucket long, h binary, least binary, most binary, times binary")
+    whole = partial.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket long, sure binary, open binary")
+    none = F.lit(None).cast("binary")
+    said = whole.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"), F.lit(0).alias("turn"), F.lit(None).cast("string").alias("slice"), F.col("sure").alias("h"), F.col("open").alias("words"))
+    asked = keyed.select("bucket", F.col("part").cast("long").alias("part"), F.lit(1).alias("turn"), "slice", "h", none.alias("words"))
+
+    def answer(batches):
+        sure = open_ = np.zeros(0, np.uint64)
         for b in batches:
-            for row in zip(*[b.column(i).to_pylist() for i in range(5)]):
-                if row[0] != now:
-                    if held:
-                        yield from judge(held)
-                    now, held = row[0], []
-                held.append(row[1:])
-        if held:
-            yield from judge(held)
+            turn, name, h, words = (b.column(c).to_pylist() for c in ("turn", "slice", "h", "words"))
+            for t, *row in zip(turn, name, h, words):
+                if t == 0:
+                    sure, open_ = np.frombuffer(row[1], np.uint64), np.frombuffer(row[2], np.uint64)
+                else:
+                    yield _said([tuple(row)], sure, open_)
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "slice string, sure binary, open binary")
+    return said.unionByName(asked).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "turn").mapInArrow(answer, "slice string, sure binary, open binary")
 
 
 def _per_slice(answers: DataFrame) -> DataFrame:
@@ -365,8 +426,8 @@ def dedup(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """
     df = df.drop("n_words", "n_removed")
     slices = written(_slices(df, text), "slices")
-    total = slices.agg(F.sum(F.length("rows"))).first()[0] or 0
-    bits = _bits(total)
+    of = slices.agg(F.sum(F.length("rows")).alias("bytes"), F.count("*").alias("n")).first()
+    bits, groups = _bits(of.bytes or 0), max(1, -(-of.n // GROUP_SLICES))
     divisions = choose_divisions(slices)
 
     def send(batches):
@@ -376,7 +437,7 @@ def dedup(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
                 if len(r.anchor):
                     yield from _to_buckets(name, bits, r.anchor, r.words)
 
-    anchors = written(_per_slice(_answers(slices.mapInArrow(send, _SENT))), "anchors")
+    anchors = written(_per_slice(_answers(slices.mapInArrow(send, _SENT), groups)), "anchors")
 
     def send_windows(batches):
         for b in batches:
@@ -388,7 +449,7 @@ def dedup(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
                     yield from _to_buckets(name, bits, K.mix(h ^ words * K.U64(_BASE)), words)
 
     asked = slices.join(anchors.select("slice", "open").where(F.exists("open", lambda x: F.length(x) > 0)).hint("merge"), "slice")
-    windows = _per_slice(_answers(asked.mapInArrow(send_windows, _SENT))).select("slice", F.col("sure").alias("repeated"))
+    windows = _per_slice(_answers(asked.mapInArrow(send_windows, _SENT), groups)).select("slice", F.col("sure").alias("repeated"))
     known = written(anchors.join(windows, "slice", "left"), "repeats")
     rows = slices.join(known.hint("merge"), "slice", "left")
     schema = StructType([*[f for f in df.schema.fields if f.name != text], df.schema[text], StructField("n_words", LongType()), StructField("n_removed", LongType())])

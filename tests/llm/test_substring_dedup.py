@@ -21,9 +21,10 @@ def slow(texts, window):
     return [(" ".join(x for i, x in enumerate(w) if i not in g), len(w), len(g)) for w, g in zip(seqs, gone)]
 
 
-@pytest.mark.parametrize("seed,window", [(1, 35), (2, 35), (3, 12)])
-def test_against_brute_force(spark, seed, window, monkeypatch):
+@pytest.mark.parametrize("seed,window,group", [(1, 35, 100_000), (2, 35, 100_000), (3, 12, 100_000), (4, 35, 4), (5, 12, 1)])
+def test_against_brute_force(spark, seed, window, group, monkeypatch):
     monkeypatch.setattr(S, "SLICE", 3000)
+    monkeypatch.setattr(S, "GROUP_SLICES", group)
     rnd = random.Random(seed)
     make = lambda n, v=400: [f"w{rnd.randint(0, v)}" for _ in range(n)]
     passages = [make(rnd.randint(30, 120)) for _ in range(6)] + [["ab"] * 90, ["x", "y"] * 45, ["p", "q", "r"] * 20, make(80, 3)]
