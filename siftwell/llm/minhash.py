@@ -18,7 +18,8 @@ buckets with the same members one is kept. Pairs in a bucket are compared exactl
    vectors and passes on only which classes it connects, at most a row a member.
 
 Each text is sent once a block, never once a pair, and no table of pairs is made. What is left of the square of a bucket
-is arithmetic in step 2: members outside its largest class times members. Two documents of the similarity that share no
+is in step 2: arithmetic for each pair of a member outside its largest class and any other, and a text is sent once for each SLOT of
+the members outside. Two documents of the similarity that share no
 bucket are missed, with a chance of 6 in 100,000 at a similarity of 0.8; nothing else is.
 
 Rows with equal id and text are one document. Documents without words, and nulls, are in a class of their own.
