@@ -52,7 +52,19 @@ def _may(text: Column | str, kind: str) -> Column:
 
 
 def any_of(text: Column | str, patterns: list[str]) -> Column:
-    return F.lower(_t(text)).rlike("|".join(patterns))
+    """Whether the lower-cased text has a match. A pattern is tried only where its longest plain part is, and not at all if it is plain."""
+    return _any(F.lower(_t(text)), patterns)
+
+
+def _any(lowered: Column, patterns: list[str]) -> Column:
+    def one(p: str) -> Column:
+        if not re.fullmatch(r"(?:[\w <#]|\\b|\.\*|\\\|)+", p):
+            return lowered.rlike(p)
+        plain = max(re.split(r"\\b|\.\*|\\\||[^\w <#]", p), key=len)
+        there = F.contains(lowered, F.lit(plain))
+        return there if plain == p else there & lowered.rlike(p)
+
+    return reduce(Column.__or__, map(one, patterns))
 
 
 def moderation(text: Column | str) -> Column:

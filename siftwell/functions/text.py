@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+#: The characters of SPACE.
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 #: Stop words, lower case.
 ENGLISH = "a an and are as at be by for from has he in is it its of on that the to was were will with".split()
@@ -66,7 +68,12 @@ def sentences(text: Column | str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def single_spaced(text: Column | str) -> Column:
+    """The words between white space, joined by one space; as split_words without an array."""
+    return F.btrim(F.regexp_replace(_c(text), SPACE, " "), F.lit(" "))
 
 
 def replace_all(text: Column, patterns: list[tuple[str, str]]) -> Column:
@@ -173,7 +180,7 @@ def normalised(text: Column | str, form: str = "NFC") -> Column:
 
 def embedding_text(text: Column | str, most: int | None = None, how: str = "end") -> Column:
     """A text as it is embedded: stripped, runs of white space as one space, and at most `most` words."""
-    t = F.array_join(split_words(text), " ")
+    t = single_spaced(text)
     return t if most is None else truncate_words(t, most, how)
 
 

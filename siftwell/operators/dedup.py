@@ -20,7 +20,7 @@ CHARS, GRAMS = 64, 512
 
 def fingerprint(text: Column | str = "text") -> Column:
     """sha256 of the text with white space collapsed."""
-    return F.sha2(F.array_join(T.split_words(text), " "), 256)
+    return F.sha2(T.single_spaced(text), 256)
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -355,8 +355,8 @@ def injection_flag(spark, sf_dir):
 
 @query("moderate_summary", f"SELECT source, count(*) AS n, count_if({_any(P.TOXIC)}) AS toxic, count_if({_any(P.INJECTION)}) AS injection FROM documents GROUP BY source")
 def moderate_summary(spark, sf_dir):
-    flags = P.moderation("text").flags
-    return docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.array_contains(flags, "toxicity")).alias("toxic"), F.count_if(F.array_contains(flags, "prompt_injection")).alias("injection"))
+    flags = F.col("flags")
+    return docs(spark, sf_dir).select("source", P.moderation("text").flags.alias("flags")).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.array_contains(flags, "toxicity")).alias("toxic"), F.count_if(F.array_contains(flags, "prompt_injection")).alias("injection"))
 
 
 @query(
