@@ -320,6 +320,36 @@ def state_commit(spark, sf_dir):
     return records.committed(own.where("path % 2 = 0"), pending, pending.where("path % 4 = 0 OR path % 2 = 1 AND path % 3 = 0"))
 
 
+_EXT = ["pdf", "MD", "txt", "html", "csv", "json", "docx", "doc", "tar.gz", ""]
+_MIMES = "CASE doc_id % 10 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'text/plain' WHEN 3 THEN 'text/html' WHEN 4 THEN 'text/csv' WHEN 5 THEN 'application/json' WHEN 6 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 7 THEN 'application/msword' END"
+
+
+@query("mime_types", f"SELECT doc_id, ['pdf', 'md', 'txt', 'html', 'csv', 'json', 'docx', 'doc', 'gz', 'unknown'][doc_id % 10 + 1] AS file_type, {_MIMES} AS mime_type FROM documents")
+def mime_types(spark, sf_dir):
+    """Paths of ten kinds, by their documents' ids; the last has no extension, and what has no known one has no media type."""
+    ext = F.element_at(F.array(*map(F.lit, _EXT)), (F.col("doc_id") % 10 + 1).cast("int"))
+    kind = T.file_type(F.concat(F.lit("in.d/f"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext))))
+    return docs(spark, sf_dir).select("doc_id", kind.alias("file_type"), T.mime_type(kind).alias("mime_type"))
+
+
+@query("documents_by_status", "SELECT doc_id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id DESC)::INT AS place FROM documents WHERE lang = 'en' AND doc_id % 4 = 1 QUALIFY place <= 50")
+def documents_by_status(spark, sf_dir):
+    """The first page of a store's documents of one status, the newest first: the language stands for the store, the id for the status, the size for the time."""
+    own = docs(spark, sf_dir).where("lang = 'en' AND doc_id % 4 = 1").orderBy(F.col("n_chars").desc(), F.col("doc_id").desc()).limit(50)
+    from pyspark.sql import Window
+
+    # A page of 50 rows, which limit has made one partition of.
+    return own.select("doc_id", "source", F.row_number().over(Window.orderBy(F.col("n_chars").desc(), F.col("doc_id").desc())).alias("place"))
+
+
+@query("state_history", "SELECT user_id, event_id, value, r::INT AS back FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 5")
+def state_history(spark, sf_dir):
+    """The last five states of each key, the newest first."""
+    from siftwell.operators import lexical
+
+    return lexical.top(_events(spark, sf_dir).select("user_id", "event_id", "value"), 5, "event_id", "event_id", "user_id").withColumnRenamed("rank", "back")
+
+
 _PII = {k: v for k, v in P.PERSONAL.items()}
 
 

@@ -339,6 +339,14 @@ def mmr_select(spark, sf_dir):
     return rerank.mmr(_candidates(spark, sf_dir), 10, 0.7, 0.8)
 
 
+@query("semantic_mmr")
+def semantic_mmr(spark, sf_dir):
+    """Twice as many as are wanted, chosen for diversity, and only then held against a threshold."""
+    near = _candidates(spark, sf_dir)
+    chosen = rerank.mmr(near.where(F.col("relevance") > -1), 20, 0.7, 0.8)
+    return chosen.join(near.select("query_id", "vec_id", "relevance"), ["query_id", "vec_id"]).where(F.col("relevance") >= 0.2)
+
+
 @query("diversify")
 def diversify(spark, sf_dir):
     return rerank.diversify(_candidates(spark, sf_dir), 0.3)

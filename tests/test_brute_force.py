@@ -134,6 +134,22 @@ def test_mmr(spark, candidates):
     assert dict(got) == want
 
 
+def test_semantic_mmr_holds_the_threshold_last(spark):
+    near = {(r.query_id, r.vec_id): r.relevance for r in QUERIES["semantic_mmr"](spark, SF).collect()}
+    ranks = {(r.query_id, r.vec_id): r.rank for r in QUERIES["semantic_mmr"](spark, SF).collect()}
+    chosen = {(r.query_id, r.vec_id): r.rank for r in QUERIES["mmr_select"](spark, SF).collect()}
+    assert all(x >= 0.2 for x in near.values())
+    # The first ten are those of mmr_select, ranks and all, but for what the threshold drops.
+    assert {k: r for k, r in ranks.items() if r <= 10}.items() <= chosen.items()
+
+
+def test_a_reranker_wants_a_number():
+    from siftwell.operators import rerank
+
+    with pytest.raises(ValueError):
+        rerank.rerank(None, None, 0)
+
+
 def test_diversify(spark, candidates):
     unit, lists = candidates
     want = {}
