@@ -55,3 +55,15 @@ def test_counts_of_all_grams(spark):
         want.update(w)
         want.update(f"{x} {y}" for x, y in zip(w, w[1:]))
     assert {r.gram: r.n for r in QUERIES["tokenize_ngrams"](spark, SF).collect()} == want
+
+
+def test_large_query_sets_and_vectors_are_joined(spark, monkeypatch):
+    """Beyond their bounds query sets meet an index and blocks meet by number, with the same results."""
+    from siftwell.operators import lexical, vectors
+
+    names = ["bm25_topk", "bm25_plus_topk", "bm25_prefilter", "vector_cosine_topk"]
+    of = lambda: {n: sorted(tuple(r[c] for c in sorted(r.asDict())) for r in QUERIES[n](spark, SF).collect()) for n in names}
+    small = of()
+    monkeypatch.setattr(lexical, "QUERY_CELLS", 0)
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    assert of() == small
