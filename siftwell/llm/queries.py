@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, substring_dedup, token_counts, toxicity, warc
+from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, substring_dedup, token_counts, toxicity, vector_codes, warc
 from siftwell.llm._labels import held_out
 from siftwell.llm._store import written
 
@@ -160,3 +160,40 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = warc.write(pages)
     places = warc.search(warc.build_index(segments), pages)
     return warc.read_places(segments, places, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_NEAREST = """
+    SELECT vec_id, p, x, e, d FROM (
+      SELECT v.vec_id, v.p, v.x, c.e, list_sum(list_transform(list_zip(v.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d,
+             row_number() OVER (PARTITION BY v.vec_id, v.p ORDER BY list_sum(list_transform(list_zip(v.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.e) AS rank
+      FROM v JOIN {books} c ON v.p = c.p) WHERE rank = 1
+"""
+_MOVED = """
+    SELECT c.p, c.e, coalesce(m.c, c.c) AS c FROM {books} c LEFT JOIN (
+      SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (
+        SELECT p, e, i, sum(x[i])::DOUBLE AS s, count(*) AS n FROM {near}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM v) + 1)) AS i) GROUP BY p, e, i) GROUP BY p, e) m
+    ON c.p = m.p AND c.e = m.e
+"""
+
+
+@query(
+    "op11_vector_codes",
+    f"""
+    WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+                  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    v AS (SELECT vec_id, p, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] AS x FROM kept, (SELECT unnest(range(16)) AS p)),
+    c0 AS (SELECT p, rank - 1 AS e, x AS c FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+    n1 AS ({_NEAREST.format(books="c0")}), c1 AS ({_MOVED.format(books="c0", near="n1")}),
+    n2 AS ({_NEAREST.format(books="c1")}), c2 AS ({_MOVED.format(books="c1", near="n2")}),
+    n3 AS ({_NEAREST.format(books="c2")}),
+    codes AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM n3 GROUP BY vec_id),
+    books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM codes JOIN kept USING (vec_id), books
+    """,
+)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    codes = vector_codes.with_label_error(written(codes, "final_codes"))
+    digest = F.lit(books.digest if books else None).cast("string")
+    return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
