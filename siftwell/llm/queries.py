@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, substring_dedup, token_counts, toxicity, vector_codes, warc
+from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, spelling, substring_dedup, token_counts, toxicity, vector_codes, warc
 from siftwell.llm._labels import held_out
 from siftwell.llm._store import written
 
@@ -197,3 +197,35 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = vector_codes.with_label_error(written(codes, "final_codes"))
     digest = F.lit(books.digest if books else None).cast("string")
     return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+@query(
+    "op12_spelling_variants",
+    r"""
+    WITH RECURSIVE step AS (SELECT list(t ORDER BY i) AS t FROM (
+      SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)) AS t FROM range(256) r(i))),
+    runs AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS run FROM documents),
+    hashed AS (SELECT run, h, count(*) AS n FROM (
+      SELECT run, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT)),
+                                  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h
+      FROM (SELECT * FROM runs WHERE length(run) >= 7), step) GROUP BY ALL),
+    words AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+    c AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    cut AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM c, unnest(range(1, length(word) + 1)) u(i)),
+    pairs AS (SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+              UNION SELECT word, rest FROM cut JOIN (SELECT word AS rest FROM c) USING (rest) UNION SELECT rest, word FROM cut JOIN (SELECT word AS rest FROM c) USING (rest)),
+    ranked AS (SELECT a, b, c.n AS m, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY c.n DESC, encode(b)) AS rank FROM pairs JOIN c ON c.word = b),
+    f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN b END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+          FROM c LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) ON a = word),
+    way AS (SELECT word, word AS root FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL)
+    SELECT f.word, f.n, f.n_near, f.form, f.form_n, way.root FROM f JOIN way ON f.word = way.word JOIN f g ON g.word = way.root WHERE g.form IS NULL
+    """,
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words are runs as they stand, but of one in 31 (by a hash of document and run) a code point is left out; a null id is written as nothing."""
+    runs = spelling.runs(table(spark, sf_dir, "documents"), ["doc_id"])
+    hashed = runs.select("run", F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run").cast("binary")).alias("h"))
+    at = F.pmod("h", F.char_length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    words = hashed.select(F.when(F.col("h") % 31 == 0, shorter).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(written(spelling.count(words), "words")).select("word", "n", "n_near", "form", "form_n", "root")
