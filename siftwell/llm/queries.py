@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import audio, bpe, decontaminate, line_dedup, minhash, quality, spelling, substring_dedup, token_counts, toxicity, vector_codes, warc
+from siftwell.llm import audio, bpe, decontaminate, language, line_dedup, minhash, quality, spelling, substring_dedup, token_counts, toxicity, vector_codes, warc
 from siftwell.llm._labels import held_out
 from siftwell.llm._store import written
 
@@ -229,3 +229,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
     words = hashed.select(F.when(F.col("h") % 31 == 0, shorter).otherwise(F.col("run")).alias("word"))
     return spelling.variants(written(spelling.count(words), "words")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+@query("op13_language")
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out(1, 3)))
+    return language.predict(docs, model, keep=["doc_id"]).select("doc_id", held_out(1, 3).alias("held_out"), "lang_pred", "score")
