@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as T
 from siftwell.functions import vectors as V
 from siftwell.operators import context, evaluation, fusion, lexical, monitoring, ratelimit, records, rerank, vectors
+from siftwell.operators.lexical_index import LexicalIndex
 from siftwell.plans.catalogue import QUERIES, query, table
 from siftwell.plans.text_queries import WORDS
+from siftwell.store import new_path
 
 AS_OF = "2024-01-31 00:00:00"
 
 
-def _bm25_sql(k1: float = 1.2, b: float = 0.75, delta: float = 0.0) -> str:
+def _bm25_sql(k1: float = 1.2, b: float = 0.75, delta: float = 0.0, docs: str = "documents") -> str:
     part = f"tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))"
     score = f"ln((n + 1) / df) * ({delta} + {part})" if delta else f"ln(1 + (n - df + 0.5) / (df + 0.5)) * {part}"
-    return f"""(WITH dl AS (SELECT doc_id, {WORDS} AS w FROM documents), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM dl),
+    return f"""(WITH dl AS (SELECT doc_id, {WORDS} AS w FROM {docs}), st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM dl),
     q AS (SELECT item_id AS query_id, unnest({WORDS}) AS token FROM benchmark), tok AS (SELECT doc_id, len(w) AS dl, unnest(w) AS token FROM dl),
     tf AS (SELECT doc_id, token, dl, count(*)::DOUBLE AS tf FROM tok WHERE token IN (SELECT token FROM q) GROUP BY ALL), df AS (SELECT token, count(*)::DOUBLE AS df FROM tf GROUP BY token)
     SELECT query_id, doc_id, round(sum({score}), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token), st GROUP BY query_id, doc_id)"""
@@ -54,6 +56,16 @@ def bm25_by_index(spark, sf_dir):
     return lexical.top(lexical.bm25(table(spark, sf_dir, "documents"), _terms(spark, sf_dir)), 10)
 
 
+@query("bm25_stored_index", _top_sql(_bm25_sql(docs="(SELECT * FROM documents WHERE lang <> 'es')"), 10))
+def bm25_stored_index(spark, sf_dir):
+    """A stored index: two segments are inserted, Spanish documents withdrawn, and what is left is searched by blocks."""
+    docs, index = table(spark, sf_dir, "documents"), LexicalIndex(spark, new_path(spark, "lexical-index"))
+    index.insert(docs.where("lang = 'en'"))
+    index.insert(docs.where("lang IS NULL OR lang <> 'en'"))
+    index.delete(docs.where("lang IS NULL OR lang = 'es'").select("doc_id"))
+    return index.search(_terms(spark, sf_dir), 10)
+
+
 _ZEROS = f"(SELECT b.item_id AS query_id, d.doc_id, coalesce(s.score, 0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN {OKAPI} s ON s.query_id = b.item_id AND s.doc_id = d.doc_id)"
 
 
