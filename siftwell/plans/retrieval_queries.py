@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.functions import vectors as V
-from siftwell.operators import context, evaluation, fusion, lexical, monitoring, ratelimit, records, rerank, vectors
+from siftwell.operators import context, evaluation, fusion, lexical, monitoring, ratelimit, records, rerank, vector_index, vectors
 from siftwell.operators.lexical_index import LexicalIndex
 from siftwell.plans.catalogue import QUERIES, query, table
 from siftwell.plans.text_queries import WORDS
@@ -126,6 +126,15 @@ for _m in _MEASURES:
     _vector_query(_m)
 
 
+@query("vector_index_topk")
+def vector_index_topk(spark, sf_dir):
+    """As vector_cosine_topk from an index of cells and codes, whose probes are fitted to nine in ten of the nearest vectors and more."""
+    own, queries = _vec(spark, sf_dir)
+    index = vector_index.build(own)
+    index.fit_probes(0.95)
+    return index.search(queries, 10)
+
+
 @query("vector_prefilter_topk", _top_sql(_near_sql("cosine", "AND v.label = 3"), 10, _VCOLS, "vec_id"))
 def vector_prefilter_topk(spark, sf_dir):
     own, queries = _vec(spark, sf_dir)
