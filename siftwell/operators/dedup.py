@@ -16,6 +16,10 @@ from siftwell.store import written
 
 #: Buckets of the counts that rule pairs out.
 CHARS, GRAMS = 64, 512
+#: Characters of the runs that are counted exactly for pairs that the buckets leave.
+RUN = 5
+#: Characters of a block of texts.
+BLOCK_CHARS = 4_000_000
 
 
 def fingerprint(text: Column | str = "text") -> Column:
@@ -45,6 +49,29 @@ def _profile(t: str) -> np.ndarray:
     return np.concatenate([np.bincount(c % CHARS, minlength=CHARS), np.bincount(grams % GRAMS, minlength=GRAMS)]).astype(np.int32)
 
 
+class _Runs:
+    """Counts of the runs of RUN characters of texts, made when they are asked for."""
+
+    def __init__(self):
+        self.of: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __call__(self, t: str) -> tuple[np.ndarray, np.ndarray]:
+        if t not in self.of:
+            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            h = np.zeros(max(len(c) - RUN + 1, 0), np.uint64)
+            for j in range(RUN if len(h) else 0):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : len(c) - RUN + 1 + j]
+            self.of[t] = np.unique(h, return_counts=True)
+        return self.of[t]
+
+    def may(self, a: str, b: str, ratio: float) -> bool:
+        """Whether a pair could reach the ratio. A deleted or inserted character takes away at most RUN runs and adds one less."""
+        (x, n), (y, m) = self(a), self(b)
+        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        apart = n.sum() + m.sum() - 2 * np.minimum(n[i], m[j]).sum()
+        return apart <= (2 * RUN - 1) * ((1 - ratio) * (len(a) + len(b)) + 1e-6)
+
+
 def _ratio(text: str, earlier: str, ratio: float) -> float:
     m = SequenceMatcher(None, text, earlier)
     return m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0
@@ -70,7 +97,7 @@ def _links(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
     sizes, profiles = np.array([len(t) for t in texts]), np.stack([_profile(t) for t in texts])
     places = np.arange(len(ids)) if one else np.flatnonzero(~left)
     others, own = profiles[places], sizes[places]
-    root, out = list(range(len(ids))), []
+    root, out, runs = list(range(len(ids))), [], _Runs()
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -83,7 +110,7 @@ def _links(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
             if one and j <= i:
                 continue
             x, y = min(i, j), max(i, j)
-            if find(x) != find(y) and round(_ratio(texts[y], texts[x], ratio), 6) >= ratio:
+            if find(x) != find(y) and runs.may(texts[x], texts[y], ratio) and round(_ratio(texts[y], texts[x], ratio), 6) >= ratio:
                 root[find(y)] = find(x)
                 out.append((ids[x], ids[y]))
     return pd.DataFrame(out, columns=["a", "b"])
@@ -91,14 +118,15 @@ def _links(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
 
 def _dropped(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
     """(a, b, ratio) of each text b that is alike to a kept one, the first of which is a; in the order of ids."""
-    kept, out = [], []
+    kept, out, runs = [], [], _Runs()
     for i, t in rows.sort_values("id")[["id", "t"]].itertuples(index=False):
         p = _profile(t)
         may = _may(p, len(t), np.stack([k[2] for k in kept]), np.array([len(k[1]) for k in kept]), ratio).tolist() if kept else []
         for k in may:
-            r = round(_ratio(t, kept[k][1], ratio), 6)
+            r = round(_ratio(t, kept[k][1], ratio), 6) if runs.may(t, kept[k][1], ratio) else 0.0
             if r >= ratio:
                 out.append((kept[k][0], i, r))
+                runs.of.pop(t, None)
                 break
         else:
             kept.append((i, t, p))
@@ -109,24 +137,24 @@ def alike_pairs(docs: DataFrame, ratio: float = 0.95, doc_id: str = "doc_id", bl
     """(a, b, ratio): each text b whose matching characters reach the ratio with a kept text, and the first such text a.
 
     Texts are kept or dropped in the order of their ids, and each is compared with every kept one, as if by one after the other.
-    Blocks of texts of similar lengths meet all that lengths allow, character and gram counts rule pairs out without loss, and links give
-    connected classes; in a class the order decides.
+    Blocks of texts of similar lengths meet all that lengths allow; counts of characters and of runs of three (in buckets), then of runs of five, rule pairs
+    out without loss, and links give connected classes; in a class the order decides. (A prefix filter of rare runs would not help: a ratio of 0.95 lets every second
+    run of five change, and on the tables here such prefixes share more pairs than there are pairs of texts.)
     """
     own = docs.select(F.col(doc_id).alias("id"), F.array_join(T.split_words("text"), " ").alias("t")).where("t <> ''").groupBy("t").agg(F.min("id").alias("id"))
     # Lengths of a pair are of one band or of two neighbours.
     step = math.log((2 - ratio) / ratio) + 1e-9
     own = written(own.select("id", "t", F.floor(F.log(F.char_length("t").cast("double")) / step).cast("int").alias("band")), "texts")
-    blocks = {r.band: -(-r.n // block) for r in own.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row per band of lengths
-    if not blocks:
-        return own.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("ratio"))
-    meets = []
-    for one in ((b, s) for b in blocks for s in range(blocks[b])):
-        for other in ((c, u) for c in (one[0], one[0] + 1) for u in range(blocks.get(c, 0))):
-            if other >= one:
-                name = f"{one}{other}"
-                meets += [(*one, name, True)] + [(*other, name, False)] * (other != one)
-    n = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("band"))
-    dealt = own.withColumn("salt", F.pmod(F.xxhash64("t"), n).cast("int")).join(own.sparkSession.createDataFrame(meets, "band int, salt int, meet string, left boolean"), ["band", "salt"])
+    # A row for each band of lengths, of which there are as many as the logarithm of the longest text.
+    bands = written(own.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.char_length("t")) / BLOCK_CHARS)).cast("int").alias("blocks")), "bands")
+    slots = bands.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    lower, upper = slots.toDF("band", "salt"), slots.toDF("band2", "salt2")
+    meets = lower.join(upper, (F.col("band2") == F.col("band")) & (F.col("salt2") >= F.col("salt"))).unionByName(lower.join(upper, F.col("band2") == F.col("band") + 1))
+    meets = written(meets.withColumn("meet", F.xxhash64("band", "salt", "band2", "salt2")), "meets")
+    first = meets.select("band", "salt", "meet", F.lit(True).alias("left"))
+    second = meets.where("band <> band2 OR salt <> salt2").select(F.col("band2").alias("band"), F.col("salt2").alias("salt"), "meet", F.lit(False).alias("left"))
+    salted = own.join(F.broadcast(bands), "band").withColumn("salt", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    dealt = salted.join(first.unionByName(second), ["band", "salt"])
     schema = own.schema["id"].dataType.simpleString()
     links = dealt.select("meet", "id", "t", "left").groupBy("meet").applyInPandas(lambda rows: _links(rows, ratio), f"a {schema}, b {schema}")
     named = components(written(links, "links")).select(F.col("node").alias("id"), "label")
