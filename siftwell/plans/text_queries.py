@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from siftwell.functions import privacy as P
 from siftwell.functions import text as T
 from siftwell.functions.stemming import stems
 from siftwell.operators import chunking, context, dedup, records
+from siftwell.operators.ingestion import Registry
 from siftwell.plans.catalogue import query, table
 from siftwell.sources import files
+from siftwell.store import new_path
 
 W = r"'[\p{L}\p{N}_]+'"
 WORDS = rf"regexp_extract_all(lower(coalesce(text, '')), {W})"
@@ -299,6 +303,17 @@ def exact_dedup(spark, sf_dir):
     return dedup.exact(docs(spark, sf_dir)).select("doc_id")
 
 
+@query(
+    "dedup_across_runs",
+    f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {_FINGER} ORDER BY CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END, doc_id) AS rank FROM documents) WHERE rank = 1",
+)
+def dedup_across_runs(spark, sf_dir):
+    """Three runs over the documents, English ones first, then French ones, then all others: what a registry of fingerprints lets through."""
+    own, registry = docs(spark, sf_dir), Registry(spark, new_path(spark, "registry"))
+    runs = (F.col("lang") == "en", F.col("lang") == "fr", F.coalesce(~F.col("lang").isin("en", "fr"), F.lit(True)))
+    return reduce(DataFrame.unionByName, [registry.admit(own.where(r).select("doc_id", "text")).select("doc_id") for r in runs])
+
+
 @query("dup_groups", f"SELECT {_FINGER} AS fingerprint, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
 def dup_groups(spark, sf_dir):
     return dedup.groups(docs(spark, sf_dir)).where("copies > 1")
