@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import privacy as P
 from siftwell.functions import text as T
 from siftwell.functions.stemming import stems
-from siftwell.operators import chunking, context, dedup, records
+from siftwell.operators import chunking, context, dedup, language, records
 from siftwell.operators.ingestion import Registry
 from siftwell.plans.catalogue import query, table
 from siftwell.sources import files
@@ -426,3 +426,19 @@ def conversation_stats(spark, sf_dir):
 @query("export_markdown", "SELECT conv_id, string_agg('**' || upper(role[1]) || role[2:] || '**: ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
 def export_markdown(spark, sf_dir):
     return records.export_markdown(table(spark, sf_dir, "conversations"))
+
+
+@query("document_language")
+def document_language(spark, sf_dir):
+    """The language of each document (null under 50 characters), and with a fallback; the model is fitted on language.SAMPLE documents at most."""
+    own = docs(spark, sf_dir).select("doc_id", "text", "lang")
+    found = language.with_languages(own.select("doc_id", "text"), language.fit(own))
+    detected, fallback = (f(F.col("text"), F.col("languages")).alias(n) for f, n in ((language.language, "language"), (language.language_or, "language_or_en")))
+    return found.select("doc_id", detected, fallback, F.round(F.get("languages", F.lit(0))["prob"], 6).alias("prob"))
+
+
+@query("query_language")
+def query_language(spark, sf_dir):
+    """The language of each benchmark item, as of a query."""
+    found = language.with_languages(table(spark, sf_dir, "benchmark").select("item_id", "text"), language.fit(docs(spark, sf_dir)))
+    return found.select("item_id", language.query_language(F.col("text"), F.col("languages")).alias("language"))
