@@ -1,8 +1,8 @@
 """A stored BM25 index: segments of posting blocks, tombstones, and one small table of versions that says which of them count.
 
-A segment holds documents in blocks of BLOCK, ordered by length, and three tables: `docs` (tokens of each document with its block and slot), `ids` (a row a block: the
-documents and lengths of its slots) and `postings` (a row a token and block: slots and counts, the largest count and the least length), the latter sorted by token and block,
-so a token that all documents have is many rows in many files. Inserts add a segment, deletes a table of tombstones that carries what statistics have to forget, and merging
+A segment holds documents in blocks of BLOCK of like lengths, and three tables: `docs` (tokens of each document with its block and slot), `ids` (a row a block: the
+documents and lengths of its slots) and `postings` (a row a token and block: slots and counts, the largest count and the least length), the latter dealt by the hash of token and
+range of blocks and sorted, so a token that all documents have is many rows in many files. Inserts add a segment, deletes a table of tombstones that carries what statistics have to forget, and merging
 makes one segment of what is left, from tokens that are stored. Each change ends by committing a version; what a crash leaves before that is never read.
 
 A search is exact. What a block can add to a query is bounded by its tokens' largest counts and least lengths under the statistics of now. The most promising blocks of each
@@ -107,18 +107,15 @@ class LexicalIndex:
         """Write a segment of (doc_id, tokens); its row of the state."""
         name = f"segment-{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
-        sized = written(tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens"), "tokens")
-        # Rows of one partition and length range follow each other, so blocks have documents of like lengths.
-        ordered = sized.repartitionByRange("dl", F.xxhash64("doc_id")).sortWithinPartitions("dl").withColumn("row", F.monotonically_increasing_id())
+        # Documents stay in their partitions, where those of like lengths follow each other and make up blocks.
+        ordered = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens").sortWithinPartitions("dl").withColumn("row", F.monotonically_increasing_id())
         placed = ordered.select("doc_id", "dl", "tokens", F.floor(F.col("row") / BLOCK).alias("block"), (F.col("row") % BLOCK).cast("int").alias("slot"))
         placed.write.parquet(f"{at}/docs")
         docs = self.spark.read.parquet(f"{at}/docs")
         docs.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slot", "doc_id", "dl"))).alias("rows")).write.parquet(f"{at}/ids")
-        # One exchange of tokens by block serves both aggregates.
-        counts = docs.select("block", "slot", "dl", "tokens").repartition("block").select("block", "slot", "dl", F.explode("tokens").alias("token"))
-        counts = counts.groupBy("block", "token", "slot").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
-        of = counts.groupBy("block", "token").agg(F.collect_list("slot").alias("slots"), F.collect_list("tf").alias("tfs"), F.max("tf").alias("top_tf"), F.min("dl").alias("least_dl"), F.count("*").cast("int").alias("n"))
-        written(of, "postings").repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.parquet(f"{at}/postings")
+        # Counted where documents are; only posting blocks are shuffled, those of a token to several tasks if they are many.
+        of = docs.select("block", "slot", "dl", "tokens").mapInArrow(_postings, "block long, token string, slots array<int>, tfs array<int>, top_tf int, least_dl long, n int")
+        of.repartition("token", F.floor(F.col("block") / 64)).sortWithinPartitions("token", "block").write.parquet(f"{at}/postings")
         total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
         return "segment", name, total.n, total.length
 
@@ -206,6 +203,31 @@ class LexicalIndex:
         return ordered.mapInArrow(_scores(shared, model, mean, k), f"q int, doc_id {id_kind}, score double")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The posting blocks of each run of documents of a block; a block that was read in two pieces gives a token two rows, with different slots."""
+    for b in batches:
+        for lo in range(0, b.num_rows, BLOCK):
+            own = b.slice(lo, BLOCK)
+            block, slot, dl = (own.column(c).to_numpy().astype(np.int64) for c in ("block", "slot", "dl"))
+            words = own.column("tokens").flatten().dictionary_encode()
+            if not len(words):
+                continue
+            names = words.dictionary
+            row = np.repeat(np.arange(own.num_rows), np.diff(own.column("tokens").offsets.to_numpy()))
+            first = block - block.min()
+            # In the order of blocks, tokens and rows.
+            key, tf = np.unique((first[row] * len(names) + words.indices.to_numpy()) * BLOCK + row, return_counts=True)
+            of, at = key // BLOCK, key % BLOCK
+            start = np.flatnonzero(np.diff(of, prepend=-1))
+            offsets = pa.array(np.append(start, len(of)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (slot[at], tf)]
+            numbers = [np.maximum.reduceat(tf, start).astype(np.int32), np.minimum.reduceat(dl[at], start), np.diff(np.append(start, len(of))).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(of[start] // len(names) + block.min()), names.take(pa.array(of[start] % len(names))), *lists, *map(pa.array, numbers)],
+                ["block", "token", "slots", "tfs", "top_tf", "least_dl", "n"],
+            )
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
     """The rows of each (segment, block); rows come sorted by these."""
     key, held = None, []
