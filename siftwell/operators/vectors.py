@@ -116,10 +116,12 @@ def alike_classes(
     of = blocks.agg(F.sum(F.length("vectors")).alias("bytes")).first()
     small = (of.bytes or 0) <= BROADCAST_BYTES
     side = lambda p: blocks.select(F.col("block").alias(p), F.col("ids").alias(f"{p}_ids"), F.col("copies").alias(f"{p}_n"), F.col("vectors").alias(f"{p}_v"))
-    met = pairs.repartition("a", "b").join(F.broadcast(side("a")) if small else side("a").hint("merge"), "a").join(F.broadcast(side("b")) if small else side("b").hint("merge"), "b")
+    # A task for each 20 million comparisons: a pair is two short numbers, but a product of blocks.
+    compared = pairs.agg(F.sum("compared")).first()[0] or 0
+    met = pairs.repartition(max(1, min(compared // 20_000_000, 50_000)), "a", "b").join(F.broadcast(side("a")) if small else side("a").hint("merge"), "a").join(F.broadcast(side("b")) if small else side("b").hint("merge"), "b")
     if report is not None:
         n = one.count()
-        report |= {"pairs": n * (n - 1) // 2, "compared": pairs.agg(F.sum("compared")).first()[0] or 0}
+        report |= {"pairs": n * (n - 1) // 2, "compared": compared}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,7 +155,7 @@ def alike_classes(
 def _rings(one: DataFrame, least: float, metric: str, size: int) -> tuple[DataFrame, DataFrame]:
     """Blocks (block, ids, copies, vectors) of at most size vectors, and the pairs (a, b, compared) of them that have to meet, each once."""
     prune = metric == "cosine" and least > 0
-    c = centres(one) if prune else np.zeros((0, 0))
+    c = centres(one, cells=256, sample=10_000) if prune else np.zeros((0, 0))
     prune = prune and len(c) > 1
     shared = one.sparkSession.sparkContext.broadcast(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) if prune else c)
 
