@@ -63,8 +63,10 @@ class Model:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of at most sample documents with a language, in the order of a hash of their id."""
-    own = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
+    """A model of the documents with a language of at most sample ids, in the order of a hash; rows of an id all count, those without one do not."""
+    whole = docs.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(doc_id).alias("h"), lang, text)
+    # Only hashes go to one task; at most sample numbers are broadcast.
+    own = whole.join(F.broadcast(whole.select("h").distinct().orderBy("h").limit(sample)), "h", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
