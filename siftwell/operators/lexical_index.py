@@ -110,12 +110,12 @@ class LexicalIndex:
         # Documents stay in their partitions, where those of like lengths follow each other and make up blocks.
         ordered = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens").sortWithinPartitions("dl").withColumn("row", F.monotonically_increasing_id())
         placed = ordered.select("doc_id", "dl", "tokens", F.floor(F.col("row") / BLOCK).alias("block"), (F.col("row") % BLOCK).cast("int").alias("slot"))
-        placed.write.parquet(f"{at}/docs")
+        placed.write.option("compression", "zstd").parquet(f"{at}/docs")
         docs = self.spark.read.parquet(f"{at}/docs")
-        docs.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slot", "doc_id", "dl"))).alias("rows")).write.parquet(f"{at}/ids")
+        docs.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slot", "doc_id", "dl"))).alias("rows")).write.option("compression", "zstd").parquet(f"{at}/ids")
         # Counted where documents are; only posting blocks are shuffled, those of a token to several tasks if they are many.
         of = docs.select("block", "slot", "dl", "tokens").mapInArrow(_postings, "block long, token string, slots array<int>, tfs array<int>, top_tf int, least_dl long, n int")
-        of.repartition("token", F.floor(F.col("block") / 64)).sortWithinPartitions("token", "block").write.parquet(f"{at}/postings")
+        of.repartition("token", F.floor(F.col("block") / 64)).sortWithinPartitions("token", "block").write.option("compression", "zstd").parquet(f"{at}/postings")
         total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
         return "segment", name, total.n, total.length
 
@@ -124,7 +124,7 @@ class LexicalIndex:
         if live is None:
             return None
         name = f"gone-{uuid.uuid4().hex}"
-        live.join(ids.distinct(), "doc_id", "left_semi").select("segment", "block", "slot", "dl", F.array_distinct("tokens").alias("terms")).write.parquet(f"{self.path}/{name}/rows")
+        live.join(ids.distinct(), "doc_id", "left_semi").select("segment", "block", "slot", "dl", F.array_distinct("tokens").alias("terms")).write.option("compression", "zstd").parquet(f"{self.path}/{name}/rows")
         total = self.spark.read.parquet(f"{self.path}/{name}/rows").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
         return ("gone", name, total.n, total.length) if total.n else None
 
