@@ -13,13 +13,16 @@ buckets with the same members one is kept. Pairs in a bucket are compared exactl
 1. Every node meets one hub: of its buckets' most connected nodes (those whose buckets have most members) the
    most connected. A copy meets what it was copied from, so a group of near copies, however large, becomes one
    class with a comparison a node.
-2. Buckets that still hold several classes are dealt to tasks as blocks: those outside the bucket's largest class
+2. Buckets that still hold several classes, but too many members outside the largest class for one slot, are exchanged for
+   finer ones: with the shingles of each node in one order, the rarest first, two nodes of the similarity share one of so many first
+   shingles as their sizes fix. Nodes meet by pairs of size classes and such a shingle, so what a template gives to
+   all of them brings none together. This loses nothing, whatever the order is.
+3. Buckets of several classes are dealt to tasks as blocks: those outside the bucket's largest class
    meet each other and that class. A block compares all pairs by products of its members' shingle
    vectors and passes on only which classes it connects, at most a row a member.
 
-Each text is sent once a block, never once a pair, and no table of pairs is made. What is left of the square of a bucket
-is in step 2: arithmetic for each pair of a member outside its largest class and any other, and a text is sent once for each SLOT of
-the members outside. Two documents of the similarity that share no
+Each text is sent once a block, never once a pair, and no table of pairs is made. Only nodes that share rare shingles with
+more than SLOT others of other classes, without being alike, are still sent more than once for each bucket. Two documents of the similarity that share no
 bucket are missed, with a chance of 6 in 100,000 at a similarity of 0.8; nothing else is.
 
 Rows with equal id and text are one document. Documents without words, and nulls, are in a class of their own.
@@ -53,6 +56,8 @@ SLOT, SLOT_SHINGLES = 1024, 1_000_000
 PER_HUB = 512
 #: Cells of the shingle vectors multiplied at once.
 CELLS = 2_000_000
+#: Cells of the table that counts shingles of crowded buckets, of one byte each; it only orders shingles, so cells may be shared.
+COUNTERS = 1 << 20
 _FINE = 6
 
 
@@ -243,7 +248,8 @@ def hub_links(pairs: DataFrame, n: int, texts: DataFrame, size: int, similarity:
                 if turn[i] == 0:
                     hub, has = a[i], x
                 else:
-                    assert a[i] == hub
+                    if a[i] != hub:
+                        raise ValueError(f"texts of hub {a[i]} came without it")
                     good[i] = _alike(_common(has, x), len(has) + len(x), similarity)
             at = pa.array(good)
             yield pa.RecordBatch.from_arrays([t.column(0).filter(at), t.column(3).filter(at)], ["a", "b"])
@@ -303,11 +309,10 @@ def _block_links(label: np.ndarray, sets: list[np.ndarray], similarity: float) -
     return names[to[moved]], names[moved]
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """(bucket, i, j, id, label): the members of each block of the buckets with several labels.
+def _open(members: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, major, outer, inner) of the buckets of several labels, and how many: the largest class, the slots of the other members, and its own.
 
-    Slots hold members outside the bucket's largest class first, then that class; block (i, j) is slots i and j, where i is
-    one of the first kind. A bucket that fits into one slot is block (0, 0).
+    A bucket that fits into one slot has one outer slot and no inner one.
     """
     per = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t"))
     top = F.max_by(F.struct("label", "n", "t"), F.struct("n", "label"))
@@ -316,7 +321,110 @@ def _blocks(members: DataFrame) -> DataFrame:
     one = (F.col("n") <= SLOT) & (F.col("t") <= SLOT_SHINGLES)
     outer = F.when(one, 1).otherwise(slots(F.col("n") - F.col("m.n"), F.col("t") - F.col("m.t")))
     inner = F.when(one, 0).otherwise(slots(F.col("m.n"), F.col("m.t")))
-    open_, n_open = stored(of.select("bucket", F.col("m.label").alias("major"), outer.alias("outer"), inner.alias("inner")), "open_buckets")
+    return stored(of.select("bucket", F.col("m.label").alias("major"), outer.alias("outer"), inner.alias("inner")), "open_buckets")
+
+
+def size_classes(most: int) -> np.ndarray:
+    """The least size of each class of sizes from 1 to at least most; a class is one size, or spans up to a 16th."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] + max(1, out[-1] // 16))
+    return np.array(out, np.int64)
+
+
+def prefixes(n: int, classes: np.ndarray, similarity: float) -> list[tuple[int, int, int, int]]:
+    """(class of the shorter, of the longer, side, length): of a set of n the first elements, in any fixed order, that a partner must share one of.
+
+    Sets of n and m have the similarity only if they share similarity / (1 + similarity) of n + m elements; of two sets that share c,
+    the first n - c + 1 and m - c + 1 elements meet. Side is 0 for the shorter's class, 1 for the longer's, 2 where they are the same.
+    """
+    own = int(np.searchsorted(classes, n, "right")) - 1
+    out = []
+    for other in range(own, -1, -1):
+        if other < own and classes[other + 1] - 1 < similarity * n - 1e-6:
+            break
+        out.append((other, own, 2 if other == own else 1, max(int(classes[other]), math.ceil(similarity * n - 1e-6))))
+    for other in range(own + 1, len(classes)):
+        if similarity * classes[other] > n + 1e-6:
+            break
+        out.append((own, other, 0, int(classes[other])))
+    made = []
+    for a, b, side, least in out:
+        length = n - max(1, math.ceil((similarity * (n + least) - 1e-6) / (1 + similarity))) + 1
+        if length > 0:
+            made.append((a, b, side, min(length, n)))
+    return made
+
+
+def shingle_counts(texts: DataFrame, size: int, weighted: bool) -> np.ndarray:
+    """How often each of COUNTERS cells is hit by the sets of texts, as four times its binary logarithm."""
+
+    def run(batches):
+        n = np.zeros(COUNTERS, np.int64)
+        for t in batches:
+            for x in shingle_sets(t.column(0), size, weighted):
+                np.add.at(n, (x % K.U64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], ["cell", "n"])
+
+    t = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.uint8)
+    out[t["cell"].to_numpy()] = np.minimum(255, 4 * np.log2(t["n"].to_numpy())).astype(np.uint8) + 1
+    return out
+
+
+def rare_members(texts: DataFrame, counts: np.ndarray, size: int, similarity: float, weighted: bool) -> DataFrame:
+    """(bucket, side, id, label, n_shingles) of texts (id, label, text): a row for each first shingle that a partner must share."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        names = ["bucket", "side", "id", "label", "n_shingles"]
+        for t in batches:
+            own = [np.array(t.column(i).to_pylist(), np.int64) for i in (0, 1)]
+            for i, x in enumerate(shingle_sets(t.column(2), size, weighted)):
+                x = x[np.lexsort((x, shared.value[(x % K.U64(COUNTERS)).astype(np.int64)]))]
+                made = prefixes(len(x), size_classes(2 * len(x)), similarity) if len(x) else []
+                if not made:
+                    continue
+                key = np.concatenate([K.mix(x[:n] ^ K.mix(np.array([(a << 20) + b + 1], K.U64))) for a, b, _, n in made])
+                side = np.repeat([m[2] for m in made], [m[3] for m in made])
+                rest = [np.full(len(key), v, np.int64) for v in (own[0][i], own[1][i], len(x))]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(side.astype(np.int32)), *map(pa.array, rest)], names)
+
+    return texts.select("id", "label", "text").mapInArrow(run, "bucket long, side int, id long, label long, n_shingles long")
+
+
+def refined(members: DataFrame, texts: DataFrame, size: int, similarity: float, weighted: bool) -> DataFrame:
+    """members (bucket, id, n_shingles, label), the buckets with several slots outside their largest class exchanged for those of rare shingles.
+
+    Links between different labels within a bucket are the same before and after.
+    """
+    open_, _ = _open(members)
+    crowded, n = stored(open_.where("outer > 1").select("bucket"), "crowded")
+    if not n:
+        return members
+    ids, n_ids = stored(members.join(by_size(crowded, n), "bucket").select("id", "label").distinct(), "crowded_nodes")
+    own = written(texts.join(by_size(ids, n_ids), "id").select("id", "label", "text"), "crowded_texts")
+    rare = rare_members(own, shingle_counts(own, size, weighted), size, similarity, weighted)
+    # Most first shingles are a node's own, so little passes the first of these two.
+    of = rare.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("side").alias("s"), F.max("side").alias("t"))
+    shared, n_shared = stored(of.where("a < b AND (s < t OR s = 2)").select("bucket"), "rare_buckets")
+    met = written(rare.join(by_size(shared, n_shared), "bucket").select("bucket", "id", "label", "n_shingles"), "rare_members")
+    same = met.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    kept, n_kept = stored(same.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "rare_kept")
+    rest = members.join(by_size(crowded, n), "bucket", "left_anti").select("bucket", "id", "label", "n_shingles")
+    return written(rest.unionByName(met.join(by_size(kept, n_kept), "bucket").select("bucket", "id", "label", "n_shingles")), "refined")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(bucket, i, j, id, label): the members of each block of the buckets with several labels.
+
+    Slots hold members outside the bucket's largest class first, then that class; block (i, j) is slots i and j, where i is
+    one of the first kind. A bucket that fits into one slot is block (0, 0).
+    """
+    open_, n_open = _open(members)
     named = members.join(by_size(open_, n_open), "bucket")
     h, first, all_ = F.xxhash64("id"), (F.col("inner") == 0) | (F.col("label") != F.col("major")), F.col("outer") + F.col("inner")
     slot = F.when(first, F.pmod(h, F.col("outer"))).otherwise(F.col("outer") + F.pmod(h, F.col("inner"))).cast("int")
@@ -376,7 +484,8 @@ def classes(
         texts = written(lowered.select("_k1", "_k2", "text").join(by_size(needed, n_needed), ["_k1", "_k2"]).dropDuplicates(["id"]).select("id", "text"), "texts")
         pairs, n = hub_pairs(members)
         labels, n_labels = _merge(None, 0, written(hub_links(pairs, n, texts, size, similarity, weighted), "links"))
-        labels, n_labels = _merge(labels, n_labels, written(block_links(_label(labels, n_labels, members), texts, size, similarity, weighted), "links"))
+        finer = refined(_label(labels, n_labels, members), texts, size, similarity, weighted)
+        labels, n_labels = _merge(labels, n_labels, written(block_links(finer, texts, size, similarity, weighted), "links"))
     every = rows.select("_k1", "_k2", "doc_id", "node", "node2")
     pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b") if b else F.lit(0).cast("long").alias("b"))
     if not n_labels:

@@ -186,3 +186,45 @@ def test_recall_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: r.class_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_classes(rows)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.93])
+def test_alike_sets_share_a_first_element(similarity):
+    """For all sizes up to 60 and the least overlap, in the worst order: the shared elements last."""
+    classes = M.size_classes(1000)
+    for a in range(1, 61):
+        for b in range(a, 61):
+            c = next((c for c in range(a + 1) if M._alike(np.array(c), a + b, similarity)), None)
+            if c is None:
+                continue
+            own = {(x, y): n for x, y, _, n in M.prefixes(a, classes, similarity)}
+            other = {(x, y): n for x, y, _, n in M.prefixes(b, classes, similarity)}
+            key = tuple(int(np.searchsorted(classes, n, "right")) - 1 for n in (a, b))
+            assert own[key] >= a - c + 1 and other[key] >= b - c + 1, (a, b)
+
+
+def unlike_texts(n):
+    """Texts that share 190 of 235 words: alike by 0.67, no two in a class; and pairs of copies among them."""
+    rnd = random.Random(11)
+    template = [f"t{i}" for i in range(190)]
+    out = [(i, " ".join(template + [f"u{rnd.randrange(10**9)}" for _ in range(45)])) for i in range(n)]
+    return out + [(n + i, out[i * 7][1] + " end") for i in range(n // 40)]
+
+
+def test_blocks_grow_with_members(spark, monkeypatch):
+    """A bucket of unlike texts isn't sent with its square, and copies in it are found."""
+    monkeypatch.setattr(M, "SLOT", 64)
+    seen, blocks = [], M._blocks
+
+    def counted(members):
+        out = blocks(members)
+        seen.append((members.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(M, "_blocks", counted)
+    for n in (400, 1600):
+        rows = unlike_texts(n)
+        got = {r.doc_id: r.class_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {**{i: i for i in range(n)}, **{n + i: i * 7 for i in range(n // 40)}}
+    (few, few_rows), (many, many_rows) = seen
+    assert few_rows <= few and many_rows <= many and many < 6 * few
