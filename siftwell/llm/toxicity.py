@@ -213,6 +213,12 @@ class Decoder:
 
 def suspects(s: K.Slice, data: np.ndarray) -> list[tuple[int, str, bool]]:
     """(text, span, spaced) of each span of lower-cased data that looks disguised."""
+    raw = data.tobytes()
+    return [(d, raw[i:j].decode("utf-8", "ignore"), spaced) for d, i, j, spaced in suspect_places(s, data)]
+
+
+def suspect_places(s: K.Slice, data: np.ndarray) -> list[tuple[int, int, int, bool]]:
+    """(text, start, end, spaced) in bytes of data of each span that looks disguised."""
     n, out = len(data), []
     if n < 2:
         return out
@@ -225,11 +231,10 @@ def suspects(s: K.Slice, data: np.ndarray) -> list[tuple[int, str, bool]]:
     hit[:-1] = (sign[:-1] & other[1:] | other[:-1] & sign[1:]) & ~last[:-1]
     hit[:-2] |= _LETTER[data[:-2]] & (data[:-2] == data[1:-1]) & (data[:-2] == data[2:]) & inner
     at = np.flatnonzero(hit)
-    raw = data.tobytes()
     if len(at):
         w = K.find_words(s, _SPAN, data)
         for i in np.unique(np.searchsorted(w.start, at, "right") - 1).tolist():
-            out.append((int(w.doc[i]), raw[w.start[i] : w.end[i]].decode("utf-8", "ignore"), False))
+            out.append((int(w.doc[i]), int(w.start[i]), int(w.end[i]), False))
     # By characters: single ones with nothing but separators, one or more, between them.
     start = np.flatnonzero((data & 0xC0) != 0x80)
     end = np.append(start[1:], n)
@@ -247,7 +252,7 @@ def suspects(s: K.Slice, data: np.ndarray) -> list[tuple[int, str, bool]]:
     first, final = one[~link[:-1] & link[1:]], one[link[:-1] & ~link[1:]]
     long = np.searchsorted(one, final) - np.searchsorted(one, first) >= 2
     for i, j in zip(first[long].tolist(), final[long].tolist()):
-        out.append((int(doc[i]), raw[start[i] : end[j]].decode("utf-8", "ignore"), True))
+        out.append((int(doc[i]), int(start[i]), int(end[j]), True))
     return out
 
 
@@ -417,7 +422,10 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score",
 
 
 def restore(df: DataFrame, model: Model, text: str = "text", name: str = "restored", keep: list[str] | None = None) -> DataFrame:
-    """df with each text in lower case, its disguised spans replaced by what they decode to; null stays null."""
+    """df with each text in lower case, its disguised spans replaced by what they decode to; null stays null.
+
+    Of spans that overlap the one that starts first is replaced, of these the longest.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
@@ -425,10 +433,13 @@ def restore(df: DataFrame, model: Model, text: str = "text", name: str = "restor
         m.decoder = m.decoder or Decoder(m.cost)
         for t in texts.to_pylist():
             if t is not None:
-                t = t.lower()
-                raw = np.frombuffer(t.encode(), np.uint8)
-                for _, span, _ in suspects(K.Slice(0, 1, raw, np.array([0, len(raw)])), raw):
-                    t = t.replace(span, m.decoder(span), 1)
+                raw = t.lower().encode()
+                data, parts, done = np.frombuffer(raw, np.uint8), [], 0
+                for i, j in sorted(((i, j) for _, i, j, _ in suspect_places(K.Slice(0, 1, data, np.array([0, len(data)])), data)), key=lambda x: (x[0], -x[1])):
+                    if i >= done:
+                        parts += [raw[done:i].decode(), m.decoder(raw[i:j].decode("utf-8", "ignore"))]
+                        done = j
+                t = "".join(parts) + raw[done:].decode()
             out.append(t)
         return [pa.array(out, pa.string())]
 

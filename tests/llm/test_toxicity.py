@@ -83,6 +83,16 @@ def test_held_out_accuracy_and_disguises(spark, fitted):
     assert T.restore(spark.createDataFrame([("AN idiiiot",), (None,)], "text string"), m).collect()[1].restored is None
 
 
+def test_restore_replaces_the_span_and_nothing_else(spark, fitted):
+    """A span that also stands inside other words, spans with letters of several bytes around, and repeated spans."""
+    m = fitted[2]
+    texts = ["hi d it, so: i d i.", "é hi d iö x ü i d i é", "1d10t ok 1d10t", "plain"]
+    got = [r.restored for r in T.restore(spark.createDataFrame([(t,) for t in texts], "text string"), m).collect()]
+    word, twice = T.Decoder(m.cost)("i d i"), T.Decoder(m.cost)("1d10t")
+    assert got[0] == f"hi d it, so: {word}." and got[2] == f"{twice} ok {twice}" and got[3] == "plain"
+    assert got[1].startswith("é hi d iö ") and got[1] != texts[1]
+
+
 def test_odd_tables(spark, fitted):
     docs = spark.createDataFrame([(1, "a", "x"), (None, None, "x"), (1, "a", "x"), (2, "", None), (3, "q" * 100_000, None)], "doc_id long, text string, SCORE string")
     none = spark.createDataFrame([(None, None)], "doc_id long, toxic int")
