@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import privacy as P
 from siftwell.functions import text as T
 from siftwell.functions import vectors as V
-from siftwell.operators import caching, context, evaluation, monitoring, records, vectors
+from siftwell.operators import caching, context, evaluation, monitoring, records, sketches, vectors
 from siftwell.plans.catalogue import query, table
 from siftwell.plans.text_queries import SPLIT, STRIP
 from siftwell.sources import files
@@ -279,6 +279,24 @@ def alerts_daily(spark, sf_dir):
     return monitoring.alerts(per, rules, ["day"]).withColumn("value", F.round("value", 6))
 
 
+_SLICED = "SELECT event_type, date_trunc('hour', ts) AS bucket, sign(value)::BIGINT * ((v >> k) << k) AS slice FROM (SELECT *, greatest(length(CASE WHEN v = 0 THEN '0' ELSE ltrim(bin(v), '0') END) - 7, 0)::INTEGER AS k FROM (SELECT *, floor(abs(value) * 1000)::BIGINT AS v FROM events WHERE value IS NOT NULL AND ts IS NOT NULL))"
+_WINDOWS = f"SELECT event_type, bucket + h * INTERVAL 1 HOUR AS until, slice FROM ({_SLICED}), (SELECT unnest(range(1, 25)) AS h)"
+_RANKED = f"SELECT event_type, until, slice, row_number() OVER (PARTITION BY event_type, until ORDER BY slice) - 1 AS r, count(*) OVER (PARTITION BY event_type, until) AS n FROM ({_WINDOWS})"
+_ROLLED = f"SELECT event_type, until::TIMESTAMP AS until, max(n)::BIGINT AS n, " + ", ".join(f"max(CASE WHEN r = round_even({p / 100} * (n - 1), 0) THEN slice END) / 1000.0::DOUBLE AS p{p}" for p in (50, 95, 99)) + f" FROM ({_RANKED}) GROUP BY event_type, until"
+
+
+@query("rolling_percentiles", _ROLLED)
+def rolling_percentiles(spark, sf_dir):
+    """Percentiles of 24 hours to each full hour, merged from sketches of hours."""
+    own = sketches.windows(sketches.sketched(_events(spark, sf_dir), ["event_type"]), ["event_type"])
+    return sketches.quantiles(own, ["event_type", "until"], [50, 95, 99]).withColumn("until", F.col("until").cast("timestamp_ntz"))
+
+
+@query("rolling_percentile_alerts", f"SELECT * FROM ({_ROLLED}) WHERE p95 > 160 OR p50 > 36")
+def rolling_percentile_alerts(spark, sf_dir):
+    return sketches.breaches(rolling_percentiles(spark, sf_dir), {"p95": 160.0, "p50": 36.0})
+
+
 @query("audit_log", f"SELECT conv_id, turn, sha256(q) AS query_hash, NULL::VARCHAR AS query_text, length(q)::BIGINT AS query_length, length(r)::BIGINT AS response_length FROM (SELECT a.conv_id, a.turn, coalesce(q.text, '') AS q, coalesce(a.text, '') AS r, TIMESTAMP '{DAY}' - (a.conv_id % 60) * INTERVAL 1 DAY AS ts FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND q.turn = a.turn - 1 WHERE a.role = 'assistant') WHERE ts >= TIMESTAMP '{DAY}' - INTERVAL 30 DAY")
 def audit_log(spark, sf_dir):
     """Questions and answers without their texts; entries of 30 days are kept."""
