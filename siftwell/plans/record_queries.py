@@ -11,7 +11,8 @@ from siftwell.functions import vectors as V
 from siftwell.operators import caching, context, evaluation, monitoring, records, sketches, vectors
 from siftwell.plans.catalogue import query, table
 from siftwell.plans.text_queries import SPLIT, STRIP
-from siftwell.sources import files
+from siftwell.sources import files, typed
+from siftwell.store import new_path
 
 DAY = "2024-01-31 00:00:00"
 
@@ -118,6 +119,31 @@ def route_by_type(spark, sf_dir):
     return files.parsed(own).select("doc_id", "parser", F.md5("text").alias("text_md5"))
 
 
+_ORDER = "o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice, md5(o_orderpriority) AS priority_md5"
+
+
+@query("typed_records", " UNION ALL ".join(f"SELECT '{k}' AS kind, {_ORDER} FROM orders" for k in ("csv", "json", "xml")))
+def typed_records(spark, sf_dir):
+    """Orders as CSV, JSON and XML files, read back as records whose types are inferred."""
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    out = []
+    for kind, more in (("csv", {"header": "true"}), ("json", {}), ("xml", {"rowTag": "row"})):
+        at = new_path(spark, f"orders-{kind}")
+        own.write.format(kind).options(**more).save(at)
+        good, _ = typed.records(spark, at, kind)
+        out.append(good.select(F.lit(kind).alias("kind"), "o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"), F.md5("o_orderpriority").alias("priority_md5")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("json_documents", "SELECT doc_id, lang, n_chars, md5(text) AS text_md5, length(text)::BIGINT AS n FROM documents")
+def json_documents(spark, sf_dir):
+    """Whole documents as JSON lines, read back as typed records."""
+    at = new_path(spark, "documents-json")
+    docs(spark, sf_dir).select("doc_id", "text", "lang", "n_chars").write.json(at)
+    good, _ = typed.records(spark, at, "json")
+    return good.select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"), F.char_length("text").cast("long").alias("n"))
+
+
 @query("page_merge", "SELECT conv_id, md5(string_agg(chr(10) || chr(10) || '--- Page ' || turn || ' ---' || chr(10) || chr(10) || coalesce(text, '') || CASE WHEN role = 'user' THEN chr(10) || chr(10) || '[TABLE]' || chr(10) || 'a | b' || chr(10) ELSE '' END, '' ORDER BY turn)) AS content_md5 FROM conversations GROUP BY conv_id")
 def page_merge(spark, sf_dir):
     """Turns stand for pages; those of users have a table."""
