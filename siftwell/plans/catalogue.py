@@ -34,4 +34,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["hybrid_context"](spark, sf_dir)
 
 
-from siftwell.plans import record_queries, retrieval_queries, text_queries  # noqa: E402, F401  (they register themselves)
+from siftwell.plans import feedback_queries, record_queries, retrieval_queries, text_queries  # noqa: E402, F401  (they register themselves)
