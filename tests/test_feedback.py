@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.functions import text as T
 from siftwell.operators import evaluation, expansion, pair_scorer
 from siftwell.plans import feedback_queries
 
@@ -55,6 +56,8 @@ def test_shared_runs(spark, monkeypatch, most):
     own = spark.createDataFrame(rows, "doc_id long, text string")
     asked = spark.createDataFrame([(7, "q a b c d e"), (8, "a b c d"), (9, None)], "query_id long, text string")
     assert sorted((r.query_id, r.doc_id) for r in evaluation.shares_run(own, asked).collect()) == [(7, 1), (7, 5)]
+    each = own.crossJoin(asked.withColumnRenamed("text", "query")).withColumns({"_d": T.words("text"), "_q": T.words("query")}).where(evaluation.has_run_of(F.col("_d"), F.col("_q")))
+    assert sorted((r.query_id, r.doc_id) for r in each.collect()) == [(7, 1), (7, 5)]
 
 
 def test_features(spark):
