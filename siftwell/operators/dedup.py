@@ -18,6 +18,10 @@ from siftwell.store import written
 CHARS, GRAMS = 64, 512
 #: Characters of the runs that are counted exactly for pairs that the buckets leave.
 RUN = 5
+#: Characters of the runs that are counted exactly for the pairs that these leave.
+CLOSER = (2, 3)
+#: Pairs of equal characters of two texts that are held at once; texts with more go through SequenceMatcher.
+MATCHES = 2_000_000
 #: Characters of a block of texts.
 BLOCK_CHARS = 4_000_000
 
@@ -49,32 +53,124 @@ def _profile(t: str) -> np.ndarray:
     return np.concatenate([np.bincount(c % CHARS, minlength=CHARS), np.bincount(grams % GRAMS, minlength=GRAMS)]).astype(np.int32)
 
 
+def _runs(t: str, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """The different runs of characters, by 64-bit hashes, and their counts."""
+    c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h = np.zeros(max(len(c) - run + 1, 0), np.uint64)
+    for j in range(run if len(h) else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : len(c) - run + 1 + j]
+    return np.unique(h, return_counts=True)
+
+
 class _Runs:
-    """Counts of the runs of RUN characters of texts, made when they are asked for."""
+    """Counts of the runs of some numbers of characters of texts, made when they are asked for."""
 
-    def __init__(self):
-        self.of: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, sizes: tuple[int, ...] = (RUN,)):
+        self.sizes, self.of = sizes, {}
 
-    def __call__(self, t: str) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, t: str) -> list[tuple[np.ndarray, np.ndarray]]:
         if t not in self.of:
-            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-            h = np.zeros(max(len(c) - RUN + 1, 0), np.uint64)
-            for j in range(RUN if len(h) else 0):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : len(c) - RUN + 1 + j]
-            self.of[t] = np.unique(h, return_counts=True)
+            self.of[t] = [_runs(t, r) for r in self.sizes]
         return self.of[t]
 
     def may(self, a: str, b: str, ratio: float) -> bool:
-        """Whether a pair could reach the ratio. A deleted or inserted character takes away at most RUN runs and adds one less."""
-        (x, n), (y, m) = self(a), self(b)
-        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        apart = n.sum() + m.sum() - 2 * np.minimum(n[i], m[j]).sum()
-        return apart <= (2 * RUN - 1) * ((1 - ratio) * (len(a) + len(b)) + 1e-6)
+        """Whether a pair could reach the ratio. A deleted or inserted character takes away at most as many runs as a run has characters, and adds one less."""
+        for r, (x, n), (y, m) in zip(self.sizes, self(a), self(b)):
+            _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            apart = n.sum() + m.sum() - 2 * np.minimum(n[i], m[j]).sum()
+            if apart > (2 * r - 1) * ((1 - ratio) * (len(a) + len(b)) + 1e-6):
+                return False
+        return True
+
+
+class _SharedRuns:
+    """The runs of RUN characters of a block's texts, each with the texts that have it, so one look tells how many a text shares with every other."""
+
+    def __init__(self, texts: list[str], places: np.ndarray):
+        own = [_runs(texts[i]) for i in places.tolist()]
+        keys, n = (np.concatenate([x[k] for x in own]) if own else np.zeros(0, np.int64) for k in (0, 1))
+        text = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x, _ in own])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.start = np.unique(keys[order], return_index=True)
+        self.end = np.append(self.start[1:], len(keys))
+        self.text, self.n, self.size = text[order], n[order].astype(np.int32), len(own)
+
+    def with_all(self, t: str) -> np.ndarray:
+        """How many runs, counted as often as both have them, t shares with each text."""
+        x, n = _runs(t)
+        at = np.searchsorted(self.keys, x)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == x[known]
+        at, n = at[known], n[known]
+        each = self.end[at] - self.start[at]
+        shared, upto, first = np.zeros(self.size), np.cumsum(each), 0
+        while first < len(at):
+            # A million at once.
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + 1_000_000, "right")))
+            many = each[first:last]
+            place = np.arange(many.sum()) + np.repeat(self.start[at[first:last]] - np.cumsum(many) + many, many)
+            shared += np.bincount(self.text[place], np.minimum(self.n[place], np.repeat(n[first:last], many)), self.size)
+            first = last
+        return shared
+
+
+def _common(a: str, b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(place in a, place in b, length) of all runs of characters that a and b share, of those characters that SequenceMatcher starts from; None if they are too many."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) for t in (a, b))
+    names, of, n = np.unique(y, return_inverse=True, return_counts=True)
+    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    # A text of 200 characters and more has popular ones, which only prolong a match.
+    i = np.flatnonzero((names[at] == x) & ((n[at] <= len(b) // 100 + 1) | (len(b) < 200)))
+    each = n[at[i]]
+    if each.sum() > MATCHES:
+        return None
+    place = np.arange(each.sum()) + np.repeat((np.cumsum(n) - n)[at[i]] - np.cumsum(each) + each, each)
+    i = np.repeat(i, each)
+    key = np.sort((np.argsort(of, kind="stable")[place] - i + len(a)) * (len(a) + 1) + i)
+    start = np.flatnonzero(np.diff(key, prepend=-2) != 1)
+    i = key[start] % (len(a) + 1)
+    return i, key[start] // (len(a) + 1) - len(a) + i, np.diff(np.append(start, len(key)))
 
 
 def _ratio(text: str, earlier: str, ratio: float) -> float:
-    m = SequenceMatcher(None, text, earlier)
-    return m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0
+    """SequenceMatcher's ratio, or 0 where that doesn't reach ratio. Its longest matches are picked from runs that are found at once, and it ends when what is left is too short."""
+    m = SequenceMatcher(None, text, "")
+    total = len(text) + len(earlier)
+    if not text or not earlier or 2 * min(len(text), len(earlier)) / total < ratio:
+        return 0.0
+    runs = _common(text, earlier)
+    if runs is None:
+        m.set_seq2(earlier)
+        return m.ratio() if m.quick_ratio() >= ratio else 0.0
+    a, b, matched, open_ = text, earlier, 0, min(len(text), len(earlier))
+    todo = [(0, len(a), 0, len(b), *runs)]
+    while todo:
+        alo, ahi, blo, bhi, i, j, n = todo.pop()
+        lo, hi = np.maximum(np.maximum(alo - i, blo - j), 0), np.minimum(np.minimum(ahi - i, bhi - j), n)
+        inside = hi > lo
+        i, j, n = (i + lo)[inside], (j + lo)[inside], (hi - lo)[inside]
+        x, y, k = alo, blo, 0
+        if len(n):
+            k = int(n.max())
+            most = np.flatnonzero(n == k)
+            first = most[np.lexsort((j[most], i[most]))[0]] if len(most) > 1 else most[0]
+            x, y = int(i[first]), int(j[first])
+        while x > alo and y > blo and a[x - 1] == b[y - 1]:
+            x, y, k = x - 1, y - 1, k + 1
+        while x + k < ahi and y + k < bhi and a[x + k] == b[y + k]:
+            k += 1
+        open_ -= min(ahi - alo, bhi - blo)
+        if k:
+            matched += k
+            if alo < x and blo < y:
+                open_ += min(x - alo, y - blo)
+                todo.append((alo, x, blo, y, i, j, n))
+            if x + k < ahi and y + k < bhi:
+                open_ += min(ahi - x - k, bhi - y - k)
+                todo.append((x + k, ahi, y + k, bhi, i, j, n))
+        if 2 * (matched + open_) / total < ratio - 1e-6:
+            return 0.0
+    return 2.0 * matched / total
 
 
 def _may(p: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, ratio: float) -> np.ndarray:
@@ -97,7 +193,8 @@ def _links(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
     sizes, profiles = np.array([len(t) for t in texts]), np.stack([_profile(t) for t in texts])
     places = np.arange(len(ids)) if one else np.flatnonzero(~left)
     others, own = profiles[places], sizes[places]
-    root, out, runs = list(range(len(ids))), [], _Runs()
+    root, out, runs, shared = list(range(len(ids))), [], _Runs(CLOSER), _SharedRuns(texts, places)
+    total = np.maximum(sizes - RUN + 1, 0)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -106,9 +203,12 @@ def _links(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
         return x
 
     for i in np.flatnonzero(left).tolist():
-        for j in places[_may(profiles[i], sizes[i], others, own, ratio)].tolist():
-            if one and j <= i:
-                continue
+        may = _may(profiles[i], sizes[i], others, own, ratio)
+        may = may[places[may] > i] if one else may
+        if len(may):
+            apart = total[i] + total[places[may]] - 2 * shared.with_all(texts[i])[may]
+            may = may[apart <= (2 * RUN - 1) * ((1 - ratio) * (sizes[i] + own[may]) + 1e-6)]
+        for j in places[may].tolist():
             x, y = min(i, j), max(i, j)
             if find(x) != find(y) and runs.may(texts[x], texts[y], ratio) and round(_ratio(texts[y], texts[x], ratio), 6) >= ratio:
                 root[find(y)] = find(x)

@@ -47,3 +47,39 @@ def test_against_all_kept_texts(spark):
     for block in (5, 2048):
         assert {tuple(r) for r in dedup.alike_pairs(df, block=block).collect()} == want
     assert dedup.alike_pairs(df.limit(0)).count() == 0
+
+
+def test_ratios_are_those_of_sequence_matcher(monkeypatch):
+    """Runs found at once give the same longest matches, popular characters and ties included."""
+    rng = random.Random(3)
+    for most in (2_000_000, 50):
+        monkeypatch.setattr(dedup, "MATCHES", most)
+        for n in [0, 1, 5, 30, 199, 200, 201, 400] * 8:
+            letters = rng.choice(["ab", "abcdefgh", "abcdefghijklmnop      éß", [chr(200 + i) for i in range(150)]])
+            a = "".join(rng.choices(letters, k=n))
+            b = list(a)
+            for _ in range(rng.randint(0, 9)):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randint(0, 4)] = rng.choices(letters, k=rng.randint(0, 4))
+            b = "".join(b)
+            want = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+            for least in (0.0, 0.6, 0.95):
+                got = dedup._ratio(a, b, least)
+                assert got == want if round(want, 6) >= least else round(got, 6) < least
+
+
+def test_a_block_counts_its_runs_once(monkeypatch):
+    """Runs of a text were counted against each other text by itself."""
+    import pandas as pd
+
+    made = []
+    count = dedup._runs
+    monkeypatch.setattr(dedup, "_runs", lambda t, run=dedup.RUN: made.append(t) or count(t, run))
+    rng = random.Random(2)
+    base = "".join(rng.choices("abcdefgh ", k=150))
+    texts = ["".join(rng.sample(base, len(base))) for _ in range(60)]
+    assert not len(dedup._links(pd.DataFrame({"id": range(60), "t": texts, "left": True}), 0.95))
+    assert len(made) <= 2 * 60
+    shared = dedup._SharedRuns(texts, __import__("numpy").arange(60)).with_all(texts[7])
+    runs = lambda t: __import__("collections").Counter(t[i : i + dedup.RUN] for i in range(len(t) - dedup.RUN + 1))
+    assert shared.tolist() == [(runs(texts[7]) & runs(t)).total() for t in texts]
