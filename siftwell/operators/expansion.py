@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as T
 from siftwell.store import written
 
+#: Ids of found documents that go to every task: some 20 MB.
+BROADCAST_ROWS = 200_000
+
 
 def shares(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """(token, c): the part of all words of docs that each of tokens (token) makes up. Words are counted where documents are."""
     words = docs.select(F.explode(T.words("text")).alias("token"))
-    counts = words.groupBy("token").agg(F.count("*").alias("n"))
-    total = docs.agg(F.sum(F.size(T.words("text"))).alias("total"))  # one row
+    # Written, so that texts are read once for both the words' counts and their sum.
+    counts = written(words.groupBy("token").agg(F.count("*").alias("n")), "word_counts")
+    total = counts.agg(F.sum("n").alias("total"))  # one row
     return counts.join(tokens, "token", "left_semi").join(F.broadcast(total)).select("token", (F.col("n") / F.col("total")).alias("c"))
 
 
@@ -28,7 +32,11 @@ def feedback_terms(docs: DataFrame, ranked: DataFrame, size: int = 10, doc_id: s
         raise ValueError("size must be at least 1")
     whole = Window.partitionBy("query_id")
     own = ranked.select("query_id", F.col(doc_id).alias("doc_id"), "score").where("score > 0").withColumn("part", F.col("score") / F.sum("score").over(whole))
-    found = own.join(docs.select(F.col(doc_id).alias("doc_id"), T.words("text").alias("w")), "doc_id").where(F.size("w") > 0)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), "text")
+    if ranked.count() <= BROADCAST_ROWS:
+        # Written, as Spark would else cut all texts into words to filter out those without any before it looks at the ids.
+        texts = written(texts.join(F.broadcast(own.select("doc_id").distinct()), "doc_id", "left_semi"), "found_texts")
+    found = own.join(texts.select("doc_id", T.words("text").alias("w")), "doc_id").where(F.size("w") > 0)
     each = found.select("query_id", (F.col("part") / F.size("w")).alias("p"), F.explode("w").alias("token"))
     p = written(each.groupBy("query_id", "token").agg(F.sum("p").alias("p")), "feedback")
     gain = F.round(F.col("p") * F.log(F.col("p") / F.col("c")), 9)

@@ -36,6 +36,19 @@ def test_feedback_is_that_of_plain_python(spark):
         expansion.feedback_terms(docs(spark), None, 0)
 
 
+def test_only_found_texts_are_cut_into_words_for_feedback(spark, monkeypatch):
+    """Of all texts only their words' counts are taken, once; what a query found is cut into words by itself. Without a broadcast of ids the rows are the same."""
+    ranked = spark.createDataFrame([(9, 1, 3.0, 1), (9, 2, 1.0, 2), (8, 5, 2.0, 1)], "query_id long, doc_id long, score double, rank int")
+    plans, put = {}, expansion.written
+    monkeypatch.setattr(expansion, "written", lambda df, name: plans.setdefault(name, str(df._jdf.queryExecution().optimizedPlan())) and put(df, name))
+    one = sorted(map(tuple, expansion.feedback_terms(docs(spark), ranked, 3).collect()))
+    assert list(plans) == ["found_texts", "feedback", "word_counts"]
+    assert "regexp" not in plans["found_texts"] and "Join LeftSemi" in plans["found_texts"] and plans["word_counts"].count("LogicalRDD") == 1
+    assert "parquet" in plans["feedback"] and plans["feedback"].count("LogicalRDD") == 1  # the second is the ranking
+    monkeypatch.setattr(expansion, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, expansion.feedback_terms(docs(spark), ranked, 3).collect())) == one and len(one) == 6
+
+
 def test_expanded_weights(spark):
     own = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "c", 3)], "query_id long, token string, qtf long")
     more = spark.createDataFrame([(1, "b", 0.2), (1, "z", 0.1)], "query_id long, token string, gain double")
