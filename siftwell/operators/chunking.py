@@ -6,13 +6,18 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.operators.vectors import hashed_embeddings
 
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
+#: Texts whose pieces a task holds at once.
+TEXTS = 64
+#: Sentences whose vectors a task holds at once: 1 MB.
+SENTENCES = 2048
 
 
 def windows(n: Column, size: int, overlap: int) -> Column:
@@ -125,14 +130,22 @@ def split_recursive(text: str, size: int, overlap: int, separators: list[str] =
 
 
 def _mapped(docs: DataFrame, doc_id: str, fn: Callable[[str], list[str]]) -> DataFrame:
+    """(doc_id, chunk_index, content) of what fn makes of each text; blank pieces are dropped. A task passes on the pieces of TEXTS texts at once."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [(d, i, c) for d, t in zip(p.doc_id, p.text) for i, c in enumerate(fn(t)) if c.strip()]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, TEXTS):
+                of, place, content = [], [], []
+                for at, t in enumerate(b.column(1).slice(lo, TEXTS), lo):
+                    for i, c in enumerate(fn(t.as_py())):
+                        if c.strip():
+                            of.append(at)
+                            place.append(i)
+                            content.append(c)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(place, pa.int32()), pa.array(content, b.column(1).type)], ["doc_id", "chunk_index", "content"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, chunk_index int, content string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, chunk_index int, content string")
 
 
 def recursive(docs: DataFrame, size: int = 512, overlap: int = 50, separators: list[str] = SEPARATORS, doc_id: str = "doc_id") -> DataFrame:
@@ -142,11 +155,16 @@ def recursive(docs: DataFrame, size: int = 512, overlap: int = 50, separators: l
 
 def split_semantic(sentences: list[str], vectors: np.ndarray | None, threshold: float, least: int, most: int) -> list[str]:
     """Sentences joined until most words are reached, or the next one is unlike and least words are there."""
-    n = len(sentences)
-    upto = np.concatenate([[0], np.cumsum([len(s.split()) for s in sentences], dtype=np.int64)])
     unlike = np.zeros(0, np.int64)
-    if vectors is not None and n > 1:
+    if vectors is not None and len(sentences) > 1:
         unlike = np.flatnonzero(np.einsum("ij,ij->i", vectors[:-1], vectors[1:]) < threshold) + 1
+    return _joined(sentences, unlike, least, most)
+
+
+def _joined(sentences: list[str], unlike: np.ndarray, least: int, most: int) -> list[str]:
+    """split_semantic by the numbers of the sentences that are unlike the one before."""
+    n = len(sentences)
+    upto = np.concatenate([[0], np.cumsum([len(s.split()) for s in sentences], dtype=np.int64)])
     out, at = [], 0
     while at < n:
         # Cuts stand behind sentences: where most words are reached, and at the first unlike neighbour with least words before it.
@@ -161,11 +179,13 @@ def split_semantic(sentences: list[str], vectors: np.ndarray | None, threshold:
 
 def semantic(docs: DataFrame, threshold: float = 0.3, least: int = 50, most: int = 300, doc_id: str = "doc_id") -> DataFrame:
     """Chunks cut where neighbouring sentences are unlike by a hashed bag-of-words embedding."""
-    from siftwell.operators.vectors import hashed_embedding
-
     def run(t: str) -> list[str]:
         s = [x for x in map(str.strip, re.split(r"(?<=[.!?])\s+", t)) if x]
-        return split_semantic(s, np.stack([hashed_embedding(re.findall(r"\w+", x.lower())) for x in s]) if s else None, threshold, least, most)
+        unlike = [np.zeros(0, np.int64)]
+        for lo in range(0, len(s) - 1, SENTENCES):
+            v = hashed_embeddings([re.findall(r"\w+", x.lower()) for x in s[lo : lo + SENTENCES + 1]])
+            unlike.append(np.flatnonzero(np.einsum("ij,ij->i", v[:-1], v[1:]) < threshold) + lo + 1)
+        return _joined(s, np.concatenate(unlike), least, most)
 
     return _mapped(docs, doc_id, run)
 
