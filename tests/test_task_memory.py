@@ -7,18 +7,18 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftwell.operators import chunking
+from siftwell.operators import chunking, vectors
 from siftwell.operators.vectors import hashed_embedding
 
 
 @pytest.fixture
 def peak(spark, monkeypatch):
-    """peak(make, out, columns): MB that the last Python function of a plan's tasks allocates for a batch, and its rows."""
+    """peak(make, columns): MB that the last Python function of a plan's tasks allocates for a batch, and its rows."""
 
-    def run(make, out, **columns):
+    def run(make, **columns):
         made, kind = [], type(spark.range(1))
         for how in ("mapInArrow", "mapInPandas"):
-            monkeypatch.setattr(kind, how, lambda self, fn, schema, how=how: made.append((how, fn)) or spark.createDataFrame([], out))
+            monkeypatch.setattr(kind, how, lambda self, fn, schema, how=how: made.append((how, fn)) or spark.createDataFrame([], schema))
         make()
         monkeypatch.undo()
         how, fn = made[-1]
@@ -40,10 +40,30 @@ def test_semantic_chunks_of_a_long_text_hold_some_sentences(spark, peak):
     """Vectors of all sentences would be ten times the text."""
     text = " ".join(f"Word a{i % 97} b{i % 89}." for i in range(30_000))
     docs = spark.createDataFrame([(1, "")], "doc_id long, text string")
-    mb, rows = peak(lambda: chunking.semantic(docs), "doc_id long, chunk_index int, content string", doc_id=[1], text=[text])
+    mb, rows = peak(lambda: chunking.semantic(docs), doc_id=[1], text=[text])
     assert mb < 12, mb
     assert [r[1] for r in rows] == list(range(len(rows))) and " ".join(r[2] for r in rows) == text
     s = text.split(". ")
     s = [x + "." for x in s[:-1]] + s[-1:]
     v = np.stack([hashed_embedding(re.findall(r"\w+", x.lower())) for x in s])
     assert [r[2] for r in rows] == chunking.split_semantic(s, v, 0.3, 50, 300)
+
+
+@pytest.mark.parametrize("itself", [False, True])
+def test_search_holds_some_scores_of_a_pair_of_blocks(spark, peak, itself):
+    """A table of all scores of a pair is 8 MB, and a measure makes several. Ties go to the least id; rows that aren't numbers and zeros of no length are as before."""
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(vectors.BLOCK, 16)), 1)
+    v[100:200] = v[:100]
+    v[7], v[8, 3] = 0, np.nan
+    ids = rng.permutation(vectors.BLOCK).astype("<i8")
+    q, qids = v[: vectors.QUERY_BLOCK], ids[: vectors.QUERY_BLOCK]
+    df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
+    pair = {"vi": [ids.tobytes()], "vv": [v.tobytes()], "qi": [qids.tobytes()], "qv": [q.tobytes()]}
+    mb, rows = peak(lambda: vectors.search(df, df, 5, itself=itself), **pair)
+    assert mb < 16, mb
+    want = []
+    for i, x in zip(qids.tolist(), np.round(vectors.METRICS["cosine"](q, v), 6)):
+        own = sorted((-s, j) for j, s in zip(ids.tolist(), x.tolist()) if s == s and (itself or i != j))
+        want += [(i, j, -s) for s, j in own[:5]]
+    assert rows == want
