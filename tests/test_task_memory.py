@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftwell.operators import chunking, vectors
+from siftwell.operators import chunking, lexical, vectors
 from siftwell.operators.vectors import hashed_embedding
 
 
@@ -67,3 +67,12 @@ def test_search_holds_some_scores_of_a_pair_of_blocks(spark, peak, itself):
         own = sorted((-s, j) for j, s in zip(ids.tolist(), x.tolist()) if s == s and (itself or i != j))
         want += [(i, j, -s) for s, j in own[:5]]
     assert rows == want
+
+
+def test_ranked_holds_one_table_of_cells(spark, peak):
+    """Counts, their parts and what these are made of were tables of documents and terms."""
+    asked = spark.createDataFrame([(q, f"t{q * 20 + i}", 1) for q in range(100) for i in range(20)], "query_id long, token string, qtf long")
+    docs = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    texts = [" ".join(f"t{(7 * d + i) % 2000} T{d % 2000}" for i in range(10)) for d in range(1000)]
+    mb, _ = peak(lambda: lexical.ranked(docs, asked, 5, (lexical.OKAPI, lexical.PLUS)), doc_id=list(range(1000)), text=texts)
+    assert mb < 30, mb
