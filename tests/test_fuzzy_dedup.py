@@ -83,3 +83,47 @@ def test_a_block_counts_its_runs_once(monkeypatch):
     shared = dedup._SharedRuns(texts, __import__("numpy").arange(60)).with_all(texts[7])
     runs = lambda t: __import__("collections").Counter(t[i : i + dedup.RUN] for i in range(len(t) - dedup.RUN + 1))
     assert shared.tolist() == [(runs(texts[7]) & runs(t)).total() for t in texts]
+
+
+def test_texts_are_not_shuffled_for_the_blocks_they_meet(spark, monkeypatch):
+    """Each text went through a shuffle once for every block of like lengths, which grows with the square of the table."""
+    plans = {}
+    put = dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or put(df, name))
+    df = spark.createDataFrame(texts(), "doc_id long, text string").repartition(3)
+    out = dedup.alike_pairs(df, block=5)
+    assert {tuple(r) for r in out.collect()} == one_by_one(texts())
+    assert set(plans) == {"blocks", "links"} and plans["blocks"].count("RepartitionByExpression") == 1
+    assert "Join Cross" in plans["links"] and "Repartition" not in plans["links"] and "Aggregate" not in plans["links"]
+
+
+def test_signatures_rule_out_no_pair():
+    """What signatures and runs may have apart, with seeds, holds for pairs that just reach the ratio; most others are ruled out."""
+    import numpy as np
+
+    rng = random.Random(8)
+    passed = others = 0
+    for n in [30, 150, 199, 200, 260, 700, 2500] * 12:
+        letters = rng.choice(["ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz      eeettaé"])
+        a = "".join(rng.choices(letters, k=n))
+        b = list(a)
+        for _ in range(rng.randint(0, n // 12)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 2)] = rng.choices(letters, k=rng.randint(0, 2))
+        b = "".join(b)
+        other = "".join(rng.sample(a, len(a)))
+        bits = dedup._bits(n)
+        known = dedup._Signed.none(bits)
+        for t in (b, other):
+            known.add(len(t), *dedup._signature(t, bits))
+        may = known.may(len(a), *dedup._signature(a, bits), known.bits, slice(0, 2), 0.95).tolist()
+        for k, t in enumerate((b, other)):
+            if round(SequenceMatcher(None, a, t).ratio(), 6) >= 0.95:
+                passed += 1
+                assert k in may and dedup._Runs((2, dedup.RUN, 12)).may(a, t, 0.95)
+            elif k == 1 and n >= 200 and len(set(letters)) > 20:
+                others += 1
+                assert k not in may
+        wide = dedup._Signed(*(np.array([x]) for x in (n, 1)), np.zeros((dedup.CHARS, 1), np.uint16), dedup._signature(a, 2 * bits)[2][None])
+        assert (wide.folded(bits // 64)[0] == dedup._signature(a, bits)[2]).all()
+    assert passed > 20 and others > 8
