@@ -63,3 +63,40 @@ def test_compared_texts_with_runs(spark):
     rows = [("a b c d e", "x A b c d e y"), ("a b c d", "a b c d"), (None, None), ("a b c d e", "b c d e a")]
     got = spark.createDataFrame(rows, "q string, t string").coalesce(1).select(pair_scorer.compared(F.col("q"), F.col("t")).alias("c")).select("c.*").collect()
     assert [(r.words, r.pairs, round(r.jaccard, 6), r.run) for r in got] == [(1, 1, 0.714286, True), (1, 1, 1, False), (0, 0, 1, False), (1, 0.75, 1, False)]
+
+
+def test_documents_are_not_ordered_once_bars_have_risen(monkeypatch):
+    """Scores of every slice were rounded and ordered for each query, also where none of them reaches a bar."""
+    import numpy as np
+    import pyarrow as pa
+
+    ordered = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **k: ordered.append(len(x)) or partition(x, *a, **k))
+    rng = np.random.default_rng(6)
+    score = np.concatenate([10 + rng.random((40, 5)), rng.random((400, 5))])
+    score[100, 2] = score[:40, 2].max() + 1
+    score[200, 3] = np.sort(np.round(score[:40, 3], 6))[-4] - 4e-7  # reaches the bar as it is rounded
+    best = lexical._Best(5, 4, pa.int64())
+    for lo in range(0, 440, 40):
+        best.add(pa.array(range(lo, lo + 40)), score[lo : lo + 40])
+    best.cut()
+    assert ordered == [40]
+    own = np.round(score, 6)
+    want = [(q, d, own[d, q]) for q in range(5) for d in np.lexsort((np.arange(440), -own[:, q]))[:4].tolist()]
+    assert list(zip(best.q.tolist(), best.ids.to_pylist(), best.score.tolist())) == want
+
+
+def test_runs_are_made_of_shared_pairs_only():
+    """All runs of both texts were made for each pair."""
+    rng = random.Random(9)
+    shared = 0
+    for _ in range(400):
+        w, d = ([rng.choice("ab") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        pairs = set(zip(w, w[1:])) & set(zip(d, d[1:]))
+        want = bool({tuple(w[i : i + 5]) for i in range(len(w) - 4)} & {tuple(d[i : i + 5]) for i in range(len(d) - 4)})
+        assert pair_scorer._share_run(w, d, pairs) == want
+        shared += want
+    assert 20 < shared < 380
+    known = pair_scorer._Texts()
+    assert len(known("one two three four five six")) == 3
